@@ -18,9 +18,11 @@ own; an empty table gives no files and no rows.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -91,35 +93,81 @@ class EliasFano:
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizers file whose tokens never cross white space.
-
-    The id strings of words are kept, as most words of a corpus recur; only unseen
-    ones go through the tokenizer, a batch at a time.  The store is emptied when it
-    holds ``most`` words, so memory is bounded.
+    """Ids of texts by a tokenizers file that encodes each of its pre-tokens on its own.
+
+    A corpus repeats its words, so their id strings are kept, and those of pre-tokens,
+    and only unseen pre-tokens go through the tokenizer, all of a batch in one call.  Texts of printable ASCII,
+    Latin-1 letters and white space are split here, exactly as the file's normalizer
+    and pre-tokenizer split them; any other text, or one that holds the string of a
+    special token, is encoded whole by the tokenizer.  Either store drops its
+    older half at ``most`` entries, so memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    #: The file's own split, as it reads on the lower-case text that takes this path.
+    SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+    PLAIN = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xC0, 0x100)])
+
+    def __init__(self, path: str, most: int = 200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known: dict[str, bytes] = {}  # pre-tokens
+        self.words: dict[str, bytes] = {}  # and what stands between white space
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-
-    def encode(self, texts: list[bytes], end: int) -> list[bytes]:
-        split, known = [t.split() for t in texts], self.known
-        unseen = list({w for words in split for w in words if w not in known})
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ends = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[ends] = True
+
+    def plain(self, text: str) -> bool:
+        try:
+            return not text.encode("latin-1").translate(None, self.PLAIN) and not any(t in text for t in self.special)
+        except UnicodeEncodeError:
+            return False
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, self.kind)
+        stops = np.flatnonzero(self.last[ids]) + 1
+        if len(stops) == len(pieces):  # every piece ended where a pre-token did
+            raw, w, at = ids.tobytes(), self.width, 0
+            for piece, stop in zip(pieces, (stops * w).tolist(), strict=True):
+                self.known[piece] = raw[at:stop]
+                at = stop
+        else:
+            self.known.update(zip(pieces, self.whole(pieces), strict=True))
+
+    def spelled(self, words: list[str]) -> None:
+        """Puts the id strings of unseen words into ``words``, by their pre-tokens."""
+        split = [self.SPLIT.findall(w.lower()) for w in words]
+        known = self.known
+        unseen = list({p for pieces in split for p in pieces if p not in known})
         if len(known) + len(unseen) > self.most:
-            known.clear()
-            unseen = list({w for words in split for w in words})
-        for i in range(0, len(unseen), 1024):
-            part = unseen[i : i + 1024]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, self.kind).tobytes()
-        tail, of = int(end).to_bytes(self.width, "little"), known.__getitem__
-        return [b"".join(map(of, words)) + tail for words in split]
+            known = self.known = dict(islice(known.items(), len(known) // 2, None))
+            unseen = list({p for pieces in split for p in pieces if p not in known})
+        for i in range(0, len(unseen), 2048):
+            self.learn(unseen[i : i + 2048])
+        of = known.__getitem__
+        self.words.update((w, b"".join(map(of, pieces))) for w, pieces in zip(words, split, strict=True))
+
+    def encode(self, texts: list[str], end: int) -> list[bytes]:
+        tail = int(end).to_bytes(self.width, "little")
+        easy = [self.plain(t) for t in texts]
+        split = [t.split() if e else () for t, e in zip(texts, easy, strict=True)]
+        found = set().union(*split)
+        unseen = list(found - self.words.keys())
+        if len(self.words) + len(unseen) > self.most:
+            self.words = dict(islice(self.words.items(), len(self.words) // 2, None))
+            unseen = list(found - self.words.keys())
+        self.spelled(unseen)
+        of = self.words.__getitem__
+        return [b"".join(map(of, words)) + tail if e else self.whole([t])[0] + tail for t, e, words in zip(texts, easy, split, strict=True)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -193,7 +241,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID
 
         for batch in batches:
             for part in slices(batch, "text"):
-                got = e.encode(part.column("text").cast(pa.binary()).to_pylist(), end_id)
+                got = e.encode(part.column("text").to_pylist(), end_id)
                 for key, ids in zip(part.column("doc_id").to_pylist(), got, strict=True):
                     if held and size + len(ids) > shard_ids * e.width:
                         yield close()
