@@ -110,7 +110,7 @@ def runs(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def window_hashes(hashes: np.ndarray, starts: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """A hash of the ``width`` word hashes from each start on, order kept."""
-    out = np.full(len(starts), U(seed * 2 + 1) * U(_BASE), U)
+    out = np.full(len(starts), (seed * 2 + 1) * _BASE % (1 << 64), U)
     for j in range(width):
         out = (out ^ hashes[starts + j]) * U(0xD6E8FEB86659FD93)
         out ^= out >> U(32)
