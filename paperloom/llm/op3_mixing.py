@@ -25,6 +25,8 @@ LEVELS, BITS = 3, 12
 REPEATS = 3
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
+#: Rows of the plan (one per source, about 100 bytes) that ``repeat`` broadcasts at most.
+MOST_BROADCAST_SOURCES = 100_000
 
 
 def hash36(key: Column) -> Column:
@@ -108,14 +110,39 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = RE
     """
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long") if size is None else size
     sized = stored(docs.select("doc_id", "source", size.alias("size"), hash36(F.col("doc_id")).alias("hash")), "mix-sized")
+    plan = _counted(sized, weights, repeats)
+    # The plan has a row per source; Spark broadcasts it if its files are small, else
+    # joins by shuffle and splits a hot source (all columns here are narrow).
+    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("_s")))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"), "source")
+
+
+def _times() -> Column:
+    """How often a document is taken, from its hash and its source's plan."""
+    return F.col("whole") + F.when((F.col("budget") > 0) & (F.col("hash") < F.col("threshold")), 1).otherwise(0)
+
+
+def repeat(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; texts are never shuffled by source.
+
+    Rows without words take no part in the budgets and stay once.
+    """
+    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    sized = stored(docs.select("doc_id", "source", size.alias("size"), hash36(F.col("doc_id")).alias("hash")), "mix-sized")
+    plan = _counted(sized, weights, repeats)
+    held = F.broadcast(plan) if plan.count() <= MOST_BROADCAST_SOURCES else plan  # beyond it Spark shuffles, and splits hot sources
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_of"), size.alias("size"), hash36(F.col("doc_id")).alias("hash"))
+    times = F.when(F.col("size") > 0, _times()).otherwise(1).cast("int")
+    taken = rows.join(held, F.col("_of").eqNullSafe(F.col("_s"))).withColumn("_times", times).filter("_times > 0")
+    return taken.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
+
+
+def _counted(sized: DataFrame, weights: tuple[float, ...], repeats: int) -> DataFrame:
+    """One row per source: source_size, target, whole, budget and threshold, stored."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sources = stored(water_fill(ranked_sources(sized, weights), repeats).withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-sources")
     cut = thresholds(sized, sources.select("source", "budget"))
-    plan = stored(sources.join(cut.select(F.col("source").alias("_s"), "threshold"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_s"), "source_size", "target", "whole", "budget", "threshold"), "mix-plan")
-    times = F.col("whole") + F.when((F.col("budget") > 0) & (F.col("hash") < F.col("threshold")), 1).otherwise(0)
-    # The plan has a row per source; Spark broadcasts it if its files are small, else
-    # joins by shuffle and splits a hot source (all columns here are narrow).
-    return sized.join(plan, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), "source")
+    return stored(sources.join(cut.select(F.col("source").alias("_s"), "threshold"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_s"), "source_size", "target", "whole", "budget", "threshold"), "mix-plan")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,8 +212,8 @@ def score(docs: DataFrame, model: CumulativeLink, column: str = "text") -> DataF
                 extra = [pa.array(above[:, 0]), pa.array(expected), pa.array(likely.astype(np.int32)), pa.array(above[:, 0] >= REJECT)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + extra, [*names, "p_toxic", "expected_severity", "severity", "rejected"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return docs.select(*names).mapInArrow(add, f"{schema}, p_toxic double, expected_severity double, severity int, rejected boolean")
+    schema = docs.select(*names).schema.add("p_toxic", "double").add("expected_severity", "double").add("severity", "integer").add("rejected", "boolean")
+    return docs.select(*names).mapInArrow(add, schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +224,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the model doesn't reject, with the columns of ``docs``."""
-    return score(docs, fit(docs, labels)).filter("NOT rejected").select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), text_or_empty().alias("text"))
+    return score(packed, fit(docs, labels)).filter("NOT rejected").select("_row.*")
 
 
 QUERIES = {"op5_toxicity": op5_toxicity}

@@ -249,9 +249,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without all but one document of every class (the least doc_id)."""
     spark_rows = stored(classes(docs, **options), "near-classes")
     gone = spark_rows.filter(~F.col("doc_id").eqNullSafe(F.col("class_id")) | (F.col("first_rows") > 1)).select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"), (F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("_again")).distinct()
-    marked = docs.withColumn("_node", node_of()).join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_node") == F.col("_n")), "left")
-    kept = marked.filter("_d IS NULL").select(*docs.columns)
-    again = marked.filter("_again").select(*docs.columns).dropDuplicates(["doc_id"])
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), node_of().alias("_node"))
+    marked = rows.join(gone, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_node") == F.col("_n")), "left")
+    kept = marked.filter("_n IS NULL").select("_row.*")
+    again = marked.filter("_again").dropDuplicates(["_id"]).select("_row.*")
     return kept.unionByName(again)
 
 
