@@ -10,7 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _parts():
-    return []
+    from ..operators import graph, lines
+
+    return [lines, graph]
 
 
 def queries() -> dict[str, Query]:
