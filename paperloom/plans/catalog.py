@@ -10,9 +10,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _parts():
-    from ..operators import graph, lines
+    from ..operators import graph, library, lines, queue, requests, similarity
+    from ..sources import formats
 
-    return [lines, graph]
+    return [graph, lines, library, queue, requests, similarity, formats]
 
 
 def queries() -> dict[str, Query]:
