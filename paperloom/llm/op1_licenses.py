@@ -102,7 +102,7 @@ RULES = (
 )
 
 #: One of these words is in every known sentence.
-KEY = r"(?i)(licen[cs]e|copyright|rights reserved|permission|redistribut|warrant|liable|free software|public domain|unencumbered)"
+KEY = r"(?i)(licen[cs]e|copyright|rights reserved|permission|redistribut|warrant|liable|endorse|free software|public domain|unencumbered)"
 
 def _marked(text: Column) -> Column:
     """The text with a mark (U+0001) after each sentence; comment signs at line starts go.
