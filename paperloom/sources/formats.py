@@ -13,6 +13,7 @@ from ..functions import text as T
 from .tables import table
 
 PAPER = "array<struct<id:string,pdfPath:string,pdfName:string,translationPath:string,translationName:string,chineseTitle:string,englishTitle:string,journal:string,authors:string,year:string,notes:string,lastOpenedAt:string,lastPage:int>>"
+ENTRY = "id string, title string, summary string, published string, author array<struct<name:string>>, category array<struct<_term:string>>, link array<struct<_title:string,_href:string>>"
 LINK = "array<struct<rowId:string,paperId:string>>"
 ITEM = "array<struct<section:string,original:string,translation:string,type:string,page:int,sectionId:string,sectionOrder:int,paragraphOrder:int,sourceHash:string>>"
 
@@ -45,12 +46,11 @@ def markdown_blocks(text: Column) -> Column:
 
 def atom_entries(feed: DataFrame, column: str = "value") -> DataFrame:
     """Papers of Atom feeds: ids, titles, authors, categories; the pdf link falls back to the id's."""
-    xp = lambda path: F.xpath(F.col(column), F.lit(path))
-    n = F.expr(f"xpath_int(`{column}`, 'count(//entry)')")
-    entry = feed.withColumn("i", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))))
-    one = lambda path: F.trim(F.regexp_replace(F.expr(f"xpath_string(`{column}`, concat('(//entry)[', i, ']/{path}'))"), r"\s+", " "))
-    many = lambda path: F.expr(f"xpath(`{column}`, concat('(//entry)[', i, ']/{path}'))")
-    rows = entry.select(one("id").alias("id"), one("title").alias("title"), one("summary").alias("summary"), one("published").alias("published"), many("author/name/text()").alias("authors"), many("category/@term").alias("categories"), one('link[@title="pdf"]/@href').alias("pdf"))
+    texts = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(r"(?s)(<entry[ >].*?</entry>)"), 1)
+    x = feed.select(F.posexplode(texts).alias("pos", "t")).select("pos", F.from_xml("t", ENTRY).alias("e"))
+    plain = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    titled = F.filter("e.link", lambda k: k["_title"] == "pdf")
+    rows = x.select("pos", *[plain(F.col(f"e.{c}")).alias(c) for c in ("id", "title", "summary", "published")], F.transform("e.author", lambda a: plain(a["name"])).alias("authors"), F.transform("e.category", lambda c: c["_term"]).alias("categories"), F.coalesce(F.try_element_at(titled, F.lit(1))["_href"], F.lit("")).alias("pdf"))
     pdf = T.first_nonempty(F.col("pdf"), F.replace(F.col("id"), F.lit("/abs/"), F.lit("/pdf/")))
     return rows.withColumns({"pdf": pdf, "stable_id": F.regexp_replace(F.element_at(F.split("id", "/"), -1), r"v\d+$", ""), "year": F.substring("published", 1, 4), "primary": F.try_element_at("categories", F.lit(1))})
 
