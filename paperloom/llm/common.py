@@ -72,20 +72,3 @@ def text_or_empty(column: str = "text"):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def salted_join(big: DataFrame, hot: DataFrame, keys: list[str], per_copy: int = 2000) -> DataFrame:
-    """Inner join in which a key of ``big`` may hold any share of all rows.
-
-    ``hot`` has one (possibly wide) row for each key.  The rows of ``big`` are
-    counted by key (combined before the shuffle); a key with n rows gets
-    ceil(n / per_copy) copies of its ``hot`` row, and its rows are dealt over the
-    copies, so no task meets more than about ``per_copy`` rows of one key.
-    ``big`` must be cheap to read twice (a stored table).
-    """
-    copies = big.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(per_copy)).cast("int").alias("_copies"))
-    wide = hot.join(copies, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
-    others = [c for c in big.columns if c not in keys] or keys
-    # One copy is the rule: only keys beyond per_copy rows look at the salt.
-    spread = big.join(copies, keys).withColumn("_salt", F.pmod(F.xxhash64(*others), F.col("_copies")).cast("int")).drop("_copies")
-    return spread.join(wide, [*keys, "_salt"]).drop("_salt")

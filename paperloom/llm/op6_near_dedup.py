@@ -9,10 +9,19 @@ probability of their weighted Jaccard similarity.  Only as much of the rank axis
 looked at as fills all coordinates, about k ln k darts whatever the document's length.
 
 Documents with equal texts are one node.  Signatures are cut into ``BANDS`` bands; in
-every bucket of equal bands each member is compared with a hub, exactly, by its
-shingles.  What a bucket still holds in different components is then compared with
-further hubs, and at last in all pairs across components, so no link between texts of
-a common bucket is lost while members known to be connected are never paired.
+every bucket of equal bands each member is compared with one hub, exactly, by its
+shingles; the hub is the member that meets most others in all its buckets, so a group's
+original serves nearly all of it.
+
+Links between members that miss their hub's similarity are found without pairing them.
+A member z is its hub h with r(z) shingles removed and a(z) added.  For a similarity T
+let c = T / (1 + T) and e(z) = (1 - c) r(z) + c a(z); z is linked to h just when
+e(z) <= (1 - 2c) |h|, and x is linked to y just when they share at least
+e(x) + e(y) - (1 - 2c) |h| of these edits.  So a y that misses h shares over e(x) of the
+edits of any x it is linked to.  Edits that no other member of the hub has can't be
+shared: an x with no more than e(x) others has no such link, and of those others all but
+e(x) of the rarest are enough to meet every y by equality.  What meets is compared
+exactly.  Random edits never meet, shared ones do, and no group is paired off.
 
 Defined cases: fewer than ``WORDS`` words are one shingle of them all; texts without a
 word (null, empty, blank) have no shingle and are classes of their own; a null doc_id
@@ -30,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import salted_join, stored, table, text_or_empty
+from .common import stored, table, text_or_empty
 from .components import components
 from .words import U, Words, mix, runs, slices, window_hashes, words_of
 
@@ -38,8 +47,6 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Height of the first region of ranks; each further one ends at twice the rank.
 FIRST_RANK = 1 / 16
-#: Rounds of one hub a bucket before all pairs across components are compared.
-HUB_ROUNDS = 3
 
 
 def shingles(w: Words, width: int = WORDS, weighted: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,42 +152,77 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = W
     return docs.select("doc_id", node_of().alias("node"), text_or_empty().alias("text")).mapInArrow(sign, "doc_id long, node binary, bands array<long>")
 
 
-def similarity(pairs: DataFrame, width: int = WORDS, weighted: bool = False) -> DataFrame:
-    """(a, b, similarity) of pairs with their texts, exact by their shingles."""
+def compared(pairs: DataFrame, width: int = WORDS, weighted: bool = False, edits: bool = False) -> DataFrame:
+    """(a, b, similarity, size_b, removed, added) of pairs with their texts, exact by their shingles.
+
+    ``edits`` adds the hashes of the shingles of b that a lacks and of those it adds.
+    Repeated shingles are told apart by their number when ``weighted``.
+    """
+
+    def sets(w: Words) -> tuple[np.ndarray, np.ndarray]:
+        text, shingle, weight = shingles(w, width, weighted)
+        if weighted:
+            text, number = np.repeat(text, weight), np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+            shingle = mix(np.repeat(shingle, weight) + number.astype(U) * U(0x9E3779B97F4A7C15))
+            order = np.lexsort((shingle, text))
+            text, shingle = text[order], shingle[order]
+        return text, shingle
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple] = {}
+        held: dict[bytes, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, "text_a"):
-                w = words_of(part.column("text_a"))
-                text, shingle, weight = shingles(w, width, weighted)
+                text, shingle = sets(words_of(part.column("text_a")))
                 bounds = np.searchsorted(text, np.arange(part.num_rows + 1))
-                out = np.zeros(part.num_rows)
-                hubs, hub_texts = part.column("b").to_pylist(), part.column("text_b")
-                for i, b in enumerate(hubs):
+                out, changed = [], []
+                hub_texts = part.column("text_b")
+                for i, b in enumerate(part.column("b").to_pylist()):
                     if b not in held:
                         if len(held) > 200:
                             held.clear()
-                        held[b] = shingles(words_of(hub_texts.slice(i, 1)), width, weighted)[1:]
-                    s, x = shingle[bounds[i] : bounds[i + 1]], weight[bounds[i] : bounds[i + 1]]
-                    hs, hx = held[b]
-                    _, ia, ib = np.intersect1d(s, hs, assume_unique=True, return_indices=True)
-                    common = np.minimum(x[ia], hx[ib]).sum()
-                    out[i] = common / max(1, x.sum() + hx.sum() - common)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(out)], ["a", "b", "similarity"])
+                        held[b] = sets(words_of(hub_texts.slice(i, 1)))[1]
+                    x, h = shingle[bounds[i] : bounds[i + 1]], held[b]
+                    common = len(np.intersect1d(x, h, assume_unique=True))
+                    out.append((common / max(1, len(x) + len(h) - common), len(h), len(h) - common, len(x) - common))
+                    if edits:
+                        gone, new = np.setdiff1d(h, x, assume_unique=True), np.setdiff1d(x, h, assume_unique=True)
+                        changed.append(np.concatenate([gone, new]).view(np.int64).tolist())
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.float64(), pa.int64(), pa.int64(), pa.int64()], strict=True)]
+                names = ["a", "b", "similarity", "size_b", "removed", "added"]
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *columns] + [pa.array(changed, pa.list_(pa.int64()))] * edits, names + ["edits"] * edits)
+
+    schema = "a binary, b binary, similarity double, size_b long, removed long, added long" + ", edits array<long>" * edits
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(compare, schema)
+
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary, similarity double")
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): every member of a bucket (key, node, n members) with the bucket's hub."""
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    placed = stored(members.join(met, "node"), "near-placed")
+    hubs = placed.groupBy("key").agg(F.max(F.struct("met", "node")).alias("hub")).select("key", F.col("hub.node").alias("b"))
+    return placed.join(hubs, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def _hub_pairs(members: DataFrame, seed: int) -> DataFrame:
-    """(a, b): every member of a bucket (key, node, label) with the bucket's hub, unless their labels are equal.
+def edited_pairs(stars: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): members of one hub, of different components, that may be linked though one misses the hub.
 
-    The hub is the member that comes first by a hash, the same order in all buckets, so
-    a group has few hubs.
+    ``stars``: stored rows of ``compared`` with edits, b the hub.
     """
-    order = F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "label")
-    hubs = members.groupBy("key").agg(F.min(order).alias("hub")).select("key", F.col("hub.node").alias("b"), F.col("hub.label").alias("hub_label"))
-    return members.join(hubs, "key").filter("label <> hub_label").select(F.col("node").alias("a"), "b").distinct()
+    c = threshold / (1 + threshold)
+    missed = F.col("similarity") < threshold
+    open_ = stars.groupBy("b").agg(F.count("*").alias("k"), F.max(missed).alias("m")).filter("k > 1 AND m").select("b")
+    cost = (1 - c) * F.col("removed") + c * F.col("added")
+    rows = stars.join(open_, "b").select("a", "b", missed.alias("missed"), cost.alias("cost"), F.explode("edits").alias("edit"))
+    often = rows.groupBy("b", "edit").agg(F.count("*").alias("f")).filter("f > 1")
+    shared = stored(rows.join(often, ["b", "edit"]), "near-shared")
+    # Per member all its shared edits, rarest first: at most the shingles of one text and its hub.
+    kept = shared.groupBy("a", "b", "cost").agg(F.array_sort(F.collect_list(F.struct("f", "edit"))).alias("es")).filter(F.size("es") > F.col("cost") - 1e-6)
+    probe = kept.select("a", "b", F.explode(F.slice("es", F.lit(1), F.greatest(F.lit(1), F.size("es") - F.floor(F.col("cost") - 1e-6).cast("int")))).alias("e")).select(F.col("a").alias("x"), "b", F.col("e.edit").alias("edit"))
+    met = probe.join(shared.filter("missed").select(F.col("a").alias("y"), "b", "edit"), ["b", "edit"]).filter("x <> y")
+    pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    for side in ("x", "y"):
+        pairs = pairs.join(label.withColumnsRenamed({"node": side, "label": f"l{side}"}), side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
+    return pairs.filter("lx <> ly").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WORDS, weighted: bool = False) -> DataFrame:
@@ -190,40 +232,26 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS,
     # One row per distinct text, whatever the number of copies.
     nodes = stored(with_words.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(buckets.join(shared, "key"), "near-members")
     wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     texts = docs.select("doc_id", node_of().alias("node"), text_or_empty().alias("text")).withColumnRenamed("node", "n_")
     found = texts.join(wanted, (F.col("n_") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
     held = stored(found.dropDuplicates(["node"]), "near-texts")
 
-    edges = tested = None
-    labelled = members.withColumn("label", F.col("node"))
-    for turn in range(HUB_ROUNDS + 1):
-        if turn:
-            label = stored(components(edges), "near-labels")
-            joined = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            # Only buckets that still hold more than one component matter.
-            mixed = joined.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key")
-            labelled = stored(joined.join(mixed, "key"), "near-mixed")
-        if turn < HUB_ROUNDS:
-            pairs = _hub_pairs(labelled, turn)
-        else:  # the exact rest: all pairs of a bucket across components
-            other = labelled.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            pairs = labelled.join(other, "key").filter("label < label_b").select(F.col("node").alias("a"), "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = stored(pairs, "near-pairs")
-        if pairs.isEmpty():
-            if turn == 0:
-                break
-            continue
+    def against(pairs: DataFrame, edits: bool) -> DataFrame:
         first = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        both = _with_hub_texts(pairs, first, held)
-        got = stored(similarity(both, width, weighted), "near-compared")
-        tested = got.select("a", "b") if tested is None else stored(tested.union(got.select("a", "b")), "near-tested")
-        close = got.filter(F.col("similarity") >= threshold).select("a", "b")
-        edges = close if edges is None else edges.union(close)
+        return compared(_with_hub_texts(pairs, first, held), width, weighted, edits)
+
+    edges = None
+    pairs = stored(hub_pairs(members), "near-pairs")
+    if not pairs.isEmpty():
+        stars = stored(against(pairs, True), "near-stars")
+        edges = stars.filter(F.col("similarity") >= threshold).select("a", "b")
+        more = stored(edited_pairs(stars, stored(components(edges), "near-labels"), threshold), "near-edited")
+        if not more.isEmpty():
+            found = stored(against(more, False), "near-more")
+            edges = edges.union(found.filter(F.col("similarity") >= threshold).select("a", "b"))
     named = rows_.select("doc_id", "node", F.col("bands").isNotNull().alias("_words"))
     if edges is not None:
         named = named.join(components(edges), "node", "left")
