@@ -107,7 +107,7 @@ class WordEncoder:
     SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
     PLAIN = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xC0, 0x100)])
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -161,10 +161,10 @@ class WordEncoder:
         easy = [self.plain(t) for t in texts]
         split = [t.split() if e else () for t, e in zip(texts, easy, strict=True)]
         found = set().union(*split)
-        unseen = list(found - self.words.keys())
+        unseen = [w for w in found if w not in self.words]
         if len(self.words) + len(unseen) > self.most:
             self.words = dict(islice(self.words.items(), len(self.words) // 2, None))
-            unseen = list(found - self.words.keys())
+            unseen = [w for w in found if w not in self.words]
         self.spelled(unseen)
         of = self.words.__getitem__
         return [b"".join(map(of, words)) + tail if e else self.whole([t])[0] + tail for t, e, words in zip(texts, easy, split, strict=True)]
@@ -240,7 +240,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID
             return pa.RecordBatch.from_pydict({"path": [path], "rank": [rank], "number": [number - 1], "ids": [total]}, schema=out)
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 got = e.encode(part.column("text").to_pylist(), end_id)
                 for key, ids in zip(part.column("doc_id").to_pylist(), got, strict=True):
                     if held and size + len(ids) > shard_ids * e.width:
