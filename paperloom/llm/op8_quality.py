@@ -53,10 +53,10 @@ class Fertility:
 
     def ids(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         found = set().union(*texts)
-        unseen = list(found - self.known.keys())
+        unseen = [w for w in found if w not in self.known]
         if len(self.known) + len(unseen) > self.most:
             self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
-            unseen = list(found - self.known.keys())
+            unseen = [w for w in found if w not in self.known]
         got = self.model.encode([w.decode("utf-8", "replace") for w in unseen], num_threads=1) if unseen else []
         self.known.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(unseen, got, strict=True))
         of = self.known.__getitem__
