@@ -40,7 +40,8 @@ from .common import drop_stored, shuffle_partitions, stored, table, text_or_empt
 from .words import U, Words, _Powers, mix, slices, window_hashes, words_of
 
 WINDOW, RUN = 35, 8
-SHARD = 512
+#: Distinct pieces of one reference shard at most: about 100,000 words, so an automaton of some 50 MB.
+SHARD = 2048
 #: Bits of an anchor's order and of a word's place in a batch, packed in one number.
 PLACE_BITS = 26
 
@@ -256,7 +257,8 @@ def candidates(docs: DataFrame, width: int = WINDOW, run: int = RUN) -> tuple[Da
     """(rows, places, distinct): the rows of ``docs`` with the distinct pieces whose words they
     give; the places of all pieces of recurring anchors; those pieces with their occurrences."""
     every = stored(anchored(docs, width, run), "substring-anchors")
-    again = every.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor")
+    # Stored, so that the join below is of two plain exchanges and Spark can split a hot anchor.
+    again = stored(every.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor"), "substring-again")
     places = stored(every.join(again, "anchor"), "substring-places")
     drop_stored(every)
     # One row per distinct piece, its occurrences, and the first of them to take its words from.
