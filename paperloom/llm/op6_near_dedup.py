@@ -212,13 +212,17 @@ def edited_pairs(stars: DataFrame, label: DataFrame, threshold: float) -> DataFr
     missed = F.col("similarity") < threshold
     open_ = stars.groupBy("b").agg(F.count("*").alias("k"), F.max(missed).alias("m")).filter("k > 1 AND m").select("b")
     cost = (1 - c) * F.col("removed") + c * F.col("added")
-    rows = stars.join(open_, "b").select("a", "b", missed.alias("missed"), cost.alias("cost"), F.explode("edits").alias("edit"))
+    bound = (1 - 2 * c) * F.col("size_b")
+    rows = stars.join(open_, "b").select("a", "b", missed.alias("missed"), cost.alias("cost"), bound.alias("bound"), F.explode("edits").alias("edit"))
     often = rows.groupBy("b", "edit").agg(F.count("*").alias("f")).filter("f > 1")
-    shared = stored(rows.join(often, ["b", "edit"]), "near-shared")
     # Per member all its shared edits, rarest first: at most the shingles of one text and its hub.
-    kept = shared.groupBy("a", "b", "cost").agg(F.array_sort(F.collect_list(F.struct("f", "edit"))).alias("es")).filter(F.size("es") > F.col("cost") - 1e-6)
-    probe = kept.select("a", "b", F.explode(F.slice("es", F.lit(1), F.greatest(F.lit(1), F.size("es") - F.floor(F.col("cost") - 1e-6).cast("int")))).alias("e")).select(F.col("a").alias("x"), "b", F.col("e.edit").alias("edit"))
-    met = probe.join(shared.filter("missed").select(F.col("a").alias("y"), "b", "edit"), ["b", "edit"]).filter("x <> y")
+    by_member = rows.join(often, ["b", "edit"]).groupBy("a", "b", "cost", "bound", "missed").agg(F.array_sort(F.collect_list(F.struct("f", "edit"))).alias("es"))
+    held = stored(by_member.withColumn("s", F.size("es")), "near-shared")
+    prefix = F.slice("es", F.lit(1), F.greatest(F.lit(1), F.col("s") - F.floor(F.col("cost") - 1e-6).cast("int")))
+    probe = held.filter(F.col("s") > F.col("cost") - 1e-6).select(F.col("a").alias("x"), "b", "bound", F.col("cost").alias("cx"), F.col("s").alias("sx"), F.explode(prefix).alias("e")).select("x", "b", "bound", "cx", "sx", F.col("e.edit").alias("edit"))
+    other = held.filter("missed").select(F.col("a").alias("y"), "b", F.col("cost").alias("cy"), F.col("s").alias("sy"), F.explode("es").alias("e")).select("y", "b", "cy", "sy", F.col("e.edit").alias("edit"))
+    # Neither can share more edits than it has, so most pairs can't reach what both would cost.
+    met = probe.join(other, ["b", "edit"]).filter((F.col("x") != F.col("y")) & (F.col("cx") + F.col("cy") - F.col("bound") <= F.least("sx", "sy") + 1e-6))
     pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     for side in ("x", "y"):
         pairs = pairs.join(label.withColumnsRenamed({"node": side, "label": f"l{side}"}), side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
