@@ -11,8 +11,12 @@ A distributed randomised SVD of the TF-IDF rows (all other passages of the corpu
 the items themselves, weighed as ``ITEMS`` times the corpus) gives the latent space: every task sums its part of A'(A S) for
 one random test matrix S; the driver adds matrices of fixed size (features x rank) and
 takes the singular vectors of the Nystroem approximation of A'A.  Passages are then
-compared with the items by cosine in that space, and candidates are checked in the text
-around them: the longest common subsequence of words must cover ``LCS`` of the item, or
+compared with the items by cosine in that space, as a share of the cosine that the
+item's own copy has there (many items don't fit in ``RANK`` dimensions and keep only a
+part of their norm; under ``KEPT`` of it the share is taken of ``KEPT``).  Beside this,
+an exact route looks up every run of ``GRAM`` words among those of the items, so that a
+copy is found however little the space keeps of its item; ``cosine`` is 0 for what only
+this route finds.  Candidates of both are checked in the text around them: the longest common subsequence of words must cover ``LCS`` of the item, or
 ``PARAPHRASE`` of it when the item's answer (its last sentence) is there too.
 
 Defined cases: null and empty texts have no passage and are clean; items without words
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
-from .words import Words, slices, words_of
+from .words import Words, runs, slices, window_hashes, words_of
 
 BLOCK = 8
 #: Passage lengths in blocks; an item is looked up at the shortest that holds it.
@@ -40,6 +44,10 @@ SPANS = (4, 6, 8, 11, 16)
 RANK = 256
 ITEMS = 30.0
 COSINE = 0.48
+#: Least share of an item's squared norm in the latent space by which its cosines are scaled.
+KEPT = 0.25
+#: Words of the runs that are looked up; runs of more than FEW items serve only the items that have no LEAST_GRAMS rarer ones.
+GRAM, FEW, LEAST_GRAMS = 3, 64, 4
 #: Weight of words outside the benchmark, as a share of the largest.
 FOREIGN = 1.0
 LCS, PARAPHRASE, ANSWER = 0.7, 0.5, 0.8
@@ -247,6 +255,44 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - v.bit_count()
 
 
+class Grams:
+    """Runs of ``GRAM`` words of the items: by hash, the items and their places there."""
+
+    def __init__(self, items: list[Item]):
+        self.items = items
+        self.length = np.array([len(i.words) for i in items], np.int64)
+        w = words_of(pa.array([b" ".join(i.words) for i in items], pa.binary()))
+        starts, item = runs(w.first, GRAM)
+        key, place = window_hashes(w.hash, starts, GRAM), starts - w.first[item]
+        order = np.lexsort((place, item, key))
+        key, item, place = key[order], item[order], place[order]
+        # One row for each run and item, with its first and last place in the item.
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (item[1:] != item[:-1])])[: len(key)])
+        last = np.append(new[1:], len(key))[: len(new)] - 1
+        key, item, first, last = key[new], item[new], place[new], place[last]
+        _, group, count = np.unique(key, return_inverse=True, return_counts=True)
+        order = np.lexsort((count[group], item))
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.arange(len(key)) - np.searchsorted(item[order], item[order])
+        keep = (count[group] <= FEW) | (rank < LEAST_GRAMS)
+        self.known, self.item, self.first, self.last = Vocabulary(key[keep]), item[keep], first[keep], last[keep]
+        self.bounds = np.append(np.searchsorted(key[keep], self.known.hashes), keep.sum())
+
+    def candidates(self, w: Words) -> Iterator[tuple[int, int, int, Item, float]]:
+        """(text, first word, end word, item, 0.0) of every place where a run of an item stands."""
+        starts, text = runs(w.first, GRAM)
+        number = self.known.number(window_hashes(w.hash, starts, GRAM))
+        some = np.flatnonzero(number >= 0)
+        begin, size = self.bounds[number[some]], self.bounds[number[some] + 1] - self.bounds[number[some]]
+        hit = np.repeat(some, size)
+        row = np.arange(len(hit)) - np.repeat(np.cumsum(size) - size - begin, size)
+        item = self.item[row]
+        low, high = starts[hit] - self.last[row], starts[hit] - self.first[row] + self.length[item]
+        # Runs of one copy point to one place, which is checked once.
+        for t, i, a, b in np.unique(np.stack([text[hit], item, low // BLOCK, high // BLOCK], axis=1), axis=0):
+            yield int(t), int(max(w.first[t], (a - 1) * BLOCK)), int(min(w.first[t + 1], (b + 2) * BLOCK)), self.items[i], 0.0
+
+
 class Index:
     """Benchmark items, their latent vectors and the projection of words."""
 
@@ -260,7 +306,11 @@ class Index:
             norm = float(np.sqrt((idf[number] ** 2).sum())) if words else 0.0
             if norm > 0:
                 span = next((s for s in SPANS if s * BLOCK >= len(words)), SPANS[-1])
-                self.items[span].append(Item(item_id, words, answer_of(text), self.project[number].sum(axis=0) / norm, span))
+                vector = self.project[number].sum(axis=0) / norm
+                # The cosine of the item's own copy, which scales those of all passages.
+                own = min(1.0, max(KEPT, float(vector @ vector)))
+                self.items[span].append(Item(item_id, words, answer_of(text), vector / own, span))
+        self.grams = Grams([i for items in self.items.values() for i in items])
         self.matrix = {s: np.array([i.vector for i in items], np.float32).T for s, items in self.items.items() if items}
 
     def candidates(self, w: Words, cosine: float) -> Iterator[tuple[int, int, int, Item, float]]:
@@ -277,6 +327,7 @@ class Index:
                     low = max(w.first[text], p.starts[at] - BLOCK)
                     high = min(w.first[text + 1], p.starts[at] + (span + 1) * BLOCK)
                     yield int(text), int(low), int(high), self.items[span][column], min(1.0, float(cosines[row, column]))
+        yield from self.grams.candidates(w)
 
 
 def build_index(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index:

@@ -246,6 +246,22 @@ def test_decontamination(spark, docs, none):
     assert op10_decontamination.common_subsequence(b"a b c d".split(), b"x a c y d".split()) == 3
 
 
+def test_decontamination_finds_copies_of_thousands_of_items(spark):
+    rng = random.Random(17)
+    words = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randrange(15, 60)))) for i in range(3000)]
+    rows = []
+    for i in range(600):
+        text = rng.choices(words, k=60) + [f"c{rng.randrange(3000)}" for _ in range(60)]
+        if i % 2 == 0:
+            text[60:60] = items[5 * i][1].split()
+        rows.append((i, " ".join(text), "en", "a", 0))
+    df = spark.createDataFrame(rows, SCHEMA)
+    index = op10_decontamination.build_index(df, spark.createDataFrame(items, "item_id long, text string"), rank=64)
+    got = {r.doc_id: r.item_id for r in op10_decontamination.search(df, index).collect() if r.contaminated}
+    assert got == {i: 5 * i for i in range(0, 600, 2)}
+
+
 def test_pipeline(spark, data):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = corpus_pipeline.table(spark, data, "documents")
