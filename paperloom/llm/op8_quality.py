@@ -1,13 +1,16 @@
 """Quality rules on tokeniser fertility, with bands per language and length.
 
 A public byte-fallback vocabulary encodes each word of a text on its own.  Measures:
-characters per token, share of byte-fallback tokens, and entropy of the text's tokens.
+characters per token, share of byte-fallback tokens, entropy of the text's tokens, and
+signs (``SYMBOL``) per character.
 A text is rejected when a measure leaves its band: for each language and length class
 (the whole part of log2 of the tokens) the band is median +- ``WIDTH`` robust standard
-deviations ((p90 - p10) / 2.563, at least ``FLOOR``, and at least ``NOISE`` over the root
-of the text's tokens) over all documents of the table.
-A class of fewer than ``LEAST`` documents takes its language's band; a language of
-fewer has none, as nothing is known of it.
+deviations ((p75 - p25) / 1.349, at least ``FLOOR``, and at least ``NOISE`` over the root
+of the text's tokens).  Bands are fitted on the texts that pass the base rules, each
+distinct text once, so neither junk nor groups of copies widen them; the band of signs is its language's.
+A class of fewer than ``LEAST`` such texts takes its language's band, a language of
+fewer that of its script; a script's band holds for any number of texts, with the
+deviation times the root of ``LEAST`` over it if they are fewer.
 
 Base rules come first: too few words, or too many words in repeated 5-word windows.
 
@@ -30,14 +33,18 @@ from .common import stored, table
 from .words import runs, slices, window_hashes, words_of, mix
 
 #: Deviation of the measure of one token.
-NOISE = {"chars_per_token": 1.5, "byte_share": 0.15, "entropy": 1.0}
+NOISE = {"chars_per_token": 1.5, "byte_share": 0.15, "entropy": 1.0, "symbol_share": 0.1}
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 WIDTH, LEAST = 6.0, 100
-#: Least standard deviation of characters per token, byte share and entropy.
-FLOOR = {"chars_per_token": 0.1, "byte_share": 0.02, "entropy": 0.2}
+#: Least standard deviation of each measure.
+FLOOR = {"chars_per_token": 0.1, "byte_share": 0.02, "entropy": 0.2, "symbol_share": 0.005}
 SYMBOL = np.zeros(256, np.int64)
 SYMBOL[list(b"#*$%&|<>")] = 1
+#: Script by the first byte of a letter's UTF-8: 1 Latin, 2 Greek, 3 Cyrillic, 4 Hebrew, 5 Arabic, 6 Indic and Thai, 7 other, 8 kana and signs, 9 Han, 10 Hangul; 0 none.
+SCRIPT = np.zeros(256, np.int64)
+for _low, _high, _script in ((0x41, 0x5B, 1), (0x61, 0x7B, 1), (0xC3, 0xCA, 1), (0xCD, 0xD0, 2), (0xD0, 0xD4, 3), (0xD6, 0xD8, 4), (0xD8, 0xDC, 5), (0xE0, 0xE1, 6), (0xE1, 0xE2, 7), (0xE3, 0xE4, 8), (0xE4, 0xEA, 9), (0xEA, 0xEE, 10), (0xF0, 0xF5, 7)):
+    SCRIPT[_low:_high] = _script
 SPACES = b" \t\n\r\x0b\x0c"
 
 
@@ -85,12 +92,22 @@ def repeated_words(w, width: int = WINDOW) -> np.ndarray:
     return np.diff(upto)
 
 
+def scripts(w) -> np.ndarray:
+    """Per text: the script of most of its letters."""
+    n, k = len(w.first) - 1, SCRIPT.max() + 1
+    word = np.repeat(np.arange(n), np.diff(w.first))
+    upto = np.zeros(len(w.data) + 1, np.int64)
+    np.add.at(upto, w.start, np.diff(word, prepend=0))
+    counts = np.bincount(np.cumsum(upto)[:-1] * k + SCRIPT[w.data], minlength=n * k).reshape(n, k)
+    return counts[:, 1:].argmax(axis=1) + 1 if n else np.zeros(0, np.int64)
+
+
 def duplicate_lines(text: bytes) -> int:
     lines = [x for x in text.split(b"\n") if x.strip(SPACES)]
     return len(lines) - len(set(lines))
 
 
-NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens"]
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens", "script"]
 
 
 def measures(docs: DataFrame, model: str, column: str = "text") -> DataFrame:
@@ -114,7 +131,7 @@ def measures(docs: DataFrame, model: str, column: str = "text") -> DataFrame:
                 for x in ids:
                     c = np.unique(x, return_counts=True)[1]
                     entropy.append(float(np.log2(len(x)) - (c * np.log2(c)).sum() / len(x)) if len(x) else 0.0)
-                columns = [np.diff(w.first), np.diff(word_chars), np.diff(symbols), [duplicate_lines(t) for t in texts], repeated_words(w), [len(x) for x in ids], [int(vocabulary.is_byte[x].sum()) for x in ids]]
+                columns = [np.diff(w.first), np.diff(word_chars), np.diff(symbols), [duplicate_lines(t) for t in texts], repeated_words(w), [len(x) for x in ids], [int(vocabulary.is_byte[x].sum()) for x in ids], scripts(w)]
                 arrays = [part.column("doc_id"), part.column("lang"), *(pa.array(np.asarray(c, np.int64)) for c in columns), pa.array(entropy, pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang", *NAMES, "entropy"])
 
@@ -126,11 +143,12 @@ def _bands(rows: DataFrame, keys: list[str], suffix: str, least: int) -> DataFra
     """Median and deviation of each measure by key; exact percentiles of rounded values, which combine by value."""
     aggregates = [F.count("*").alias("_n")]
     for name in FLOOR:
-        aggregates.append(F.percentile(F.round(name, 3), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias(f"_{name}"))
+        aggregates.append(F.percentile(F.round(name, 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{name}"))
     found = rows.groupBy(*keys).agg(*aggregates).filter(F.col("_n") >= least)
+    few = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(LEAST)) / F.col("_n"))) if least <= 1 else F.lit(1.0)
     for name, floor in FLOOR.items():
         p = F.col(f"_{name}")
-        found = found.withColumns({f"{name}_mid{suffix}": p[1], f"{name}_sd{suffix}": F.greatest((p[2] - p[0]) / 2.563, F.lit(floor))})
+        found = found.withColumns({f"{name}_mid{suffix}": p[1], f"{name}_sd{suffix}": F.greatest((p[2] - p[0]) / 1.349, F.lit(floor)) * few})
     return found.drop("_n", *(f"_{name}" for name in FLOOR)).withColumnsRenamed({k: f"_k{suffix}_{k}" for k in keys})
 
 
@@ -138,14 +156,21 @@ def judge(counted: DataFrame, least: int = LEAST) -> DataFrame:
     """Adds chars_per_token, byte_share, base_failed and kept to the rows of ``measures`` (a stored table)."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     some = F.greatest(F.col("n_tokens"), F.lit(1))
-    rows = counted.withColumns({"base_failed": failed, "chars_per_token": F.col("word_chars") / some, "byte_share": F.col("n_byte_tokens") / some, "length_class": F.floor(F.log2(some)).cast("int")})
-    fine, coarse = _bands(rows, ["lang", "length_class"], "_f", least), _bands(rows, ["lang"], "_c", least)
-    joined = rows.join(fine, F.col("lang").eqNullSafe(F.col("_k_f_lang")) & (F.col("length_class") == F.col("_k_f_length_class")), "left")
-    joined = joined.join(coarse, F.col("lang").eqNullSafe(F.col("_k_c_lang")), "left")
-    # Only texts of one language and length differ little in entropy, so it has no coarse band.
+    rows = counted.withColumns({"base_failed": failed, "chars_per_token": F.col("word_chars") / some, "byte_share": F.col("n_byte_tokens") / some, "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)), "length_class": F.floor(F.log2(some)).cast("int")})
+    # Copies of a text have equal counts in all columns.
+    fit = stored(rows.filter("NOT base_failed").select("lang", "length_class", *NAMES, *FLOOR).distinct(), "quality-fit")
+    joined = rows
+    for keys, suffix, enough in ((["lang", "length_class"], "_f", least), (["lang"], "_c", least), (["script", "length_class"], "_l", 1), (["script"], "_s", 1)):
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{suffix}_{k}"))
+        joined = joined.join(_bands(fit, keys, suffix, enough), same, "left")
+    # Only texts of one length differ little in entropy, so it has no band without one.  Signs
+    # don't depend on length, and a length class may be mostly junk, which is longer in tokens.
+    levels = {"entropy": ("_f", "_l"), "symbol_share": ("_c", "_s")}
     inside = F.lit(True)
     for name in FLOOR:
-        middle, sd = (F.col(f"{name}_{x}_f") if name == "entropy" else F.coalesce(f"{name}_{x}_f", f"{name}_{x}_c") for x in ("mid", "sd"))
+        middle, sd = (F.coalesce(*(f"{name}_{x}{s}" for s in levels.get(name, ("_f", "_c", "_s")))) for x in ("mid", "sd"))
         chance = NOISE[name] / F.sqrt(some)  # what a text of so few tokens deviates by chance
         inside = inside & F.coalesce(F.abs(F.col(name) - middle) <= WIDTH * F.greatest(sd, chance), F.lit(True))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "n_tokens", "chars_per_token", "byte_share", "entropy")

@@ -193,6 +193,33 @@ def test_quality(spark, docs, none):
     assert got == want
 
 
+
+@pytest.mark.parametrize("size", [600, 60])
+def test_quality_rejects_planted_junk(spark, size):
+    """Junk is a fifth of the distinct texts and copied, in tables of many and of few rows."""
+    rng = random.Random(23)
+    base = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(2000)]
+    rows, junk = [], set()
+    for i in range(size):
+        words = rng.choices(base, k=150)
+        if i % 5 == 0:
+            junk.add(i)
+            words = [w + rng.choice(["***", "&&&", "%%%"]) for w in words] if i % 10 else " | ".join(words).split(" ")
+        rows += [(i, " ".join(words), "en", "a", 0)] * (3 if i % 5 == 0 else 1)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: (r.base_failed, r.kept) for r in op8_quality.judge(op8_quality.stored(op8_quality.measures(df, op8_quality.model_path()), "quality-junk")).collect()}
+    assert not any(failed for failed, _ in got.values())
+    assert {i for i, (_, kept) in got.items() if not kept} == junk
+
+
+def test_scripts():
+    import pyarrow as pa
+
+    from paperloom.llm.words import words_of
+
+    assert op8_quality.scripts(words_of(pa.array([None, "", "abc д", "где a", "", "漢字 漢字 a", " 1 "]))).tolist() == [1, 1, 1, 3, 1, 9, 1]
+
+
 def brute_repeats(rows, width):
     seen = collections.Counter()
     split = [(i, (t or "").encode().split()) for i, t in rows]
