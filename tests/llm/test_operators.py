@@ -56,6 +56,33 @@ def test_licenses(spark, docs, none):
         assert key.search(pattern.replace("[cs]", "c")), name
 
 
+
+LICENCE_LINES = {
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
+    "Released under the MIT License.": "MIT",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "All rights reserved.": "",
+    "Distributed under the terms of the GNU Lesser General Public License v2.1.": "LGPL-2.1",
+    "Licensed under the GNU Affero General Public License, version 3 or later.": "AGPL-3.0",
+    "Licensed under the GNU General Public License.": "GPL",
+    "This text is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 2.5 Generic License.": "CC-BY-NC-SA",
+    "Licensed under CC BY-ND 1.0.": "CC-BY-ND",
+    "Published under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License": "CC-BY-NC-ND",
+    "Licensed under CC-BY-SA 3.0": "CC-BY-SA",
+    "Licensed under CC BY 4.0": "CC-BY",
+    "SPDX-License-Identifier: AGPL-3.0-or-later": "AGPL-3.0",
+    "SPDX-License-Identifier: CC-BY-NC-4.0": "CC-BY-NC",
+    "The licence of the car was under review.": "",
+}
+
+
+def test_license_families(spark, docs):
+    rows = spark.createDataFrame(list(LICENCE_LINES.items()), "text string, want string")
+    got = op1_licenses.scan(rows, known=op1_licenses.ALL_SENTENCES, rules=op1_licenses.ALL_RULES).collect()
+    assert {r.text: ",".join(r.licenses) for r in got} == LICENCE_LINES and not any(r.unclaimed for r in got)
+
+
 def test_token_ids_round_trip(spark, docs, none):
     assert op2_token_ids.encode_documents(none).count() == 0
     from tokenizers import Tokenizer
