@@ -19,8 +19,14 @@ copy is found however little the space keeps of its item; ``cosine`` is 0 for wh
 this route finds.  Candidates of both are checked in the text around them: the longest common subsequence of words must cover ``LCS`` of the item, or
 ``PARAPHRASE`` of it when the item's answer (its last sentence) is there too.
 
-Defined cases: null and empty texts have no passage and are clean; items without words
-match nothing; repeated rows get equal verdicts; whole texts are searched, whatever
+Items longer than the longest passage are looked up by pieces of that length, and checked
+in as much text as they have words, with a margin of an eighth of them.  Items of common
+words only have no cosine: of these, runs of ``GRAM`` words or more are found where the
+whole item stands word for word.
+
+Defined cases: null and empty texts have no passage and are clean; items without words,
+and items of fewer than ``GRAM`` words that are all common, match nothing; an item
+without an id counts once for each text, and the verdict's item_id is then null; repeated rows get equal verdicts; whole texts are searched, whatever
 their length; an empty table or benchmark gives clean verdicts.
 """
 
@@ -227,11 +233,26 @@ def basis(docs: DataFrame, vocabulary, idf: np.ndarray, items: list[np.ndarray],
 
 @dataclass
 class Item:
-    item_id: int
+    item_id: int | None
     words: list[bytes]
     answer: list[bytes]
-    vector: np.ndarray
-    span: int
+    #: All words are common: only the item word for word counts.
+    common: bool
+
+    @property
+    def key(self):
+        return (self.item_id, b" ".join(self.words) if self.item_id is None else b"")
+
+    @property
+    def margin(self) -> int:
+        """Words beside the item's place that are searched too."""
+        return max(BLOCK, len(self.words) // 8)
+
+
+def pieces(n: int) -> list[tuple[int, int]]:
+    """(first, end) of the pieces of an item of n words that are looked up; the last ends with the item."""
+    most = SPANS[-1] * BLOCK
+    return [(min(a, max(0, n - most)), min(n, a + most)) for a in range(0, max(n, 1), most)]
 
 
 def answer_of(text: str) -> list[bytes]:
@@ -290,28 +311,35 @@ class Grams:
         low, high = starts[hit] - self.last[row], starts[hit] - self.first[row] + self.length[item]
         # Runs of one copy point to one place, which is checked once.
         for t, i, a, b in np.unique(np.stack([text[hit], item, low // BLOCK, high // BLOCK], axis=1), axis=0):
-            yield int(t), int(max(w.first[t], (a - 1) * BLOCK)), int(min(w.first[t + 1], (b + 2) * BLOCK)), self.items[i], 0.0
+            margin = self.items[i].margin
+            yield int(t), int(max(w.first[t], a * BLOCK - margin)), int(min(w.first[t + 1], (b + 1) * BLOCK + margin)), self.items[i], 0.0
 
 
 class Index:
     """Benchmark items, their latent vectors and the projection of words."""
 
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, vectors: np.ndarray, rows: list[tuple[int, str]]):
+    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, vectors: np.ndarray, rows: list[tuple[int | None, str]]):
         self.vocabulary, self.idf = vocabulary, idf
         self.project = (vectors * idf[:, None]).astype(np.float32)
-        self.items: dict[int, list[Item]] = {s: [] for s in SPANS}
+        #: By span: the item and the place of each piece.
+        self.items: dict[int, list[tuple[Item, int]]] = {s: [] for s in SPANS}
+        found, rows_of_span = [], {s: [] for s in SPANS}
         for item_id, text in rows:
             words = text.encode().split()
             number = vocabulary.number(words_of(pa.array([text])).hash)
-            norm = float(np.sqrt((idf[number] ** 2).sum())) if words else 0.0
-            if norm > 0:
-                span = next((s for s in SPANS if s * BLOCK >= len(words)), SPANS[-1])
-                vector = self.project[number].sum(axis=0) / norm
-                # The cosine of the item's own copy, which scales those of all passages.
-                own = min(1.0, max(KEPT, float(vector @ vector)))
-                self.items[span].append(Item(item_id, words, answer_of(text), vector / own, span))
-        self.grams = Grams([i for items in self.items.values() for i in items])
-        self.matrix = {s: np.array([i.vector for i in items], np.float32).T for s, items in self.items.items() if items}
+            item = Item(item_id, words, answer_of(text), not (idf[number] > 0).any())
+            found.append(item)
+            for low, high in pieces(len(words)):
+                norm = float(np.sqrt((idf[number[low:high]] ** 2).sum()))
+                if norm > 0:
+                    span = next((s for s in SPANS if s * BLOCK >= high - low), SPANS[-1])
+                    vector = self.project[number[low:high]].sum(axis=0) / norm
+                    # The cosine of the item's own copy, which scales those of all passages.
+                    own = min(1.0, max(KEPT, float(vector @ vector)))
+                    self.items[span].append((item, low))
+                    rows_of_span[span].append(vector / own)
+        self.grams = Grams(found)
+        self.matrix = {s: np.array(v, np.float32).T for s, v in rows_of_span.items() if v}
 
     def candidates(self, w: Words, cosine: float) -> Iterator[tuple[int, int, int, Item, float]]:
         """(text, first word, end word, item, cosine) of every passage near an item."""
@@ -324,14 +352,16 @@ class Index:
                 for row, column in zip(*np.nonzero(cosines >= cosine), strict=True):
                     at = f[row]
                     text = p.text[at]
-                    low = max(w.first[text], p.starts[at] - BLOCK)
-                    high = min(w.first[text + 1], p.starts[at] + (span + 1) * BLOCK)
-                    yield int(text), int(low), int(high), self.items[span][column], min(1.0, float(cosines[row, column]))
+                    item, place = self.items[span][column]
+                    start = p.starts[at] - place
+                    low = max(w.first[text], start - item.margin)
+                    high = min(w.first[text + 1], start + max((span + 1) * BLOCK, len(item.words) + item.margin))
+                    yield int(text), int(low), int(high), item, min(1.0, float(cosines[row, column]))
         yield from self.grams.candidates(w)
 
 
 def build_index(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index:
-    rows = [(r.item_id, r.text or "") for r in benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL").orderBy("item_id", "text").limit(MOST_ITEMS + 1).collect()]
+    rows = [(r.item_id, r.text or "") for r in benchmark.select("item_id", F.col("text").cast("string").alias("text")).orderBy("item_id", "text").limit(MOST_ITEMS + 1).collect()]
     if len(rows) > MOST_ITEMS:
         raise ValueError(f"a benchmark of over {MOST_ITEMS} rows: search it in parts")
     words = words_of(pa.array([t for _, t in rows], pa.string()))
@@ -346,7 +376,7 @@ def build_index(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Inde
     # A word in over a tenth of all blocks tells nothing about which item a passage is.
     idf = np.where(counts > 0.1 * passages, 0.0, np.log((1 + passages) / (1 + counts)))
     number = vocabulary.number(words.hash)
-    items = [number[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+    items = [number[a + low : a + high] for a, b in zip(words.first[:-1], words.first[1:], strict=True) for low, high in pieces(b - a)]
     return Index(vocabulary, idf, basis(docs, held, idf, items, rank), rows)
 
 
@@ -368,20 +398,22 @@ def search(docs: DataFrame, index: Index, cosine: float = COSINE) -> DataFrame:
                 hits: list[set] = [set() for _ in range(part.num_rows)]
                 known: tuple | None = None
                 for text, low, high, item, close in ix.candidates(w, cosine):
-                    if item.item_id in hits[text]:
+                    if item.key in hits[text]:
                         continue
                     if known is None or known[:2] != (low, high):
                         known = (low, high, w.text(low, high).split())
                     around = known[2]
+                    if item.common and b" " + b" ".join(item.words) + b" " not in b" " + b" ".join(around) + b" ":
+                        continue
                     share = common_subsequence(item.words, around) / len(item.words)
                     answer = common_subsequence(item.answer, around) / len(item.answer)
                     bad = share >= LCS or (share >= PARAPHRASE and answer >= ANSWER)
                     if bad:
-                        hits[text].add(item.item_id)
-                    found = (bad, share, close, -item.item_id, answer)
-                    if best[text] is None or found > best[text]:
+                        hits[text].add(item.key)
+                    found = (bad, share, close, item.item_id is not None, -(item.item_id or 0), answer, item.item_id)
+                    if best[text] is None or found[:6] > best[text][:6]:
                         best[text] = found
-                columns = list(zip(*[(b[0], -b[3], b[2], b[1], b[4], len(h)) if b else (False, None, 0.0, 0.0, 0.0, 0) for b, h in zip(best, hits, strict=True)], strict=True))
+                columns = list(zip(*[(b[0], b[6], b[2], b[1], b[5], len(h)) if b else (False, None, 0.0, 0.0, 0.0, 0) for b, h in zip(best, hits, strict=True)], strict=True))
                 kinds = [pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names + extra)
 

@@ -316,6 +316,28 @@ def test_decontamination_finds_copies_of_thousands_of_items(spark):
     assert got == {i: 5 * i for i in range(0, 600, 2)}
 
 
+
+def test_decontamination_of_long_common_and_nameless_items(spark):
+    rng = random.Random(29)
+    word = lambda kind, n: " ".join(f"{kind}{rng.randrange(2000)}" for _ in range(n))
+    common = "it is in the of a to and as it was on the"
+    items = [(1, word("a", 206)), (2, word("b", 400)), (3, word("d", 900)), (None, word("n", 30)), (4, common), (5, word("e", 40))]
+    rows = []
+    for i in range(100):
+        parts = [" ".join(rng.sample(common.split(), 13)) + " " + word("c", 8) for _ in range(8)]
+        rows.append([i, " ".join(parts), "en", "a", 0])
+    for i, (_, text) in enumerate(items):
+        words = text.split()
+        if len(words) > 100:
+            for k in range(5, len(words), 9):
+                words[k] = "changed"
+        rows[10 * i][1] = f"{word('c', 50)} {' '.join(words)} {word('c', 50)}"
+    df = spark.createDataFrame([tuple(r) for r in rows], SCHEMA)
+    index = op10_decontamination.build_index(df, spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: (r.item_id, r.n_items) for r in op10_decontamination.search(df, index).collect() if r.contaminated}
+    assert got == {10 * i: (items[i][0], 1) for i in range(len(items))}
+
+
 def test_pipeline(spark, data):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = corpus_pipeline.table(spark, data, "documents")
