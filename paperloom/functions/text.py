@@ -129,7 +129,7 @@ def sentences(text: Column) -> Column:
 
 
 def _folded(text: Column, seed: int, step) -> Column:
-    codes = F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.ascii(F.substring(text, i, F.lit(1))).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    codes = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
     number = F.aggregate(codes, F.lit(seed).cast("long"), step)
     return F.lower(F.conv(number.cast("string"), 10, 36))
 

@@ -71,6 +71,18 @@ def block_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("pdf-1-"), T.fnv36(t)).alias("block_id"), F.concat(F.lit("paper-"), T.poly36(t)).alias("paper_id"))
 
 
+def line_block_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every line as a block, over page, kind, section and the whole line, and its id as a paper."""
+    return block_rows(lines(table(spark, sf_dir, "documents")))
+
+
+def block_rows(rows: DataFrame) -> DataFrame:
+    """``rows``: doc_id, pos, t."""
+    t = F.col("t")
+    source = F.concat_ws("|", F.lit("1"), "kind", "section", t)
+    return sectioned(rows.withColumn("kind", T.line_type(t))).select("doc_id", "pos", F.concat(F.lit("pdf-1-"), T.fnv36(source)).alias("block_id"), F.concat(F.lit("paper-"), T.poly36(t)).alias("paper_id"))
+
+
 def paragraph_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of lines: a new one begins after a short line, or where a line starts in lower case after a long one."""
     w = W.partitionBy("doc_id").orderBy("pos")
@@ -92,6 +104,17 @@ def cleaned_first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.readable(t).alias("clean"), T.truncated(t, 60).alias("short"), T.html_escaped(t).alias("escaped"), T.redacted(t).alias("safe"), F.size(T.values_of(t)).cast("long").alias("n_values"), F.array_join(T.values_of(t), "; ").alias("listed"))
 
 
+def cleaned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaning functions over every line of each document."""
+    return cleaned_rows(lines(table(spark, sf_dir, "documents")))
+
+
+def cleaned_rows(rows: DataFrame) -> DataFrame:
+    """``rows``: doc_id, pos, t."""
+    t = F.col("t")
+    return rows.select("doc_id", "pos", T.readable(t).alias("clean"), T.truncated(t, 60).alias("short"), T.html_escaped(t).alias("escaped"), T.redacted(t).alias("safe"), F.size(T.values_of(t)).cast("long").alias("n_values"), F.array_join(T.values_of(t), "; ").alias("listed"))
+
+
 QUERIES = {f"line_{name}": _detector(name) for name in T.SQL} | {
     "line_counts": line_counts,
     "line_types": line_types,
@@ -101,6 +124,8 @@ QUERIES = {f"line_{name}": _detector(name) for name in T.SQL} | {
     "paragraph_breaks": paragraph_breaks,
     "duplicate_lines": duplicate_lines,
     "cleaned_first_lines": cleaned_first_lines,
+    "line_block_ids": line_block_ids,
+    "cleaned_lines": cleaned_lines,
 }
 
 _FOLD = "lower(to_base(list_reduce(list_prepend({seed}::UBIGINT, list_transform(string_split(t, ''), lambda c: unicode(c)::UBIGINT)), lambda h, c: {step})::BIGINT, 36))"

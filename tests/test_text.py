@@ -91,3 +91,29 @@ def test_formats(spark):
     feed = '<feed><entry><id>http://x/abs/2401.1v2</id><title> A  B </title><published>2024-01-02</published><author><name>Ann</name></author><author><name>Bob</name></author><category term="cs.RO"/></entry></feed>'
     r = formats.atom_entries(spark.createDataFrame([(feed,)], "value string")).first()
     assert (r.title, r.authors, r.pdf, r.stable_id, r.year, r.primary) == ("A B", ["Ann", "Bob"], "http://x/pdf/2401.1v2", "2401.1", "2024", "cs.RO")
+
+
+def _fold36(text, seed, step):
+    h = seed
+    for c in text:
+        h = step(h, ord(c)) & 0xFFFFFFFF
+    out = ""
+    while h or not out:
+        h, d = divmod(h, 36)
+        out = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + out
+    return out
+
+
+def test_every_line_is_hashed_and_cleaned_at_full_length(spark):
+    from paperloom.operators import lines as L
+
+    long = "the same words stand at the start of these lines, far past the first eighty signs of them, "
+    texts = {1: f"{long}one\nsecond & <line> sk-abcdefgh12345", 2: f"{long}two\n\nthird; fourth / fifth é漢", 3: None}
+    rows = L.lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).cache()
+    want = {(d, p): t for d, text in texts.items() for p, t in enumerate((text or "").split("\n"))}
+    kinds = {(r.doc_id, r.pos): (r.kind, r.section) for r in L.sectioned(rows.withColumn("kind", L.T.line_type(L.F.col("t")))).collect()}
+    got = {(r.doc_id, r.pos): (r.block_id, r.paper_id) for r in L.block_rows(rows).collect()}
+    assert got == {k: ("pdf-1-" + _fold36("|".join(["1", *kinds[k], t]), 2166136261, lambda h, c: (h ^ c) * 16777619), "paper-" + _fold36(t, 0, lambda h, c: h * 31 + c)) for k, t in want.items()}
+    assert got[1, 0] != got[2, 0]
+    cleaned = {(r.doc_id, r.pos): (r.short, r.escaped, r.safe) for r in L.cleaned_rows(rows).collect()}
+    assert cleaned == {k: (t[:59].rstrip(" ") + "…" if len(t) > 60 else t, t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;"), t.replace("sk-abcdefgh12345", "[REDACTED_API_KEY]")) for k, t in want.items()}
