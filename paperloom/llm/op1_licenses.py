@@ -8,7 +8,9 @@ run is taken out, so a later, shorter rule can't claim its parts.  Identifiers t
 rule claims stay in ``unclaimed``.
 
 All of it is column expressions: no Python, no shuffle, one scan.  A text that has none
-of the sentences' key words (every known sentence has one, see ``KEY``) is not cut.
+of the sentences' key words (see ``KEY``) is not cut.  ``whole`` scans cut every text, look
+for key words in normalised sentences only (every known sentence has one of ``ALL_KEY``),
+and cut before and after an SPDX tag.
 
 Defined cases: null and empty texts have no sentences and no licence; repeated
 sentences count once in a run of the same identifier; extra columns are untouched by
@@ -130,13 +132,19 @@ ALL_RULES = (
 #: One of these words is in every known sentence.
 KEY = r"(?i)(licen[cs]e|copyright|rights reserved|permission|redistribut|warrant|liable|endorse|free software|public domain|unencumbered)"
 
-def _marked(text: Column) -> Column:
+#: One of these is in every sentence of ``ALL_SENTENCES``, normalised.
+ALL_KEY = r"(licen[cs]e|copyright|rights reserved|permission|redistribut|warrant|liable|endorse|free software|public domain|unencumbered|cc0|cc (by|attribution)|creative commons)"
+
+
+def _marked(text: Column, whole: bool = False) -> Column:
     """The text with a mark (U+0001) after each sentence; comment signs at line starts go.
 
     Sentences end at . ! or ? before white space, at a blank line, and at a line's end
     unless the next line goes on in lower case or in capitals.
     """
     plain = F.regexp_replace(text, r"(?m)^[ \t]*(?:#+|\*+|//+|--+|;+|%+)[ \t]?", "")
+    if whole:
+        plain = F.regexp_replace(plain, r"(?i)(SPDX-License-Identifier:[^\r\n]*?)[ \t]*(?:\*/|-->)?[ \t]*(?:\r?\n|$)", "\u0001$1\u0001")
     ended = F.regexp_replace(plain, r"([.!?])[ \t\r\n]+", "$1\u0001")
     return F.regexp_replace(ended, r"\r?\n[ \t]*(?:\r?\n|([A-Z0-9(][^A-Z]))", "\u0001$1")
 
@@ -147,13 +155,13 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[-–— \t\r\n]+", " "), r"[.!? ]+$", ""))
 
 
-def identifier(sentence: Column, known: tuple = SENTENCES) -> Column:
+def identifier(sentence: Column, known: tuple = SENTENCES, key: str = KEY) -> Column:
     """The known sentence's identifier, or null; the first pattern that matches the whole counts."""
     found = None
     for name, pattern in known:
         matches = sentence.rlike(f"^(?:{pattern})$")
         found = F.when(matches, name) if found is None else found.when(matches, name)
-    return F.when(sentence.rlike(KEY), found)
+    return F.when(sentence.rlike(key), found)
 
 
 def _matched(sequence: Column, known: tuple = RULES) -> Column:
@@ -170,18 +178,19 @@ def _matched(sequence: Column, known: tuple = RULES) -> Column:
     return F.aggregate(rules, start, step)
 
 
-def scan(docs: DataFrame, column: str = "text", known: tuple = SENTENCES, rules: tuple = RULES) -> DataFrame:
+def scan(docs: DataFrame, column: str = "text", known: tuple = SENTENCES, rules: tuple = RULES, whole: bool = False) -> DataFrame:
     """``docs`` with sentence_ids (in order, runs of one collapsed), licenses and unclaimed.
 
     Notices of holders (copyright, rights) belong to any licence and are no part of a run.
     """
     text = F.col(column).cast("string")
-    sentences = F.when(text.rlike(KEY), F.split(_marked(text), "\u0001")).otherwise(F.array().cast("array<string>"))
-    ids = F.filter(F.transform(F.transform(F.filter(sentences, lambda s: s.rlike(KEY)), normalised), lambda s: identifier(s, known)), lambda x: x.isNotNull())
+    some = text.isNotNull() if whole else text.rlike(KEY)
+    sentences = F.when(some, F.split(_marked(text, whole), "\u0001")).otherwise(F.array().cast("array<string>"))
+    ids = F.filter(F.transform(F.transform(sentences if whole else F.filter(sentences, lambda s: s.rlike(KEY)), normalised), lambda s: identifier(s, known, ALL_KEY if whole else KEY)), lambda x: x.isNotNull())
     one = F.aggregate(ids, F.array().cast("array<string>"), lambda acc, x: F.when(F.try_element_at(acc, F.lit(-1)).eqNullSafe(x), acc).otherwise(F.array_append(acc, x)))
     owned = F.filter(F.col("sentence_ids"), lambda x: ~x.isin("copyright", "rights"))
     sequence = F.when(F.size(owned) > 0, F.concat(F.lit("|"), F.array_join(owned, "|"), F.lit("|"))).otherwise(F.lit(""))
-    with_ids = docs.withColumn("sentence_ids", F.when(text.rlike(KEY), one).otherwise(F.array().cast("array<string>")))
+    with_ids = docs.withColumn("sentence_ids", F.when(some, one).otherwise(F.array().cast("array<string>")))
     with_match = with_ids.withColumn("_m", F.when(F.size("sentence_ids") > 0, _matched(sequence, rules)))
     unclaimed = F.filter(F.split(F.col("_m.rest"), r"\|"), lambda x: x != "")
     empty = F.array().cast("array<string>")
@@ -200,7 +209,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_license_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scan with all families of licences; its SQL isn't stated, so tests hold it against lines."""
-    return _columns(scan(table(spark, sf_dir, "documents").select("doc_id", "text"), known=ALL_SENTENCES, rules=ALL_RULES))
+    return _columns(scan(table(spark, sf_dir, "documents").select("doc_id", "text"), known=ALL_SENTENCES, rules=ALL_RULES, whole=True))
 
 
 def oracle() -> str:

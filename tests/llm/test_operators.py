@@ -83,6 +83,23 @@ def test_license_families(spark, docs):
     assert {r.text: ",".join(r.licenses) for r in got} == LICENCE_LINES and not any(r.unclaimed for r in got)
 
 
+
+def test_license_families_cut_by_lines(spark):
+    want = {
+        "CC0 1.0 Universal": ("cc0", "CC0-1.0"),
+        "This work is dedicated to the public\ndomain.": ("cc0", "CC0-1.0"),
+        "All rights\nreserved.": ("rights", ""),
+        "# SPDX-License-Identifier: MIT\nimport os\nprint(os)": ("spdx_mit", "MIT"),
+        "/* SPDX-License-Identifier: GPL-2.0-only */\nint main;": ("spdx_gpl2", "GPL-2.0"),
+        "a line before\n# SPDX-License-Identifier: LGPL-2.1-or-later": ("spdx_lgpl21", "LGPL-2.1"),
+        "Licensed under CC\nBY 4.0": ("cc_by", "CC-BY"),
+    }
+    rows = spark.createDataFrame([(t,) for t in [*want, *LICENCE_LINES, None]], "text string")
+    got = {r.text: (",".join(r.sentence_ids), ",".join(r.licenses)) for r in op1_licenses.scan(rows, known=op1_licenses.ALL_SENTENCES, rules=op1_licenses.ALL_RULES, whole=True).collect()}
+    assert {t: got[t] for t in want} == want and got[None] == ("", "")
+    assert {t: got[t][1] for t in LICENCE_LINES} == LICENCE_LINES
+
+
 def test_token_ids_round_trip(spark, docs, none):
     assert op2_token_ids.encode_documents(none).count() == 0
     from tokenizers import Tokenizer
