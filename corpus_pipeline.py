@@ -47,8 +47,8 @@ STAGES = [
     ("token_ids", token_ids),
 ]
 
-#: Models, signatures, latent retrieval and tokenizers are beyond SQL; the stages are
-#: tested against brute-force versions instead.
+#: Models, signatures, latent retrieval and tokenizers are beyond SQL; tests
+#: hold the operators against brute force, and of the stages only columns and counts.
 ORACLE_SQL = None
 
 
