@@ -8,21 +8,20 @@ is found by one jump and a scan of a few words (``EliasFano.select``).
 
 File layout (little-endian): magic ``PLTK``, u8 version, u8 bytes per id, u16 zero,
 u64 documents, u64 ids, i64 rank of the range, i64 number of the shard in its range,
-u64 length of the doc_id block; the doc_id block (i64 each, zlib; the smallest i64 is
-null); Elias-Fano block (see ``EliasFano.to_bytes``) after its u64 length; the ids.
+u64 length of the doc_id block; the doc_id block (zlib: i64 each, then a bit each that is
+set for null); Elias-Fano block (see ``EliasFano.to_bytes``) after its u64 length; the ids.
 
 Defined cases: null text is empty and has only the end id; null doc_ids come first;
-equal doc_ids are ordered by their texts; a text longer than a shard is a shard of its
+equal doc_ids are ordered by a hash of their texts, then by their place in the input, so
+any number of them spreads over tasks; a text longer than a shard is a shard of its
 own; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +32,9 @@ from pyspark.sql import functions as F
 
 from . import files
 from .common import fresh_path, shuffle_partitions, stored, table, text_or_empty
-from .words import slices
+from .words import U, hashes_of_bytes, slices
 
-MAGIC, HEAD = b"PLTK", struct.Struct("<4sBBHQQqqQ")
-NULL_ID = -(1 << 63)
+MAGIC, VERSION, HEAD = b"PLTK", 2, struct.Struct("<4sBBHQQqqQ")
 END_ID = 1
 SHARD_IDS = 4_000_000
 SAMPLE = 256
@@ -92,183 +90,364 @@ class EliasFano:
         return cls(n, low_bits, np.frombuffer(raw, np.uint8, a, at), np.frombuffer(raw, np.uint8, b, at + a), np.frombuffer(raw, "<u4", c, at + a + b))
 
 
+#: The split that the fast path takes apart itself: the file's pre-tokenizer must have this pattern.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Kinds of bytes: white space, letters, digits, other signs, and what the fast path leaves to the tokenizer.
+BLANK, LETTER, DIGIT, SIGN, OTHER = range(5)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[[0x20, *range(0x09, 0x0E)]] = BLANK
+KIND[0x21:0x7F] = SIGN
+KIND[ord("a") : ord("z") + 1] = KIND[ord("A") : ord("Z") + 1] = LETTER
+KIND[ord("0") : ord("9") + 1] = DIGIT
+KIND[0xC3] = LETTER  # with a byte of 0x80-0xBF: the letters from U+00C0 to U+00FF
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 0x20
+
+
+class PieceStore:
+    """Ids of pre-tokens by their 64-bit hash, in arrays of fixed size.
+
+    Two of ten million pre-tokens share a hash with a probability under 1e-5.  At ``most``
+    entries those that weren't looked up since the last time go.
+    """
+
+    PROBES = 8
+
+    def __init__(self, most: int, kind: str):
+        self.most, self.bits = most, max(8, (2 * most - 1).bit_length())
+        self.kind = kind
+        self.reset()
+
+    def reset(self) -> None:
+        size = (1 << self.bits) + self.PROBES
+        self.keys, self.entry = np.zeros(size, U), np.full(size, -1, np.int32)
+        self.n, self.used = 0, np.zeros(self.most, bool)
+        self.start, self.size = np.zeros(self.most, np.int32), np.zeros(self.most, np.int32)
+        self.ids = np.zeros(0, self.kind)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of every key, -1 for none."""
+        slot = (keys >> U(64 - self.bits)).astype(np.int64)
+        out = np.where(self.keys[slot] == keys, self.entry[slot], -1)
+        left = np.flatnonzero((out < 0) & (self.entry[slot] >= 0))
+        for probe in range(1, self.PROBES):
+            if not len(left):
+                break
+            at = slot[left] + probe
+            here = self.keys[at] == keys[left]
+            out[left[here]] = self.entry[at[here]]
+            left = left[~here & (self.entry[at] >= 0)]
+        self.used[out[out >= 0]] = True
+        return out
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Adds distinct keys that aren't there; what finds no slot or no room is left out."""
+        if self.n + len(keys) > self.most:
+            self.forget()
+        keep = slice(0, self.most - self.n)
+        keys, sizes = keys[keep], sizes[keep]
+        ids = ids[: int(sizes.sum())]
+        number = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        self.start[number], self.size[number] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
+        self.ids, self.n = np.concatenate([self.ids, ids]), self.n + len(keys)
+        slot, left = (keys >> U(64 - self.bits)).astype(np.int64), np.arange(len(keys))
+        for probe in range(self.PROBES):
+            free = left[self.entry[slot[left] + probe] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[slot[won] + probe], self.entry[slot[won] + probe] = keys[won], number[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            if not len(left):
+                break
+
+    def forget(self) -> None:
+        """Keeps what was looked up since the last time, at most half of the room."""
+        filled = np.flatnonzero(self.entry >= 0)
+        filled = filled[self.used[self.entry[filled]]][: self.most // 2]
+        keys, entry = self.keys[filled], self.entry[filled]
+        sizes = self.size[entry]
+        ids = self.ids[spans(self.start[entry], sizes)]
+        self.reset()
+        self.add(keys, sizes, ids)
+
+
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places start, start + 1 ... of every range of ``size``, one after the other."""
+    size = size.astype(np.int64)
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 class WordEncoder:
     """Ids of texts by a tokenizers file that encodes each of its pre-tokens on its own.
 
-    A corpus repeats its words, so their id strings are kept, and those of pre-tokens,
-    and only unseen pre-tokens go through the tokenizer, all of a batch in one call.  Texts of printable ASCII,
-    Latin-1 letters and white space are split here, exactly as the file's normalizer
-    and pre-tokenizer split them; any other text, or one that holds the string of a
-    special token, is encoded whole by the tokenizer.  Either store drops its
-    older half at ``most`` entries, so memory is bounded.
+    Texts of printable ASCII, the letters U+00C0 to U+00FF and white space are split here,
+    for a whole batch at once and exactly as the file's normalizer and pre-tokenizer split
+    them.  A corpus repeats its pre-tokens, so their ids are kept (``PieceStore``), and only
+    unseen ones go through the tokenizer.  Any other text, one that holds the string of a
+    special token, and every text under another pre-tokenizer is encoded whole.
     """
 
-    #: The file's own split, as it reads on the lower-case text that takes this path.
-    SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-    PLAIN = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xC0, 0x100)])
-
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[str, bytes] = {}  # pre-tokens
-        self.words: dict[str, bytes] = {}  # and what stands between white space
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.path, self._whole = path, None
+        self.pieces = Tokenizer.from_file(path)
+        vocabulary = self.pieces.get_vocab()
+        size = max(vocabulary.values(), default=0) + 1
+        self.width = 2 if size <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        ends = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.last[ends] = True
-
-    def plain(self, text: str) -> bool:
-        try:
-            return not text.encode("latin-1").translate(None, self.PLAIN) and not any(t in text for t in self.special)
-        except UnicodeEncodeError:
-            return False
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, self.kind)
-        stops = np.flatnonzero(self.last[ids]) + 1
-        if len(stops) == len(pieces):  # every piece ended where a pre-token did
-            raw, w, at = ids.tobytes(), self.width, 0
-            for piece, stop in zip(pieces, (stops * w).tolist(), strict=True):
-                self.known[piece] = raw[at:stop]
-                at = stop
-        else:
-            self.known.update(zip(pieces, self.whole(pieces), strict=True))
-
-    def spelled(self, words: list[str]) -> None:
-        """Puts the id strings of unseen words into ``words``, by their pre-tokens."""
-        split = [self.SPLIT.findall(w.lower()) for w in words]
-        known = self.known
-        unseen = list({p for pieces in split for p in pieces if p not in known})
-        if len(known) + len(unseen) > self.most:
-            known = self.known = dict(islice(known.items(), len(known) // 2, None))
-            unseen = list({p for pieces in split for p in pieces if p not in known})
-        for i in range(0, len(unseen), 2048):
-            self.learn(unseen[i : i + 2048])
-        of = known.__getitem__
-        self.words.update((w, b"".join(map(of, pieces))) for w, pieces in zip(words, split, strict=True))
-
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        tail = int(end).to_bytes(self.width, "little")
-        easy = [self.plain(t) for t in texts]
-        split = [t.split() if e else () for t, e in zip(texts, easy, strict=True)]
-        found = set().union(*split)
-        unseen = [w for w in found if w not in self.words]
-        if len(self.words) + len(unseen) > self.most:
-            self.words = dict(islice(self.words.items(), len(self.words) // 2, None))
-            unseen = [w for w in found if w not in self.words]
-        self.spelled(unseen)
-        of = self.words.__getitem__
-        return [b"".join(map(of, words)) + tail if e else self.whole([t])[0] + tail for t, e, words in zip(texts, easy, split, strict=True)]
+        self.special = [t.content.encode() for t in self.pieces.get_added_tokens_decoder().values()]
+        self.last = np.zeros(size, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        steps = (json.loads(self.pieces.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.fast = steps[0].get("pattern", {}).get("Regex") == SPLIT
+        # Pieces are normalised and split already.
+        self.pieces.normalizer = normalizers.Sequence([])
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.store = PieceStore(most, self.kind)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return [np.array(x.ids, self.kind) for x in self._whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learned(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of distinct pieces."""
+        sizes, found = [], []
+        for i in range(0, len(pieces), 2048):
+            some = pieces[i : i + 2048]
+            ids = np.array(self.pieces.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.kind)
+            stops = np.flatnonzero(self.last[ids]) + 1
+            if len(stops) != len(some):  # a piece without an end-of-word id
+                each = self.whole([p.decode() for p in some])
+                ids, stops = np.concatenate(each), np.cumsum([len(x) for x in each])
+            sizes.append(np.diff(stops, prepend=0))
+            found.append(ids)
+        return np.concatenate(sizes), np.concatenate(found)
+
+    def split(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(lower-case bytes, starts, ends of the pre-tokens, easy): ``bounds`` are the texts' places in ``data``."""
+        kind, low = KIND[data], LOWER[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        after = lead + 1
+        second = data[after]
+        sign = (second == 0x97) | (second == 0xB7)
+        low[after] = np.where((second < 0x9F) & (second != 0x97), second + np.uint8(0x20), second)
+        kind[after] = kind[lead] = np.where(sign, SIGN, LETTER)
+        hard = np.concatenate([[0], np.cumsum(kind == OTHER)])[bounds]
+        easy = np.diff(hard) == 0 if self.fast else np.zeros(len(bounds) - 1, bool)
+        raw = data.tobytes()
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                easy[np.searchsorted(bounds, at, side="right") - 1] = False
+                at = raw.find(token, at + 1)
+        edge = np.zeros(len(data) + 1, bool)
+        edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        edge[bounds] = True
+        at = np.flatnonzero(edge)
+        filled = kind[at[:-1]] != BLANK
+        start, end = at[:-1][filled], at[1:][filled]
+        # Contractions: a lone apostrophe takes the letters that follow it.
+        lone = np.flatnonzero((low[start[:-1]] == ord("'")) & (end[:-1] - start[:-1] == 1) & (start[1:] == end[:-1]) & (kind[start[1:]] == LETTER))
+        at = start[lone + 1]
+        lone = lone[bounds[np.searchsorted(bounds, at)] != at]  # in one text
+        at = start[lone + 1]
+        one, two = low[at].astype(np.int64), low[np.minimum(at + 1, end[lone + 1] - 1)].astype(np.int64)
+        two[end[lone + 1] - at < 2] = 0
+        taken = np.where(np.isin(one, list(b"stmd")), 1, np.where(np.isin(one << 8 | two, [int.from_bytes(x) for x in (b"re", b"ve", b"ll")]), 2, 0))
+        end[lone] += taken
+        start[lone + 1] += taken
+        some = end > start
+        return low, start[some], end[some], easy
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, each with ``end`` after it; number of ids of each text)."""
+        texts = texts.cast(pa.large_binary())
+        n = len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        bounds = offsets - offsets[0]
+        entry, easy = np.zeros(0, np.int64), np.ones(n, bool)
+        first = np.zeros(n + 1, np.int64)
+        sizes = ids = None
+        if len(data):
+            low, start, stop, easy = self.split(data, bounds)
+            inside = easy[np.searchsorted(bounds, start, side="right") - 1]
+            start, stop = start[inside], stop[inside]
+            first = np.searchsorted(start, bounds)
+            keys = hashes_of_bytes(low, start, stop)
+            entry = self.store.find(keys)
+            missed = np.flatnonzero(entry < 0)
+            sizes = np.where(entry < 0, 0, self.store.size[entry])
+            at, ids = self.store.start[entry].astype(np.int64), self.store.ids
+            if len(missed):
+                new, one, which = np.unique(keys[missed], return_index=True, return_inverse=True)
+                at_new = missed[one]
+                raw = low.tobytes()
+                new_sizes, new_ids = self.learned([raw[a:b] for a, b in zip(start[at_new].tolist(), stop[at_new].tolist(), strict=True)])
+                sizes[missed] = new_sizes[which]
+                at[missed] = len(ids) + (np.cumsum(new_sizes) - new_sizes)[which]
+                ids = np.concatenate([ids, new_ids])
+                self.store.add(new, new_sizes, new_ids)
+        upto = np.concatenate([[0], np.cumsum(sizes)]) if sizes is not None else np.zeros(1, np.int64)
+        counts = np.diff(upto[first])
+        hard = np.flatnonzero(~easy)
+        others = self.whole([texts[int(i)].as_py().decode("utf-8") for i in hard]) if len(hard) else []
+        for i, x in zip(hard, others, strict=True):
+            counts[i] = len(x)
+        out = np.empty(int(counts.sum()) + n, self.kind)
+        tail = np.cumsum(counts + 1) - 1
+        out[tail] = end
+        if sizes is not None:
+            begin = (tail - counts)[easy]
+            out[spans(begin, counts[easy])] = ids[spans(at, sizes)]
+        for i, x in zip(hard, others, strict=True):
+            out[tail[i] - len(x) : tail[i]] = x
+        return out, counts + 1
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
+    """The worker's encoder: about 60 MB, of which the store of 20 MB has a fixed size."""
     if path not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
 
-def write_file(folder: str, width: int, rank: int, number: int, doc_ids: list, ids: list[bytes]) -> tuple[str, int]:
-    ends = np.cumsum([len(x) // width for x in ids], dtype=np.int64)
+def write_file(folder: str, width: int, rank: int, number: int, doc_ids: pa.Array, counts: np.ndarray, ids: list[np.ndarray]) -> tuple[str, int]:
+    ends = np.cumsum(counts, dtype=np.int64)
     total = int(ends[-1])
-    keys = zlib.compress(np.array([NULL_ID if x is None else x for x in doc_ids], "<i8").tobytes(), 1)
+    absent = doc_ids.is_null().to_numpy(zero_copy_only=False)
+    values = doc_ids.fill_null(0).to_numpy().astype("<i8")
+    keys = zlib.compress(values.tobytes() + np.packbits(absent, bitorder="little").tobytes(), 1)
     bounds = EliasFano.build(ends, total + 1).to_bytes()
     path, out = files.create(folder, f"{rank:06d}-{number:06d}")
     with out:
-        out.write(HEAD.pack(MAGIC, 1, width, 0, len(ids), total, rank, number, len(keys)))
+        out.write(HEAD.pack(MAGIC, VERSION, width, 0, len(ends), total, rank, number, len(keys)))
         out.write(keys + struct.pack("<Q", len(bounds)) + bounds)
         for x in ids:
-            out.write(x)
+            out.write(x.tobytes())
     return path, total
 
 
-def read_file(path: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
-    """(doc_id, offset in the file's ids, ids) of each document, in the file's order."""
-    with files.stream(path) as f:
-        magic, _, width, _, n, total, _, _, keys = HEAD.unpack(f.read(HEAD.size))
-        if magic != MAGIC:
+class TokenFile:
+    """A shard read through its boundaries: any run of documents by two selects and one read."""
+
+    def __init__(self, f, path: str):
+        magic, version, self.width, _, self.n, self.total, _, _, keys = HEAD.unpack(f.read(HEAD.size))
+        if (magic, version) != (MAGIC, VERSION):
             raise ValueError(f"{path}: not a token file")
-        doc_ids = np.frombuffer(zlib.decompress(f.read(keys)), "<i8")
-        bounds = EliasFano.from_bytes(f.read(struct.unpack("<Q", f.read(8))[0]))
-        ends, at = bounds.values(), 0
-        for doc_id, end in zip(doc_ids.tolist(), ends.tolist(), strict=True):
-            yield None if doc_id == NULL_ID else doc_id, at, np.frombuffer(f.read((end - at) * width), f"<u{width}")
-            at = end
-        if at != total:
-            raise ValueError(f"{path}: {at} ids where {total} are announced")
+        raw = zlib.decompress(f.read(keys))
+        absent = np.unpackbits(np.frombuffer(raw, np.uint8, offset=8 * self.n), bitorder="little")[: self.n].astype(bool)
+        self.doc_ids = pa.array(np.frombuffer(raw, "<i8", self.n), pa.int64(), mask=absent)
+        length = struct.unpack("<Q", f.read(8))[0]
+        self.bounds = EliasFano.from_bytes(f.read(length))
+        self.f, self.first = f, HEAD.size + keys + 8 + length
+        if self.bounds.n != self.n or (self.n and self.bounds.select(self.n - 1) != self.total):
+            raise ValueError(f"{path}: the boundaries don't end at {self.total} ids")
+
+    def offset(self, i: int) -> int:
+        """Where the i-th document begins; for i = n, where the last one ends."""
+        return self.bounds.select(i - 1) if i else 0
+
+    def read(self, i: int, j: int) -> np.ndarray:
+        """The ids of documents i to j (not included)."""
+        start, end = self.offset(i), self.offset(j)
+        self.f.seek(self.first + start * self.width)
+        return np.frombuffer(self.f.read((end - start) * self.width), f"<u{self.width}")
 
 
 def read_document(path: str, i: int) -> np.ndarray:
-    """The ids of the file's i-th document alone: two selects and one ranged read."""
+    """The ids of the file's i-th document alone."""
     with files.seekable(path) as f:
-        _, _, width, _, _, _, _, _, keys = HEAD.unpack(f.read(HEAD.size))
-        f.seek(HEAD.size + keys)
-        length = struct.unpack("<Q", f.read(8))[0]
-        bounds = EliasFano.from_bytes(f.read(length))
-        start, end = bounds.select(i - 1) if i else 0, bounds.select(i)
-        f.seek(HEAD.size + keys + 8 + length + start * width)
-        return np.frombuffer(f.read((end - start) * width), f"<u{width}")
+        return TokenFile(f, path).read(i, i + 1)
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, partitions: int | None = None) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) into shard files; one row per file.
 
-    Returns (path, rank, number, ids), stored: the files are written once.
+    Returns (path, rank, number, documents, ids), stored: the files are written once.
     """
     n = partitions or max(2, shuffle_partitions(docs.sparkSession))
-    ordered = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # The last two keys split the rows of one doc_id, however many there are.
+    keyed = docs.select("doc_id", text_or_empty().alias("text")).withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash"), F.col("_row")]
+    ordered = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, rank, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        keys, held, size = [], [], 0
+        keys: list[pa.Array] = []
+        counts: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        size = 0
 
         def close():
-            nonlocal keys, held, size, number
-            path, total = write_file(folder, e.width, rank, number, keys, held)
-            keys, held, size, number = [], [], 0, number + 1
-            return pa.RecordBatch.from_pydict({"path": [path], "rank": [rank], "number": [number - 1], "ids": [total]}, schema=out)
+            nonlocal keys, counts, held, size, number
+            n_docs = sum(map(len, counts))
+            path, total = write_file(folder, e.width, rank, number, pa.concat_arrays(keys), np.concatenate(counts), held)
+            row = pa.RecordBatch.from_pydict({"path": [path], "rank": [rank], "number": [number], "documents": [n_docs], "ids": [total]}, schema=out)
+            keys, counts, held, size, number = [], [], [], 0, number + 1
+            return row
 
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                got = e.encode(part.column("text").to_pylist(), end_id)
-                for key, ids in zip(part.column("doc_id").to_pylist(), got, strict=True):
-                    if held and size + len(ids) > shard_ids * e.width:
+            for part in slices(batch, "text", 2 << 20):
+                ids, each = e.encode(part.column("text"), end_id)
+                upto = np.concatenate([[0], np.cumsum(each)])
+                i = 0
+                while i < len(each):
+                    # As many documents as the shard has room for; one in an empty shard in any case.
+                    j = int(np.searchsorted(upto, upto[i] + shard_ids - size, side="right")) - 1
+                    if j <= i and held:
                         yield close()
-                    keys.append(key)
-                    held.append(ids)
-                    size += len(ids)
+                        continue
+                    j = max(i + 1, j)
+                    keys.append(part.column("doc_id").slice(i, j - i))
+                    counts.append(each[i:j])
+                    held.append(ids[upto[i] : upto[j]])
+                    size += int(upto[j] - upto[i])
+                    i = j
         if held:
             yield close()
 
-    out = pa.schema([("path", pa.string()), ("rank", pa.int64()), ("number", pa.int64()), ("ids", pa.int64())])
-    return stored(ordered.mapInArrow(write, "path string, rank long, number long, ids long"), "token-files")
+    out = pa.schema([("path", pa.string()), ("rank", pa.int64()), ("number", pa.int64()), ("documents", pa.int64()), ("ids", pa.int64())])
+    return stored(ordered.mapInArrow(write, "path string, rank long, number long, documents long, ids long"), "token-files")
+
 
+def read_ids(manifest: DataFrame, run: int = 4096) -> DataFrame:
+    """One row per document of the files: doc_id, start among all ids, n_tokens, ids_crc32.
 
-def read_ids(manifest: DataFrame) -> DataFrame:
-    """One row per document of the files: doc_id, start among all ids, n_tokens, ids_crc32."""
+    A file is read by runs of documents, each found by its boundaries.
+    """
     # A few rows per shard: sums by range first, so the ordered sum is over ranges only.
     ranges = manifest.groupBy("rank").agg(F.sum("ids").alias("_n")).withColumn("_base", F.sum("_n").over(W.orderBy("rank")) - F.col("_n")).drop("_n")
     inner = F.sum("ids").over(W.partitionBy("rank").orderBy("number")) - F.col("ids")
-    # A task takes a few files; a file is read by one task as a stream.
+    # A task takes a few files; a file is read by one task.
     spread = max(2, shuffle_partitions(manifest.sparkSession))
     placed = manifest.withColumn("_inner", inner).join(ranges, "rank").select("path", (F.col("_base") + F.col("_inner")).alias("base")).repartition(spread)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                rows = [(k, base + at, len(x), zlib.crc32(x.astype("<u4").tobytes())) for k, at, x in read_file(path)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                with files.seekable(path) as f:
+                    found = TokenFile(f, path)
+                    for i in range(0, found.n, run):
+                        j = min(found.n, i + run)
+                        ids, start = found.read(i, j).astype("<u4"), found.offset(i)
+                        ends = np.array([found.offset(k) for k in range(i + 1, j + 1)]) - start
+                        starts = np.concatenate([[0], ends[:-1]])
+                        crc = [zlib.crc32(ids[a:b].data) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                        columns = [found.doc_ids.slice(i, j - i), pa.array(base + start + starts), pa.array(ends - starts), pa.array(crc, pa.int64())]
+                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_stored, shuffle_partitions, stored, table, text_or_empty
-from .words import U, Words, _Powers, mix, slices, window_hashes, words_of
+from .words import U, Words, hashes_of, mix, slices, window_hashes, words_of
 
 WINDOW, RUN = 35, 8
 #: Distinct pieces of one reference shard at most: about 100,000 words, so an automaton of some 50 MB.
@@ -70,9 +70,7 @@ def pieces(w: Words, width: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, .
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
     windows = np.diff(np.append(new, len(text)))
     first = start[new]
-    up, down = _Powers.of(n + 1)
-    total = np.concatenate([[U(0)], np.cumsum(w.hash * up[:-1])])
-    content = mix((total[first + windows + width - 1] - total[first]) * down[first] + windows.astype(U))
+    content = mix(hashes_of(w.hash, first, first + windows + width - 1) + windows.astype(U))
     return text[new], first, windows, kmer[at[new]], content
 
 

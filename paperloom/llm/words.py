@@ -31,21 +31,53 @@ def mix(x: np.ndarray) -> np.ndarray:
 VALUE = mix(np.arange(1, 257, dtype=U) * U(_BASE))
 
 
-class _Powers:
-    """Powers of the base and of its inverse, grown to the longest batch seen."""
+#: Bytes whose hashes are summed at once; only a longer word needs more powers, and those aren't kept.
+_SPAN = 1 << 18
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    found = []
+    for base in (_BASE, _INVERSE):
+        x = np.full(n, base, U)
+        x[:1] = 1
+        found.append(np.multiply.accumulate(x))
+    return found[0], found[1]
+
+
+_POWERS = _powers(_SPAN + 1)
+
+
+def hashes_of(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of ``values`` (64-bit) in each range start..end: not empty, starts and ends ascend.
+
+    Sums run over stretches of about ``_SPAN`` values, so memory doesn't grow with a batch.
+    """
+    out = np.empty(len(start), U)
+    i = 0
+    while i < len(start):
+        low = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, low + _SPAN, side="right")))
+        n = int(end[j - 1]) - low
+        up, down = _POWERS if n <= _SPAN else _powers(n + 1)
+        total = np.zeros(n + 1, U)
+        np.cumsum(values[low : low + n] * up[:n], out=total[1:])
+        a, b = start[i:j] - low, end[i:j] - low
+        out[i:j] = mix((total[b] - total[a]) * down[a])
+        i = j
+    return out
 
-    up = np.ones(1, U)
-    down = np.ones(1, U)
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << (n - 1).bit_length()
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                x = np.full(size, base, U)
-                x[0] = 1
-                setattr(cls, name, np.multiply.accumulate(x))
-        return cls.up[:n], cls.down[:n]
+def hashes_of_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``hashes_of`` over bytes, whose 64-bit values are looked up stretch by stretch."""
+    out = np.empty(len(start), U)
+    i = 0
+    while i < len(start):
+        low = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, low + _SPAN, side="right")))
+        out[i:j] = hashes_of(VALUE[data[low : int(end[j - 1])]], start[i:j] - low, end[i:j] - low)
+        i = j
+    return out
 
 
 @dataclass
@@ -83,10 +115,7 @@ def words_of(texts: pa.Array) -> Words:
     after[edge[edge > 0] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
     first = np.searchsorted(start, bounds)
-    up, down = _Powers.of(len(data) + 1)
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum(VALUE[data] * up[:-1], out=total[1:])
-    return Words(data, start, end, first, mix((total[end] - total[start]) * down[start]))
+    return Words(data, start, end, first, hashes_of_bytes(data, start, end))
 
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
