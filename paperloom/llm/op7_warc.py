@@ -10,9 +10,9 @@ holds a whole record beyond what the row it came from holds already, and the las
 chunk's digest is the record's.
 
 Defined cases: null html is an empty payload, a response; null url is an empty URI;
-equal page_ids with equal payloads have the same record type; null page_ids can't be
-named, so they never are the response of others and are written as responses of their
-own; an empty table gives no archives.
+equal page_ids with equal payloads have the same record type; a null page_id is less than
+any other, so such a row revisits the largest page_id of its payload, and is a response
+where no row of the payload has an id; an empty table gives no archives.
 """
 
 from __future__ import annotations
@@ -45,11 +45,11 @@ def record_types(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     sized = pages.select("page_id", "url", html.alias("html")).withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha1("html")})
-    large = sized.filter((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull())
+    large = sized.filter(F.col("payload_bytes") >= least)
     groups = large.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     groups = stored(groups.select(F.col("payload_digest").alias("_d"), F.col("payload_bytes").alias("_b"), "_first"), "warc-groups")
-    same = (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") == F.col("_b")) & F.col("page_id").isNotNull()
-    revisit = F.col("_first").isNotNull() & (F.col("_first") != F.col("page_id"))
+    same = (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") == F.col("_b"))
+    revisit = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("page_id"))
     return sized.join(groups, same, "left").select(
         "page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to")
     )
@@ -237,10 +237,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-g AS (SELECT payload_digest, payload_bytes, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 AND page_id IS NOT NULL GROUP BY ALL)
+g AS (SELECT payload_digest, payload_bytes, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
 SELECT p.page_id, p.payload_bytes::BIGINT AS payload_bytes, p.payload_digest,
-       CASE WHEN g.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN g.first <> p.page_id THEN g.first END AS refers_to
+       CASE WHEN g.first IS NOT NULL AND g.first IS DISTINCT FROM p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.first IS DISTINCT FROM p.page_id THEN g.first END AS refers_to
 FROM p LEFT JOIN g USING (payload_digest, payload_bytes)
 """
 
