@@ -20,13 +20,16 @@ e(z) <= (1 - 2c) |h|, and x is linked to y just when they share at least
 e(x) + e(y) - (1 - 2c) |h| of these edits.  So a y that misses h shares over e(x) of the
 edits of any x it is linked to.  Edits that no other member of the hub has can't be
 shared: an x with no more than e(x) others has no such link, and of those others all but
-e(x) of the rarest are enough to meet every y by equality.  What meets is compared
-exactly.  Random edits never meet, shared ones do, and no group is paired off.
+e(x) of the rarest are enough to meet every y by equality.  Members of one component
+aren't paired, nor those that are too far from the hub for any that they could meet.  What
+meets is compared exactly.
 
 Defined cases: fewer than ``WORDS`` words are one shingle of them all; texts without a
 word (null, empty, blank) have no shingle and are classes of their own; a null doc_id
-is carried along and never names a class unless all its class have none; repeated rows
-are copies; an empty table gives no rows.
+is carried along and never names a class unless all its class have none; equal doc_ids of
+different texts don't join their classes; repeated rows are copies; other columns of
+``docs`` are not read by ``classes`` and come through ``keep_one`` whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_or_empty
+from .common import shuffle_partitions, stored, table, text_or_empty
 from .components import components
 from .words import U, Words, mix, runs, slices, window_hashes, words_of
 
@@ -152,11 +155,12 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = W
     return docs.select("doc_id", node_of().alias("node"), text_or_empty().alias("text")).mapInArrow(sign, "doc_id long, node binary, bands array<long>")
 
 
-def compared(pairs: DataFrame, width: int = WORDS, weighted: bool = False, edits: bool = False) -> DataFrame:
-    """(a, b, similarity, size_b, removed, added) of pairs with their texts, exact by their shingles.
+def compared(pairs: DataFrame, texts: DataFrame, width: int = WORDS, weighted: bool = False, edits: bool = False, per_copy: int = 500) -> DataFrame:
+    """(a, b, similarity, size_b, removed, added) of pairs (a, b) of nodes, exact by their shingles.
 
-    ``edits`` adds the hashes of the shingles of b that a lacks and of those it adds.
-    Repeated shingles are told apart by their number when ``weighted``.
+    ``texts``: stored rows node, text.  A hub's text goes once to every ``per_copy`` of its
+    members, ahead of them; ``edits`` adds the hashes of the shingles of b that a lacks and
+    of those it adds.  Repeated shingles are told apart by their number when ``weighted``.
     """
 
     def sets(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -169,30 +173,41 @@ def compared(pairs: DataFrame, width: int = WORDS, weighted: bool = False, edits
         return text, shingle
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, np.ndarray] = {}
+        hub = np.zeros(0, U)
         for batch in batches:
-            for part in slices(batch, "text_a"):
-                text, shingle = sets(words_of(part.column("text_a")))
+            for part in slices(batch, "text"):
+                text, shingle = sets(words_of(part.column("text")))
                 bounds = np.searchsorted(text, np.arange(part.num_rows + 1))
-                out, changed = [], []
-                hub_texts = part.column("text_b")
-                for i, b in enumerate(part.column("b").to_pylist()):
-                    if b not in held:
-                        if len(held) > 200:
-                            held.clear()
-                        held[b] = sets(words_of(hub_texts.slice(i, 1)))[1]
-                    x, h = shingle[bounds[i] : bounds[i + 1]], held[b]
-                    common = len(np.intersect1d(x, h, assume_unique=True))
-                    out.append((common / max(1, len(x) + len(h) - common), len(h), len(h) - common, len(x) - common))
+                is_hub = part.column("a").is_null().to_numpy(zero_copy_only=False)
+                out, changed, rows = [], [], []
+                for i in range(part.num_rows):
+                    x = shingle[bounds[i] : bounds[i + 1]]
+                    if is_hub[i]:
+                        hub = x.copy()
+                        continue
+                    common = len(np.intersect1d(x, hub, assume_unique=True))
+                    rows.append(i)
+                    out.append((common / max(1, len(x) + len(hub) - common), len(hub), len(hub) - common, len(x) - common))
                     if edits:
-                        gone, new = np.setdiff1d(h, x, assume_unique=True), np.setdiff1d(x, h, assume_unique=True)
-                        changed.append(np.concatenate([gone, new]).view(np.int64).tolist())
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.float64(), pa.int64(), pa.int64(), pa.int64()], strict=True)]
-                names = ["a", "b", "similarity", "size_b", "removed", "added"]
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *columns] + [pa.array(changed, pa.list_(pa.int64()))] * edits, names + ["edits"] * edits)
+                        changed.append(np.concatenate([np.setdiff1d(hub, x, assume_unique=True), np.setdiff1d(x, hub, assume_unique=True)]))
+                if not rows:
+                    continue
+                take = pa.array(rows, pa.int64())
+                columns = [part.column("a").take(take), part.column("b").take(take)]
+                columns += [pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.float64(), pa.int64(), pa.int64(), pa.int64()], strict=True)]
+                if edits:
+                    offsets = np.concatenate([[0], np.cumsum([len(c) for c in changed])]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(changed).view(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "similarity", "size_b", "removed", "added"] + ["edits"] * edits)
 
     schema = "a binary, b binary, similarity double, size_b long, removed long, added long" + ", edits array<long>" * edits
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(compare, schema)
+    # Stored, so that the joins below are of plain exchanges and Spark can split the rows of a hot hub.
+    copies = stored(pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(per_copy)).cast("int").alias("_copies")), "near-copies")
+    member = pairs.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("_copies")).cast("int").alias("_salt")).join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", "b", "_salt", "text")
+    hubs = texts.select(F.col("node").alias("b"), "text").join(copies, "b").select(F.lit(None).cast("binary").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_salt"), "text")
+    n = max(2, shuffle_partitions(pairs.sparkSession))
+    dealt = member.unionByName(hubs).repartition(n, "b", "_salt").sortWithinPartitions("b", "_salt", F.col("a").asc_nulls_first())
+    return dealt.select("a", "b", "text").mapInArrow(compare, schema)
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:
@@ -206,31 +221,45 @@ def hub_pairs(members: DataFrame) -> DataFrame:
 def edited_pairs(stars: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
     """(a, b): members of one hub, of different components, that may be linked though one misses the hub.
 
-    ``stars``: stored rows of ``compared`` with edits, b the hub.
+    ``stars``: stored rows of ``compared`` with edits, b the hub; ``label``: node and label
+    of the linked nodes.  Within one component nothing is paired: the members of an edit's
+    largest component meet only those of its other components.
     """
     c = threshold / (1 + threshold)
     missed = F.col("similarity") < threshold
     open_ = stars.groupBy("b").agg(F.count("*").alias("k"), F.max(missed).alias("m")).filter("k > 1 AND m").select("b")
+    open_ = stored(open_, "near-open")
     cost = (1 - c) * F.col("removed") + c * F.col("added")
     bound = (1 - 2 * c) * F.col("size_b")
-    rows = stars.join(open_, "b").select("a", "b", missed.alias("missed"), cost.alias("cost"), bound.alias("bound"), F.explode("edits").alias("edit"))
-    often = rows.groupBy("b", "edit").agg(F.count("*").alias("f")).filter("f > 1")
+    named = stars.join(label.withColumnsRenamed({"node": "a", "label": "l"}), "a", "left").withColumn("l", F.coalesce("l", "a"))
+    rows = named.join(open_, "b").select("a", "b", "l", missed.alias("missed"), cost.alias("cost"), bound.alias("bound"), F.explode("edits").alias("edit"))
+    # By edit: its members by component, then the members in all, the components and the largest of them.
+    by_label = rows.groupBy("b", "edit", "l").agg(F.count("*").alias("n"))
+    often = by_label.groupBy("b", "edit").agg(F.sum("n").alias("f"), F.count("*").alias("labels"), F.max(F.struct("n", "l"))["l"].alias("top")).filter("f > 1")
+    often = stored(often, "near-often")
     # Per member all its shared edits, rarest first: at most the shingles of one text and its hub.
-    by_member = rows.join(often, ["b", "edit"]).groupBy("a", "b", "cost", "bound", "missed").agg(F.array_sort(F.collect_list(F.struct("f", "edit"))).alias("es"))
+    edit = F.struct("f", "edit", (F.col("labels") > 1).alias("open"), (F.col("l") == F.col("top")).alias("top"))
+    by_member = rows.join(often, ["b", "edit"]).groupBy("a", "b", "l", "cost", "bound", "missed").agg(F.array_sort(F.collect_list(edit)).alias("es"))
     held = stored(by_member.withColumn("s", F.size("es")), "near-shared")
     prefix = F.slice("es", F.lit(1), F.greatest(F.lit(1), F.col("s") - F.floor(F.col("cost") - 1e-6).cast("int")))
-    probe = held.filter(F.col("s") > F.col("cost") - 1e-6).select(F.col("a").alias("x"), "b", "bound", F.col("cost").alias("cx"), F.col("s").alias("sx"), F.explode(prefix).alias("e")).select("x", "b", "bound", "cx", "sx", F.col("e.edit").alias("edit"))
-    other = held.filter("missed").select(F.col("a").alias("y"), "b", F.col("cost").alias("cy"), F.col("s").alias("sy"), F.explode("es").alias("e")).select("y", "b", "cy", "sy", F.col("e.edit").alias("edit"))
-    # Neither can share more edits than it has, so most pairs can't reach what both would cost.
-    met = probe.join(other, ["b", "edit"]).filter((F.col("x") != F.col("y")) & (F.col("cx") + F.col("cy") - F.col("bound") <= F.least("sx", "sy") + 1e-6))
-    pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    for side in ("x", "y"):
-        pairs = pairs.join(label.withColumnsRenamed({"node": side, "label": f"l{side}"}), side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
-    return pairs.filter("lx <> ly").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    unpacked = ["e.edit", "e.top"]
+    probe = held.filter(F.col("s") > F.col("cost") - 1e-6).select(F.col("a").alias("x"), "b", "bound", F.col("l").alias("lx"), F.col("cost").alias("cx"), F.col("s").alias("sx"), F.explode(F.filter(prefix, lambda e: e["open"])).alias("e")).select("x", "b", "bound", "lx", "cx", "sx", *unpacked)
+    other = held.filter("missed").select(F.col("a").alias("y"), "b", F.col("l").alias("ly"), F.col("cost").alias("cy"), F.col("s").alias("sy"), F.explode(F.filter("es", lambda e: e["open"])).alias("e")).select("y", "b", "ly", "cy", "sy", *unpacked)
+    # Neither can share more edits than it has, so most members can't reach what the pair would
+    # cost even with the cheapest that they could meet here, and aren't joined.
+    best = stored(other.groupBy("b", "edit").agg(F.min("cy").alias("cy_all"), F.min(F.when(~F.col("top"), F.col("cy"))).alias("cy_rest"), F.max("sy").alias("sy_all")), "near-cheapest")
+    cheapest = F.when(F.col("top"), F.col("cy_rest")).otherwise(F.col("cy_all"))
+    probe = probe.join(best, ["b", "edit"]).filter(F.col("cx") + cheapest - F.col("bound") <= F.least("sx", "sy_all") + 1e-6).drop("cy_all", "cy_rest", "sy_all")
+    able = (F.col("lx") != F.col("ly")) & (F.col("cx") + F.col("cy") - F.col("bound") <= F.least("sx", "sy") + 1e-6)
+    met = None
+    for mine, theirs in (("NOT top", "TRUE"), ("top", "NOT top")):
+        some = probe.filter(mine).drop("top").join(other.filter(theirs).drop("top"), ["b", "edit"]).filter(able).select("x", "y")
+        met = some if met is None else met.unionByName(some)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WORDS, weighted: bool = False) -> DataFrame:
-    """doc_id, node, class_id (least doc_id of the class), class_size and first_rows (its rows of that id)."""
+    """doc_id, node, label (of the class; null without words), class_id (its least doc_id) and class_size."""
     rows_ = stored(signed(docs, bands, rows, width, weighted), "near-signed")
     with_words = rows_.filter("bands IS NOT NULL")
     # One row per distinct text, whatever the number of copies.
@@ -243,49 +272,43 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS,
     found = texts.join(wanted, (F.col("n_") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
     held = stored(found.dropDuplicates(["node"]), "near-texts")
 
-    def against(pairs: DataFrame, edits: bool) -> DataFrame:
-        first = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        return compared(_with_hub_texts(pairs, first, held), width, weighted, edits)
-
     edges = None
     pairs = stored(hub_pairs(members), "near-pairs")
     if not pairs.isEmpty():
-        stars = stored(against(pairs, True), "near-stars")
+        stars = stored(compared(pairs, held, width, weighted, True), "near-stars")
         edges = stars.filter(F.col("similarity") >= threshold).select("a", "b")
         more = stored(edited_pairs(stars, stored(components(edges), "near-labels"), threshold), "near-edited")
         if not more.isEmpty():
-            found = stored(against(more, False), "near-more")
+            found = stored(compared(more, held, width, weighted), "near-more")
             edges = edges.union(found.filter(F.col("similarity") >= threshold).select("a", "b"))
     named = rows_.select("doc_id", "node", F.col("bands").isNotNull().alias("_words"))
     if edges is not None:
-        named = named.join(components(edges), "node", "left")
+        named = named.join(stored(components(edges), "near-components"), "node", "left")
     else:
         named = named.withColumn("label", F.lit(None).cast("binary"))
     named = stored(named.withColumn("label", F.when(F.col("_words"), F.coalesce("label", "node"))), "near-named")
     groups = named.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    firsts = named.filter("label IS NOT NULL").groupBy("label", "doc_id").agg(F.count("*").alias("first_rows"))
-    groups = groups.join(firsts.withColumnsRenamed({"label": "l_", "doc_id": "d_"}), (F.col("label") == F.col("l_")) & F.col("class_id").eqNullSafe(F.col("d_"))).drop("l_", "d_")
-    alone = named.filter("label IS NULL").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(1).cast("long").alias("first_rows"))
-    return named.join(groups, "label").select("doc_id", "node", "class_id", "class_size", "first_rows").unionByName(alone)
-
-
-def _with_hub_texts(pairs: DataFrame, first: DataFrame, held: DataFrame, per_copy: int = 500) -> DataFrame:
-    """``first`` (a, b, text_a) with text_b; the text of a hub of many is copied once for every ``per_copy``."""
-    copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(per_copy)).cast("int").alias("_copies"))
-    hubs = held.withColumnsRenamed({"node": "b", "text": "text_b"}).join(copies, "b").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
-    spread = first.join(copies, "b").withColumn("_salt", F.pmod(F.xxhash64("a"), F.col("_copies")).cast("int")).drop("_copies")
-    return spread.join(hubs, ["b", "_salt"]).drop("_salt")
+    alone = named.filter("label IS NULL").select("doc_id", "node", "label", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return named.join(stored(groups, "near-groups"), "label").select("doc_id", "node", "label", "class_id", "class_size").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without all but one document of every class (the least doc_id)."""
-    spark_rows = stored(classes(docs, **options), "near-classes")
-    gone = spark_rows.filter(~F.col("doc_id").eqNullSafe(F.col("class_id")) | (F.col("first_rows") > 1)).select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"), (F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("_again")).distinct()
+    """The rows of ``docs`` without all but one document of every class: of its least doc_id, and of
+    the rows with that id one of the least node.
+
+    A class is known by its label, so classes whose doc_ids are null or equal stay apart.
+    """
+    found = stored(classes(docs, **options).filter("class_size > 1"), "near-classes")
+    # One row per class: null ids come last, as they name no class.
+    named = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "node")
+    stays = stored(found.groupBy("label").agg(F.min(named).alias("_s")).select(F.col("label").alias("_label"), F.col("_s.doc_id").alias("_i"), F.col("_s.node").alias("_m")), "near-stays")
+    # A node has one label, so these are one row for each distinct text in a class of several rows.
+    marks = stored(found.select("node", "label").distinct().withColumnRenamed("node", "_n").join(stays, F.col("label") == F.col("_label")).select("_n", "_label", "_i", "_m"), "near-marks")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), node_of().alias("_node"))
-    marked = rows.join(gone, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_node") == F.col("_n")), "left")
+    marked = rows.join(marks, F.col("_node") == F.col("_n"), "left")
     kept = marked.filter("_n IS NULL").select("_row.*")
-    again = marked.filter("_again").dropDuplicates(["_id"]).select("_row.*")
-    return kept.unionByName(again)
+    one = marked.filter((F.col("_node") == F.col("_m")) & F.col("_id").eqNullSafe(F.col("_i"))).dropDuplicates(["_label"]).select("_row.*")
+    return kept.unionByName(one)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
