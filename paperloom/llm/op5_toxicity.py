@@ -12,7 +12,8 @@ gradient with an L1 penalty.  Scoring covers every whole text, and needs no shuf
 Defined cases: null and empty text has no features and the severity of the thresholds
 alone; repeated rows get equal scores; labels of absent documents, with null grades or
 in conflict over one doc_id (the larger grade counts) do no harm; without any labelled
-row of either kind all severities are 0 and nothing is rejected.
+row of either kind all severities are 0 and nothing is rejected.  Other columns are kept by
+``score`` (but for those it adds, which it replaces) and all of them by ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_or_empty
+from .common import scratch, stored, table, text_or_empty
 from .words import slices
 
 #: Labelled rows that fitting takes at most, of either kind.
@@ -76,39 +77,18 @@ class CumulativeLink:
         return _sigmoid(np.asarray(score)[:, None] - self.thresholds[None, :])
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, l1: float = 2e-3, steps: int = 400) -> CumulativeLink:
+    def fit(cls, features: np.ndarray, matrix: np.ndarray, grades: np.ndarray, l1: float = 2e-3, steps: int = 400) -> CumulativeLink:
         """Proximal accelerated gradient on the mean negative log-likelihood plus l1 * |w|.
 
-        Features are screened first: those whose mean among toxic rows can't be told
-        from that among the others (under SCREEN standard errors), or that aren't among
-        the MOST_FEATURES clearest, stay at weight 0.  The rest are scaled to unit
-        variance while fitting.
+        ``matrix``: a row per text and a column per feature, scaled to unit variance while fitting.
         """
         n, k = len(grades), int(grades.max()) if len(grades) else 0
-        if k < 1 or grades.min() > 0:
+        if k < 1 or grades.min() > 0 or not len(features):
             return cls({}, np.full(max(k, 1), 35.0))
-        row = np.repeat(np.arange(n), [len(r) for r in rows])
-        used, flat = np.unique(np.concatenate(rows), return_inverse=True)
-        x, d = np.concatenate(values).astype(np.float64), len(used)
-        positive = grades > 0
-        n1, n0 = positive.sum(), (~positive).sum()
-        one = positive[row]
-        sums = [np.bincount(flat[m], v[m], minlength=d) for v in (x, x * x) for m in (one, ~one)]
-        mean1, mean0 = sums[0] / n1, sums[1] / n0
-        error = np.sqrt(np.maximum(sums[2] / n1 - mean1**2, 1e-9) / n1 + np.maximum(sums[3] / n0 - mean0**2, 1e-9) / n0)
-        z = np.where(np.bincount(flat, minlength=d) >= 3, np.abs(mean1 - mean0) / error, 0)
-        kept = np.sort(np.argsort(-z, kind="stable")[:MOST_FEATURES])
-        kept = kept[z[kept] >= SCREEN]
-        if not len(kept):
-            return cls({}, np.full(k, 35.0))
-        number = np.full(d, -1)
-        number[kept] = np.arange(len(kept))
-        inside = number[flat] >= 0
-        matrix = np.zeros((n, len(kept)), np.float32)
-        matrix[row[inside], number[flat[inside]]] = x[inside]
+        matrix = matrix.astype(np.float32)
         scale = matrix.std(axis=0) + 1e-6
         matrix /= scale
-        v = np.ones(len(kept), np.float32)
+        v = np.ones(len(features), np.float32)
         for _ in range(20):  # the largest curvature sets the step
             v = matrix.T @ (matrix @ v)
             size = float(np.linalg.norm(v))
@@ -127,7 +107,7 @@ class CumulativeLink:
             gt = np.array([(gu / like)[grades == j + 1].sum() - (gl / like)[grades == j].sum() for j in range(k)]) / n
             return matrix.T @ (-(gu - gl) / like / n).astype(np.float32), gt
 
-        w = np.zeros(len(kept))
+        w = np.zeros(len(features))
         y, ty, t, momentum = w.copy(), theta.copy(), theta.copy(), 1.0
         for _ in range(steps):
             gw, gt = gradient(y, ty)
@@ -139,7 +119,7 @@ class CumulativeLink:
             following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
             y, ty = new + (momentum - 1) / following * (new - w), new_t + (momentum - 1) / following * (new_t - t)
             w, t, momentum = new, new_t, following
-        return cls({int(used[kept[j]]): float(w[j] / scale[j]) for j in np.flatnonzero(w)}, t)
+        return cls({int(features[j]): float(w[j] / scale[j]) for j in np.flatnonzero(w)}, t)
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -148,40 +128,72 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(grade).alias("grade"))
 
 
+def screened(rows: DataFrame) -> DataFrame:
+    """The ``MOST_FEATURES`` clearest features of ``rows`` (grade, f, x): those in three texts or more whose
+    mean among toxic texts differs from that among the others by ``SCREEN`` standard errors or more.
+
+    ``rows`` has a row without a feature (null) for each text.  Sums by feature combine before the shuffle.
+    """
+    toxic, x = F.col("grade") > 0, F.col("x")
+    sums = {f"{k}{i}": F.sum(F.when(toxic if i else ~toxic, v).otherwise(0.0)) for i in (0, 1) for k, v in (("s", x), ("q", x * x))}
+    found = rows.filter("f IS NOT NULL").groupBy("f").agg(F.count("*").alias("n"), *[v.alias(k) for k, v in sums.items()])
+    texts = rows.filter("f IS NULL").agg(F.count_if(~toxic).alias("n0"), F.count_if(toxic).alias("n1"))
+    mean = {i: F.col(f"s{i}") / F.col(f"n{i}") for i in (0, 1)}
+    error = F.sqrt(sum(F.greatest(F.col(f"q{i}") / F.col(f"n{i}") - mean[i] * mean[i], F.lit(1e-9)) / F.col(f"n{i}") for i in (0, 1)))
+    clear = found.crossJoin(texts).filter("n >= 3 AND n0 > 0 AND n1 > 0").select("f", (F.abs(mean[1] - mean[0]) / error).alias("z"))  # one row of texts
+    return clear.filter(F.col("z") >= SCREEN).orderBy(F.round("z", 9).desc(), "f").limit(MOST_FEATURES).select("f")
+
+
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_ROWS, clean: int = CLEAN_ROWS) -> CumulativeLink:
-    """Fits on at most ``toxic`` + ``clean`` labelled documents, the first of either kind by a hash of their doc_id."""
-    known, order = stored(graded(labels), "toxicity-grades"), [F.xxhash64("doc_id"), "doc_id"]
-    # A top-k by hash: no task holds more than k rows.
-    sample = known.filter("grade > 0").orderBy(*order).limit(toxic).unionByName(known.filter("grade = 0").orderBy(*order).limit(clean))
-    # At most toxic + clean rows of (id, grade): their size is proven, so they are broadcast.
-    held = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, values = [], []
-            for text in batch.column("text").to_pylist():
-                found = words(text)
-                counts: Counter[int] = Counter()
-                for w, c in Counter(found).items():
-                    for f in feature_ids(w):
-                        counts[f] += c
-                of = sorted(counts)
-                ids.append(np.array(of, np.int32).tobytes())
-                values.append(strength(np.array([counts[f] for f in of], np.float32), len(found)).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade").cast(pa.int32()), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "grade", "ids", "vals"])
-
-    # The same labelled document may come in many rows; one of each is enough.
-    both = F.max(F.struct("ids", "vals"))
-    rows = held.mapInArrow(take, "doc_id long, grade int, ids binary, vals binary").groupBy("doc_id").agg(F.first("grade").alias("grade"), both.alias("x")).select("doc_id", "grade", "x.*").toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy()).tolist()
-    ids, values = rows.column("ids"), rows.column("vals")
-    at = lambda column, i, kind: np.frombuffer(column[i].as_py(), kind)
-    grades = rows.column("grade").to_numpy()[order].astype(np.int64)
-    return CumulativeLink.fit([at(ids, i, np.int32) for i in order], [at(values, i, np.float32) for i in order], grades)
+    """Fits on at most ``toxic`` + ``clean`` labelled documents, the first of either kind by a hash of their doc_id.
+
+    Features are screened in Spark; the driver gets the kept ones of these rows alone, at most
+    (toxic + clean) x ``MOST_FEATURES`` numbers.
+    """
+    with scratch(docs.sparkSession):
+        known, order = stored(graded(labels), "toxicity-grades"), [F.xxhash64("doc_id"), "doc_id"]
+        # A top-k by hash: no task holds more than k rows.
+        sample = known.filter("grade > 0").orderBy(*order).limit(toxic).unionByName(known.filter("grade = 0").orderBy(*order).limit(clean))
+        # At most toxic + clean rows of (id, grade): their size is proven, so they are broadcast.
+        held = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
+
+        def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    ids, values, sizes = [], [], []
+                    for text in part.column("text").to_pylist():
+                        found = words(text)
+                        counts: Counter[int] = Counter()
+                        for w, c in Counter(found).items():
+                            for f in feature_ids(w):
+                                counts[f] += c
+                        of = np.array(sorted(counts), np.int32)
+                        ids.append(of)
+                        values.append(strength(np.array([counts[f] for f in of.tolist()], np.float32), len(found)).astype(np.float32))
+                        sizes.append(len(of))
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (ids, values)]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade").cast(pa.int32()), *lists], ["doc_id", "grade", "ids", "vals"])
+
+        # The same labelled document may come in many rows; one of each is enough.
+        texts = held.mapInArrow(take, "doc_id long, grade int, ids array<int>, vals array<float>").groupBy("doc_id").agg(F.first("grade").alias("grade"), F.max(F.struct("ids", "vals")).alias("x"))
+        texts = stored(texts.select("doc_id", "grade", "x.*"), "toxicity-texts")
+        pairs = texts.select("doc_id", "grade", F.explode(F.arrays_zip("ids", "vals")).alias("p")).select("doc_id", "grade", F.col("p.ids").alias("f"), F.col("p.vals").cast("double").alias("x"))
+        kept = stored(screened(pairs.unionByName(texts.select("doc_id", "grade", F.lit(None).cast("int").alias("f"), F.lit(None).cast("double").alias("x")))), "toxicity-features")
+        grades = texts.select("doc_id", "grade").orderBy("doc_id").toArrow()
+        cells = pairs.join(F.broadcast(kept), "f").select("doc_id", "f", "x").toArrow()
+    ids = grades.column("doc_id").to_numpy()
+    features, column = np.unique(cells.column("f").to_numpy(), return_inverse=True)
+    matrix = np.zeros((len(ids), len(features)), np.float32)
+    matrix[np.searchsorted(ids, cells.column("doc_id").to_numpy()), column] = cells.column("x").to_numpy()
+    return CumulativeLink.fit(features, matrix, grades.column("grade").to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: CumulativeLink, column: str = "text") -> DataFrame:
-    """``docs`` with p_toxic, expected_severity (sum over j of P(grade > j)), severity and rejected."""
+    """``docs`` with p_toxic, expected_severity (sum over j of P(grade > j)), severity and rejected.
+
+    Columns of ``docs`` of these four names are replaced.
+    """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((model.weights, model.thresholds))  # non-zero weights of a fixed feature space
     names = [c for c in docs.columns if c not in ("p_toxic", "expected_severity", "severity", "rejected")]
@@ -198,7 +210,7 @@ def score(docs: DataFrame, model: CumulativeLink, column: str = "text") -> DataF
                     for w in found:
                         fs = known.get(w)
                         if fs is None:
-                            if len(known) > 300_000:
+                            if len(known) > 100_000:
                                 known.clear()
                             fs = known[w] = tuple(f for f in feature_ids(w) if f in weights)
                         for f in fs:
