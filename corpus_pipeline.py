@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with their
 columns; the last returns what was written for training.  Stages are meant to be
 written and read back one by one; ``run`` does that in the shared folder.
+
+Defined cases, in every stage: null and empty texts are clean, near-duplicates of nothing
+and taken once by the mix; null and repeated doc_ids are rows like others; a stage that
+keeps rows gives them with all their columns, whatever those are called; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import op2_token_ids, op3_mixing, op5_toxicity, op6_near_dedup, op10_decontamination
-from paperloom.llm.common import stored, table
+from paperloom.llm.common import scratch, stored, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):  # what a stage wrote for itself goes when its documents are written
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)
