@@ -4,13 +4,18 @@ A tree builder with implied tags (an open paragraph ends where a block begins, l
 items, cells, rows, options and definition terms end one another) feeds a renderer
 that emits all visible text: block spacing as blank lines, ordered and unordered lists
 with their markers and nesting, preformatted text as it stands, and tables with cells
-padded to the width of their column.  Not visible: head, scripts, styles, templates and
-other raw elements, comments, the ``hidden`` attribute, ``aria-hidden="true"``,
-``display:none`` and ``visibility:hidden`` styles, hidden inputs.
+padded to the width of their column, with column and row spans.  Of forms, the texts of
+text areas, the values of buttons and the chosen options of selects are visible; so are the
+texts of drawings and formulas.  Not visible: head, scripts, styles, templates, fallback
+content (``noscript``, ``iframe``, ``object``, ``canvas``, ``audio``, ``video``), data
+lists, titles, definitions and annotations of drawings and formulas, comments, the
+``hidden`` attribute, ``aria-hidden="true"``, ``display:none`` and ``visibility:hidden``
+styles, hidden inputs.
 
 Defined cases: null html gives null text; an empty page, or one of no visible text,
 gives an empty string; unclosed and stray tags never fail; nesting is kept on a stack of
-its own, so its depth is unbounded; repeated rows give equal texts.
+its own, so its depth is unbounded and costs nothing; repeated rows give equal texts; a
+column of the name of ``into`` is replaced, all others stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +34,7 @@ from .common import table
 from .words import slices
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style template noscript iframe object svg math canvas audio video head title select datalist textarea".split())
+RAW = frozenset("script style template noscript iframe object canvas audio video head title datalist desc defs metadata annotation annotation-xml".split())
 TEXT_ONLY = frozenset("script style textarea title iframe".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
 #: Blocks with a blank line before and after.
@@ -48,6 +54,8 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
 SCOPE = frozenset("table td th caption button html".split())
+#: Closing tags that reach through a scope.
+CROSSES = frozenset("tr tbody thead tfoot body html".split())
 
 TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|([!?])[^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -74,82 +82,101 @@ def hidden(node: Node) -> bool:
     return bool(a) and ("hidden" in a or a.get("aria-hidden", "").strip().lower() == "true" or bool(HIDDEN_STYLE.search(a.get("style", ""))))
 
 
+class Open:
+    """The stack of open elements, with the places of each tag on it, so that no step walks it."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    @property
+    def top(self) -> Node:
+        return self.stack[-1]
+
+    def push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        if node.tag in SCOPE:
+            self.scopes.append(at)
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open ``tag``, 0 for none."""
+        found = self.places.get(tag)
+        return found[-1] if found else 0
+
+    def cut(self, at: int) -> None:
+        """Closes the element at this place and all in it."""
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+
+    def close(self, tag: str) -> None:
+        at = self.last(tag)
+        if tag == "p" and not at:
+            self.top.children.append(Node("p"))
+        elif at and (tag in SCOPE or tag in CROSSES or not self.scopes or at > self.scopes[-1]):
+            self.cut(at)
+
+    def imply(self, tag: str) -> None:
+        """Ends what the opening of ``tag`` ends."""
+        if tag == "body" and self.last("head"):
+            self.cut(self.last("head"))
+        elif self.top.tag == "head" and tag in BLOCK:
+            self.cut(len(self.stack) - 1)
+        if tag in CLOSES_P:
+            at = self.last("p")
+            if at and (not self.scopes or at > self.scopes[-1]):
+                self.cut(at)
+        if tag in IMPLIED:
+            ends, limit = IMPLIED[tag]
+            low = max(self.last(x) for x in limit)
+            inside = [found[i] for x in ends if (found := self.places.get(x)) and (i := bisect_right(found, low)) < len(found)]
+            if inside:
+                self.cut(min(inside))
+
+
 def parse(source: str) -> Node:
     """The tree of a page; text is a str child."""
     root = Node("#root")
-    stack, at = [root], 0
+    open_, at = Open(root), 0
     n = len(source)
     while at < n:
         m = TAG.search(source, at)
         if m is None:
-            stack[-1].children.append(html.unescape(source[at:]))
+            open_.top.children.append(html.unescape(source[at:]))
             break
         if m.start() > at:
-            stack[-1].children.append(html.unescape(source[at : m.start()]))
+            open_.top.children.append(html.unescape(source[at : m.start()]))
         at = m.end()
         if m[4] is None:  # a comment, doctype or instruction
             continue
         tag = m[4].lower()
         if m[3]:
-            _close(stack, tag)
+            open_.close(tag)
             continue
-        _imply(stack, tag)
+        open_.imply(tag)
         raw = m[5]
         node = Node(tag, attributes_of(raw) if raw.strip("/ \t\n\r\f") else None)
-        stack[-1].children.append(node)
+        open_.top.children.append(node)
         if tag in VOID:
             continue
         if tag in TEXT_ONLY:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)
+            inner = source[at : end.start() if end else n]
+            node.children.append(html.unescape(inner) if tag == "textarea" else inner)
             if end is None:
                 break
-            node.children.append(source[at : end.start()])
             close = source.find(">", end.start())
             at = n if close < 0 else close + 1
             continue
-        stack.append(node)
+        open_.push(node)
     return root
 
 
-def _close(stack: list[Node], tag: str) -> None:
-    if tag == "p" and not any(x.tag == "p" for x in stack):
-        stack[-1].children.append(Node("p"))
-        return
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            del stack[i:]
-            return
-        if stack[i].tag in SCOPE and tag not in SCOPE and tag not in ("tr", "tbody", "thead", "tfoot", "body", "html"):
-            return
-
-
-def _imply(stack: list[Node], tag: str) -> None:
-    if tag == "body":  # ends a head left open
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "head":
-                del stack[i:]
-                break
-    elif stack[-1].tag == "head" and tag in BLOCK:
-        stack.pop()
-    if tag in CLOSES_P:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "p":
-                del stack[i:]
-                break
-            if stack[i].tag in SCOPE:
-                break
-    if tag in IMPLIED:
-        ends, limit = IMPLIED[tag]
-        found = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in ends:
-                found = i
-            elif stack[i].tag in limit:
-                break
-        if found is not None:
-            del stack[found:]
-
-
 def width(text: str) -> int:
     """Columns of a line: two for wide and full-width signs, none for combining marks."""
     if text.isascii():
@@ -219,7 +246,7 @@ def render(root: Node) -> str:
                 break
             above = frames[-1]
             if lines is above[2]:
-                if tag in BLOCK:
+                if tag in BLOCK or tag == "text":
                     lines.block(tag in SPACED)
                 continue
             lines.line()
@@ -245,6 +272,13 @@ def render(root: Node) -> str:
         elif tag == "img":
             if alt := child.attributes.get("alt", ""):
                 lines.text(alt)
+        elif tag == "textarea":
+            lines.block(False)
+            _preformatted(lines, "".join(x for x in child.children if isinstance(x, str)))
+            lines.block(False)
+        elif tag == "select":
+            for text in chosen(child):
+                lines.text(f" {text} ")
         elif tag == "input":
             if child.attributes.get("type", "text").lower() in ("submit", "button", "reset"):
                 lines.text(child.attributes.get("value", ""))
@@ -265,7 +299,7 @@ def render(root: Node) -> str:
             start = child.attributes.get("start", "1")
             frames.append([child, 0, lines, [tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1]])
         else:
-            if tag in BLOCK:
+            if tag in BLOCK or tag == "text":  # a line of a drawing
                 lines.block(tag in SPACED)
             frames.append([child, 0, lines, "pre" if tag == "pre" or state == "pre" else None])
     while done and not done[-1]:
@@ -273,6 +307,35 @@ def render(root: Node) -> str:
     return "\n".join(done)
 
 
+def plain(node: Node) -> str:
+    """The text in a node, white space collapsed."""
+    out, left = [], [node]
+    while left:
+        x = left.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            left.extend(reversed(x.children))
+    return SPACE.sub(" ", "".join(out)).strip(" ")
+
+
+def chosen(select: Node) -> list[str]:
+    """Texts of the options that a select shows: all of a list, else the last selected, else the first."""
+    options, left = [], [select]
+    while left:
+        x = left.pop()
+        if isinstance(x, str) or (x is not select and hidden(x)):
+            continue
+        if x.tag == "option":
+            options.append(x)
+        else:
+            left.extend(reversed(x.children))
+    size = select.attributes.get("size", "1")
+    if "multiple" not in select.attributes and not (size.isdigit() and int(size) > 1):
+        options = [x for x in options if "selected" in x.attributes][-1:] or options[:1]
+    return [plain(x) for x in options]
+
+
 def _inherited(node: Node, state):
     """What a nested flow knows of its list or table."""
     return state if isinstance(state, (dict, list)) else None
@@ -297,8 +360,10 @@ def _finish(node: Node, out: list[str], state, above: list) -> None:
     if tag in ("td", "th") and isinstance(state, dict):
         if not state["rows"]:
             state["rows"].append([])
-        span = node.attributes.get("colspan", "1")
-        state["rows"][-1].append((out, min(int(span), 1000) if span.isdigit() and int(span) else 1))
+        across, down = (node.attributes.get(k, "1") for k in ("colspan", "rowspan"))
+        across = min(int(across), 1000) if across.isdecimal() and int(across) else 1
+        down = min(int(down) or 65534, 65534) if down.isdecimal() else 1  # 0: to the end
+        state["rows"][-1].append((out, across, down))
         return
     if tag == "caption" and isinstance(state, dict):
         state["caption"] += out
@@ -326,13 +391,36 @@ def _finish(node: Node, out: list[str], state, above: list) -> None:
         lines.gap = True
 
 
+def _grid(rows: list[list[tuple]]) -> list[list[tuple[list[str], int]]]:
+    """Rows of (cell, columns), with empty cells under those that reach down from a row above."""
+    out = []
+    below: dict[int, int] = {}  # by column: rows that a cell above still takes
+    for row in rows:
+        line, column, taken = [], 0, {}
+        for cell, across, down in row:
+            while below.get(column):
+                line.append(([], 1))
+                column += 1
+            line.append((cell, across))
+            if down > 1:
+                taken.update(dict.fromkeys(range(column, column + across), down))
+            column += across
+        last = max((c for c, k in below.items() if k), default=-1)
+        while column <= last:
+            line.append(([], 1))
+            column += 1
+        below = {c: k - 1 for c, k in {**below, **taken}.items() if k > 1}
+        out.append(line)
+    return out
+
+
 def _table(state: dict) -> list[str]:
-    rows = [r for r in state["rows"] if r]
+    rows = _grid([r for r in state["rows"] if r])
     widths: list[int] = []
     for row in rows:
         column = 0
         for cell, span in row:
-            while len(widths) <= column:
+            while len(widths) < column + span:
                 widths.append(0)
             if span == 1:
                 widths[column] = max([widths[column], *(width(x) for x in cell)])
