@@ -25,6 +25,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
+
+
 def nonempty(text: Column) -> Column:
     """The text, or null if it is empty: absence is one thing everywhere."""
     return F.nullif(text, F.lit(""))
@@ -55,19 +60,21 @@ def distinct_first(values: Column) -> Column:
     return F.filter(values, lambda v, i: (key_of(v) != "") & (F.array_position(keys, key_of(v)) == i + 1))
 
 
+#: What separates the values of a list.
 SEPARATORS = r"[;；,，、\n/|]+"
-#: Values that say there is none.
+#: Those that say there is none.
 NOTHING = r"(?i)^(none|n/a|null|无|暂无|-+)$"
 
 
 def values_of(text: Column) -> Column:
     """Distinct values of a separated list: trimmed, 2 to 60 signs, none of ``NOTHING``."""
-    parts = F.transform(F.split(text, SEPARATORS), lambda x: F.regexp_replace(x, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", ""))
+    parts = F.transform(F.split(text, SEPARATORS), stripped)
     kept = F.filter(parts, lambda x: F.length(x).between(2, 60) & ~x.rlike(NOTHING))
     return distinct_first(kept)
 
 
 def people_of(text: Column) -> Column:
+    """The values of a list of names, without "et al." (a fixed pattern)."""
     people = F.transform(values_of(text), lambda x: F.trim(F.regexp_replace(x, r"(?i)(?<![A-Za-z0-9_])et\s+al\.?", "")))
     return F.filter(people, lambda x: x != "")
 
@@ -179,10 +186,12 @@ MATH = r"[=∑∫√∞≤≥≠≈→+\-*/^_{}\[\]()]"
 
 
 def is_reference(t: Column) -> Column:
+    t = stripped(t)
     return t.rlike(r"^\[\d+\]\s+") | t.rlike(r"^\d+\.\s+\p{Lu}[\p{L}.-]+,\s+\p{Lu}")
 
 
 def is_bibliography(t: Column) -> Column:
+    t = stripped(t)
     return (count(t, ",") >= 4) & (t.rlike(r"(?-U)\b(19|20)\d{2}\b") | t.rlike(r"(?i)\b(arxiv|preprint|proceedings|conference|journal|transactions)\b"))
 
 
@@ -207,6 +216,7 @@ def is_figure_label(t: Column) -> Column:
 
 
 def is_epigraph(t: Column) -> Column:
+    t = stripped(t)
     return (count(t, ALNUM) <= 14) & t.rlike(r"^I\s+(am|have|was|will|shall|can|could|would|should)\b") & (words_like(t, ACADEMIC) == 0)
 
 
@@ -240,9 +250,9 @@ def is_translatable(t: Column) -> Column:
 
 
 def is_formula(t: Column) -> Column:
-    """Short, with an operator for every three letters or so."""
+    """Short, with three operators or more, and one for every three letters or so."""
     signs, letters = count(t, MATH), count(t, LETTER)
-    return (F.length(t) <= 120) & (signs >= 2) & (signs >= 0.3 * letters)
+    return (F.length(t) <= 120) & (signs >= 3) & (signs >= 0.35 * letters)
 
 
 def spaced_heading(t: Column) -> Column:
@@ -270,22 +280,67 @@ def _like(pattern: str, words: str = ALNUM) -> str:
 
 
 _NAMES = r"[\p{L}\p{N}.]+"
+_STRIPPED = rf"regexp_replace(t, '^{SPACE_RE2}|{SPACE_RE2}$', '', 'g')"
 #: The detectors as SQL over a column ``t``.
 SQL = {
-    "is_reference": r"(regexp_matches(t, '^\[\d+\]\s+') OR regexp_matches(t, '^\d+\.\s+\p{Lu}[\p{L}.-]+,\s+\p{Lu}'))",
+    "is_reference": rf"(regexp_matches({_STRIPPED}, '^\[\d+\]\s+') OR regexp_matches({_STRIPPED}, '^\d+\.\s+\p{{Lu}}[\p{{L}}.-]+,\s+\p{{Lu}}'))",
     "is_bibliography": rf"({_n(',')} >= 4 AND (regexp_matches(t, '\b(19|20)\d{{2}}\b') OR regexp_matches(t, '(?i)\b(arxiv|preprint|proceedings|conference|journal|transactions)\b')))",
     "is_contribution_list": f"({_n(',')} >= 4 AND len(list_filter([{', '.join(repr(x) for x in CONTRIBUTIONS)}], lambda x: contains(lower(t), x))) > 0)",
     "is_front_title": f"({_n(ALNUM)} <= 12 AND {_like(TITLE)} >= greatest(3, floor({_n(ALNUM)} * 0.45)))",
     "is_author_list": f"({_n(_NAMES)} >= 8 AND {_n(',')} >= 3 AND {_like(NAME, _NAMES)} >= 0.65 * {_n(_NAMES)} AND {_like(PROSE, _NAMES)} <= 2)",
     "is_figure_label": f"({_n(MARKS)} = 0 AND {_n(ALNUM)} <= 8 AND ({_like(TITLE)} >= 2 OR {_like(LABELS)} >= 2))",
-    "is_epigraph": rf"({_n(ALNUM)} <= 14 AND regexp_matches(t, '^I\s+(am|have|was|will|shall|can|could|would|should)\b') AND {_like(ACADEMIC)} = 0)",
+    "is_epigraph": rf"({_n(ALNUM)} <= 14 AND regexp_matches({_STRIPPED}, '^I\s+(am|have|was|will|shall|can|could|would|should)\b') AND {_like(ACADEMIC)} = 0)",
     "is_attribution": f"({_n(_NAMES)} BETWEEN 3 AND 8 AND {_n(',')} >= 2 AND {_like(NAME, _NAMES)} >= {_n(_NAMES)} - 1)",
     "is_diagram_label": f"({_like(DIAGRAM)} >= 3 AND {_like(DIAGRAM)} >= 0.2 * {_n(ALNUM)})",
     "is_action_label": rf"(regexp_matches(lower(t), '^(demonstration data|autonomous data|robot data|non-robot data|multimodal web data|egocentric human data)\b') OR ({_n(ALNUM)} >= 10 AND {_like(ACTIONS)} >= 3))",
     "is_translatable": rf"(trim(t) <> '' AND NOT regexp_matches(t, '[□\x{{FFFD}}]') AND {_n(ALNUM)} >= 4 AND {_n(LETTER)} >= 8 AND len(regexp_extract_all(trim(t), '[\p{{L}}\p{{N}}\p{{P}}\p{{Zs}}]')) >= 0.85 * greatest(1, length(trim(t))))",
-    "is_formula": f"(length(t) <= 120 AND {_n(MATH)} >= 2 AND {_n(MATH)} >= 0.3 * {_n(LETTER)})",
+    "is_formula": f"(length(t) <= 120 AND {_n(MATH)} >= 3 AND {_n(MATH)} >= 0.35 * {_n(LETTER)})",
     "is_section_heading": rf"(regexp_matches(trim(t), '{SECTION_NAME}') OR regexp_matches(trim(t), '{SECTION_NUMBERED}') OR regexp_matches(trim(t), '{SECTION_LETTERED}'))",
 }
 _noise = " OR ".join(SQL[k] for k in ("is_reference", "is_bibliography", "is_contribution_list", "is_front_title", "is_author_list", "is_figure_label", "is_epigraph"))
 SQL["is_paragraph"] = rf"({_n(ALNUM)} >= 4 AND NOT ({_n(',')} >= 3 AND {_n(MARKS)} = 0) AND {_n(chr(92) + 'p{Ll}')} >= 6 AND NOT ({_noise}) AND NOT ({_n(MARKS)} = 0 AND ({SQL['is_diagram_label']} OR {SQL['is_action_label']})) AND ({_n(MARKS)} > 0 OR {_n(ALNUM)} >= 6))"
 DETECTORS = {k: globals()[k] for k in SQL}
+
+
+# -- text of pages ---------------------------------------------------------------------
+
+#: Dashes at a line's end, sections named at a paragraph's start.
+DASH_END = r"[-\u00ad\u2010-\u2015]$"
+INLINE_SECTION = r"(?i)^(abstract|introduction|conclusion|references)\s*[-\u2013\u2014]\s*(.+)$"
+
+
+def extracted(text: Column) -> Column:
+    """White space collapsed, and a number after a pi drawn together."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"([πΠ])\s+(\d)\s*\.\s*(\d)", "$1$2.$3"))
+
+
+def joined_lines(lines: Column) -> Column:
+    """The lines of a paragraph as one text; a dash at a line's end goes with the break after it."""
+
+    def add(text: Column, line: Column) -> Column:
+        bare = stripped(line)
+        return F.when(text == "", bare).when(text.rlike(DASH_END), F.concat(F.regexp_replace(text, DASH_END, ""), bare)).otherwise(F.concat(text, F.lit(" "), bare))
+
+    return extracted(F.aggregate(lines, F.lit(""), add))
+
+
+def inline_section(text: Column) -> Column:
+    """The section named at a paragraph's start ("Abstract - ..."), or null."""
+    name = F.regexp_extract(text, INLINE_SECTION, 1)
+    return F.when(name != "", F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substring(name, 2, 100))))
+
+
+def inline_body(text: Column) -> Column:
+    return stripped(F.regexp_extract(text, INLINE_SECTION, 2))
+
+
+def ends_sentence(text: Column) -> Column:
+    return stripped(text).rlike(r"[.!?。！？][)\"'\]]*$")
+
+
+def is_included(kind: Column, text: Column) -> Column:
+    """Whether a block of this kind is kept."""
+    plain = stripped(text)
+    heading = ~plain.rlike(r"(?i)^references$") & ~plain.rlike(r"^[A-Z]\.\s+Contributions$") & is_section_heading(plain)
+    chosen = F.when(kind == "paragraph", is_paragraph(plain)).when(kind == "heading", heading).when(kind == "caption", plain.rlike(r"(?i)^((fig\.|figure|table)\s*\d+[:.])")).otherwise(True)
+    return (plain != "") & chosen

@@ -52,8 +52,8 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
-    """node, type, label (first seen), count of mentions and papers."""
-    return rows.groupBy("node", "type").agg(F.min(F.struct("paper", "ord", "value")).alias("f"), F.count("*").alias("count"), F.countDistinct("paper").alias("papers")).select("node", "type", F.col("f.value").alias("label"), "count", "papers")
+    """node, type, label (first seen), count of mentions and papers; ``rows`` are distinct by paper and node."""
+    return rows.groupBy("node", "type").agg(F.min(F.struct("paper", "ord", "value")).alias("f"), F.count("*").alias("count"), F.count("paper").alias("papers")).select("node", "type", F.col("f.value").alias("label"), "count", "papers")
 
 
 def value_edges(rows: DataFrame) -> DataFrame:
@@ -108,8 +108,9 @@ def graph_top_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Co-occurrence edges between the 180 top nodes."""
     rows = mentions(spark, sf_dir)
-    top = top_nodes(nodes_of(rows), 180)
-    return induced(co_occurrence(rows, "keyword", CO_KEYWORD).unionByName(co_occurrence(rows, "method", CO_METHOD)), top)
+    # Rows of the top nodes only, before any pair is made: at most 180 nodes, so the semi join broadcasts them.
+    some = rows.join(F.broadcast(top_nodes(nodes_of(rows), 180).select("node")), "node", "left_semi")
+    return co_occurrence(some, "keyword", CO_KEYWORD).unionByName(co_occurrence(some, "method", CO_METHOD))
 
 
 def graph_top_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

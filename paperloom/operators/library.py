@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -85,10 +85,19 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.withColumn("rank", rank).filter("rank <= 20").select("user_id", (-F.col("k")).alias("event_id"), F.col("rank").cast("long").alias("rank"))
 
 
+def a1(row: Column, column: Column) -> Column:
+    """The address of a cell by its numbers from 0: letters in bijective base 26 (up to ZZZ), then the row."""
+    n = column.cast("long")
+    letters = [F.char(F.lit(65) + F.floor(n / 1) % 26), F.char(F.lit(65) + F.floor((n - 26) / 26) % 26), F.char(F.lit(65) + F.floor((n - 702) / 676) % 26)]
+    name = F.when(n < 26, letters[0]).when(n < 702, F.concat(letters[1], letters[0])).otherwise(F.concat(letters[2], letters[1], letters[0]))
+    return F.concat(name, (row + 1).cast("string"))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as a sparse grid: A1 addresses and used range by sheet."""
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sheet"), (F.col("l_partkey") % 1000).alias("r"), F.col("l_linenumber").alias("c"))
-    return l.groupBy("sheet").agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).cast("long").alias("cols"), F.max(F.concat(F.char(F.lit(65) + F.col("c")), (F.col("r") + 1).cast("string"))).alias("last_address"))
+    """Line items as a sparse grid by sheet: the used range and the addresses of its corner and of the first cell."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sheet"), (F.col("l_partkey") % 1000).alias("r"), (F.col("l_linenumber") * 17 + F.col("l_orderkey") % 900).cast("long").alias("c"))
+    used = l.groupBy("sheet").agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"), F.min(F.struct("r", "c")).alias("f"))
+    return used.select("sheet", "rows", "cols", a1(F.col("rows") - 1, F.col("cols") - 1).alias("last_address"), a1(F.col("f.r"), F.col("f.c")).alias("first_address"))
 
 
 def cost_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +118,7 @@ def first_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.groupBy("l_orderkey").agg(F.min(F.when(F.col("l_returnflag") == "R", F.struct("l_linenumber", "l_partkey")))["l_partkey"].alias("part"))
 
 
+_A1 = "CASE WHEN {c} < 26 THEN chr((65 + {c})::INT) WHEN {c} < 702 THEN chr((65 + ({c} - 26) // 26)::INT) || chr((65 + {c} % 26)::INT) ELSE chr((65 + ({c} - 702) // 676)::INT) || chr((65 + ({c} - 702) // 26 % 26)::INT) || chr((65 + {c} % 26)::INT) END"
 _O = "o AS (SELECT o_custkey AS path, o_orderpriority AS translation, o_orderkey AS paper_id, CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y') ELSE '' END AS year, o_orderstatus AS s FROM orders)"
 _ONE = "SELECT path, translation, min({'paper_id': paper_id, 'year': year}) AS f FROM o WHERE s = '%s' GROUP BY ALL"
 _RLP = "r AS (SELECT d.doc_id, d.source, l.doc_id IS NOT NULL AS linked, coalesce(o_orderstatus, 'none') AS status FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id LEFT JOIN orders ON o_orderkey = d.doc_id)"
@@ -121,7 +131,7 @@ ORACLES = {
     "link_relation": "WITH e AS (SELECT event_id AS pos, user_id AS row_id, floor(value)::BIGINT AS paper_id FROM events WHERE value IS NOT NULL), m AS (SELECT *, max(pos) OVER (PARTITION BY row_id) AS r, max(pos) OVER (PARTITION BY paper_id) AS p FROM e) SELECT pos, row_id, paper_id FROM m WHERE pos = r AND pos = p",
     "latest_opened": "SELECT o_custkey, max({'d': o_orderdate, 'k': o_orderkey}).k AS latest, count(*) FILTER (WHERE o_totalprice > 100000) AS large, count(*) AS n FROM orders GROUP BY o_custkey",
     "history": "WITH o AS (SELECT user_id, event_type, date_trunc('hour', ts) AS h, max(event_id) AS event_id FROM events GROUP BY ALL), r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY h DESC, event_id DESC) AS rank FROM o) SELECT user_id, event_id, rank::BIGINT AS rank FROM r WHERE rank <= 20",
-    "cells": "SELECT l_suppkey AS sheet, max(l_partkey % 1000) + 1 AS rows, (max(l_linenumber) + 1)::BIGINT AS cols, max(chr((65 + l_linenumber)::INT) || (l_partkey % 1000 + 1)::VARCHAR) AS last_address FROM lineitem GROUP BY 1",
+    "cells": f"WITH u AS (SELECT l_suppkey AS sheet, max(l_partkey % 1000) + 1 AS rows, (max(l_linenumber * 17 + l_orderkey % 900) + 1)::BIGINT AS cols, min({{'r': l_partkey % 1000, 'c': l_linenumber * 17 + l_orderkey % 900}}) AS f FROM lineitem GROUP BY 1) SELECT sheet, rows, cols, {_A1.format(c='(cols - 1)')} || rows AS last_address, {_A1.format(c='f.c')} || (f.r + 1) AS first_address FROM u",
     "cost_totals": "SELECT upper(c_mktsegment) AS currency, round(sum(c_acctbal::DECIMAL(18,4))::DOUBLE, 2) AS total FROM customer WHERE NOT isnan(c_acctbal) GROUP BY 1",
     "group_targets": "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS cells FROM lineitem GROUP BY 1",
     "first_matches": "SELECT l_orderkey, (min({'n': l_linenumber, 'p': l_partkey}) FILTER (WHERE l_returnflag = 'R')).p AS part FROM lineitem GROUP BY 1",

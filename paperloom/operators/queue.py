@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -61,11 +62,11 @@ def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def align_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests (user turns) with the first later answer of their conversation, '' where there is none."""
-    c = table(spark, sf_dir, "conversations")
-    ask = c.filter("role = 'user'").select("conv_id", "turn")
-    reply = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.length("text").alias("n"))
-    first = reply.groupBy("conv_id", "turn").agg(F.min("n").alias("n"))
-    return ask.join(first, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("n", F.lit(0)).cast("long").alias("answer_length"))
+    # From the end on, the last answer seen is the first that follows: a running value, no frame is read twice.
+    back = W.partitionBy("conv_id").orderBy(F.desc("turn"), "role", F.desc(F.length("text"))).rowsBetween(W.unboundedPreceding, -1)
+    answer = F.last(F.when(F.col("role") == "assistant", F.struct(F.length("text").alias("n"))), ignorenulls=True).over(back)
+    rows = table(spark, sf_dir, "conversations").withColumn("answer", answer)
+    return rows.filter("role = 'user'").select("conv_id", "turn", F.coalesce("answer.n", F.lit(0)).cast("long").alias("answer_length"))
 
 
 _I = "i AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'heading' WHEN role = 'user' THEN NULL ELSE 'paragraph' END AS kind, coalesce(text, '') AS original, CASE WHEN role = 'user' THEN '' WHEN length(text) % 3 = 0 THEN '' ELSE text END AS translation FROM conversations)"
@@ -79,5 +80,5 @@ ORACLES = {
     "queue_pending": f"WITH {_I} SELECT conv_id, turn FROM i WHERE {_P}",
     "queue_cache_lookup": f"WITH {_I}, k AS (SELECT *, md5(original) AS hash, {_NORM} AS norm FROM i), c AS (SELECT * FROM k WHERE translation <> ''), h AS (SELECT hash, arg_max(translation, {{'c': conv_id, 't': turn}}) AS t1 FROM c GROUP BY 1), n AS (SELECT norm, arg_max(translation, {{'c': conv_id, 't': turn}}) AS t2 FROM c GROUP BY 1) SELECT conv_id, turn, coalesce(t1, t2) IS NOT NULL AS hit, length(coalesce(t1, t2, ''))::BIGINT AS cached_length FROM k LEFT JOIN h USING (hash) LEFT JOIN n USING (norm)",
     "export_markdown": f"WITH {_I} SELECT conv_id, md5(string_agg('## ' || turn || chr(10) || '**Original**' || chr(10) || original || chr(10) || '**Translation**' || chr(10) || translation, chr(10) || chr(10) ORDER BY turn)) AS digest FROM i GROUP BY conv_id",
-    "align_responses": "WITH r AS (SELECT conv_id, turn - 1 AS turn, min(length(text)) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL) SELECT q.conv_id, q.turn, coalesce(n, 0)::BIGINT AS answer_length FROM conversations q LEFT JOIN r ON q.conv_id = r.conv_id AND q.turn = r.turn WHERE role = 'user'",
+    "align_responses": "WITH r AS (SELECT *, last_value(CASE WHEN role = 'assistant' THEN coalesce(length(text), 0) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn DESC, role, length(text) DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM conversations) SELECT conv_id, turn, coalesce(n, 0)::BIGINT AS answer_length FROM r WHERE role = 'user'",
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,22 +52,44 @@ def failure_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("event_id", F.when(F.col("bad"), F.col("failures")).otherwise(0).cast("long").alias("failures"), minutes.cast("long").alias("cooldown_minutes"))
 
 
-def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each request finds its key (user and type) cached: fetched at most 24 hours before.
+def cached(requests: DataFrame, keys: list[str], ttl_ms: int = CACHE_HOURS * 3600 * 1000) -> DataFrame:
+    """``requests`` (keys, ms, event_id) with fetched_ms and hit: found in the cache.
 
-    Every request refreshes the entry it finds, as a stored response would be read again.
+    Only a miss fetches and writes an entry, so each key is a chain of misses: the next is
+    the first request over ``ttl_ms`` after the last.  Tasks stream their keys in order and
+    hold the last fetch of one key.
     """
-    w = W.partitionBy("user_id", "event_type").orderBy("ms", "event_id")
-    age = F.col("ms") - F.lag("ms").over(w)
-    return _log(spark, sf_dir).select("event_id", F.coalesce(age <= CACHE_HOURS * 3600 * 1000, F.lit(False)).alias("hit"))
+    names = requests.columns
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fetched = None, None
+        for batch in batches:
+            out = []
+            for *k, ms in zip(*(batch.column(c).to_pylist() for c in [*keys, "ms"]), strict=True):
+                if k != key or ms - fetched > ttl_ms:
+                    key, fetched = k, ms
+                    out.append((ms, False))
+                else:
+                    out.append((fetched, True))
+            extra = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*names, "fetched_ms", "hit"])
+
+    ordered = requests.repartition(*keys).sortWithinPartitions(*keys, "ms", "event_id")
+    return ordered.mapInArrow(chain, requests.schema.add("fetched_ms", "long").add("hit", "boolean"))
+
+
+def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each request finds its key (user and type) cached: fetched at most 24 hours before."""
+    return cached(_log(spark, sf_dir).drop("value"), ["user_id", "event_type"]).select("event_id", "fetched_ms", "hit")
 
 
 def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs by user: the last event's state, interrupted if older than 30 minutes before the log's end."""
+    """Runs by user by the last event: purchases complete them, errors fail them, others run; a
+    running one is interrupted if older than 30 minutes before the log's end."""
     last = _log(spark, sf_dir).groupBy("user_id").agg(F.max(F.struct("ms", "event_id", "event_type")).alias("e"), F.count("*").alias("n"))
     end = _log(spark, sf_dir).agg(F.max("ms").alias("now"))
     stale = (F.col("now") - F.col("e.ms")) > STALE_MINUTES * 60 * 1000
-    return last.crossJoin(end).select("user_id", F.col("e.event_type").alias("event_type"), F.when(stale, "interrupted").otherwise("running").alias("status"), "n")
+    return last.crossJoin(end).select("user_id", F.col("e.event_type").alias("event_type"), F.when(F.col("e.event_type") == "purchase", "completed").when(F.col("e.event_type") == "error", "failed").when(stale, "interrupted").otherwise("running").alias("status"), "n")
 
 
 def recent_log(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
@@ -95,8 +120,8 @@ ORACLES = {
     "request_gaps": f"WITH {_L} SELECT event_id, coalesce(ms - lag(ms) OVER {_W}, -1)::BIGINT AS gap_ms FROM l",
     "request_schedule": f"WITH {_L}, i AS (SELECT *, row_number() OVER {_W} AS i FROM l), s AS (SELECT event_id, ms, i * 3200 + max(ms - i * 3200) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS st FROM i) SELECT event_id, st::BIGINT AS start_ms, (st - ms)::BIGINT AS wait_ms FROM s",
     "failure_runs": f"WITH {_L}, b AS (SELECT *, coalesce(value < 10, false) AS bad FROM l), r AS (SELECT *, sum((NOT bad)::INT) OVER {_W} AS run FROM b), n AS (SELECT *, sum(bad::INT) OVER (PARTITION BY user_id, run ORDER BY ms, event_id) AS f FROM r) SELECT event_id, (CASE WHEN bad THEN f ELSE 0 END)::BIGINT AS failures, (CASE WHEN NOT bad THEN 0 WHEN f >= 2 THEN 30 ELSE 10 END)::BIGINT AS cooldown_minutes FROM n",
-    "cache_hits": f"WITH {_L} SELECT event_id, coalesce(ms - lag(ms) OVER (PARTITION BY user_id, event_type ORDER BY ms, event_id) <= 86400000, false) AS hit FROM l",
-    "run_states": f"WITH {_L}, e AS (SELECT user_id, max({{'ms': ms, 'id': event_id, 't': event_type}}) AS e, count(*) AS n FROM l GROUP BY 1) SELECT user_id, e.t AS event_type, CASE WHEN (SELECT max(ms) FROM l) - e.ms > 1800000 THEN 'interrupted' ELSE 'running' END AS status, n FROM e",
+    "cache_hits": f"WITH RECURSIVE {_L}, f AS (SELECT user_id, event_type, min(ms) AS ms FROM l GROUP BY ALL UNION ALL SELECT f.user_id, f.event_type, (SELECT min(l.ms) FROM l WHERE l.user_id = f.user_id AND l.event_type = f.event_type AND l.ms > f.ms + 86400000) AS ms FROM f WHERE f.ms IS NOT NULL), g AS (SELECT l.*, (SELECT max(f.ms) FROM f WHERE f.user_id = l.user_id AND f.event_type = l.event_type AND f.ms <= l.ms) AS fetched_ms FROM l) SELECT event_id, fetched_ms::BIGINT AS fetched_ms, event_id <> min(event_id) OVER (PARTITION BY user_id, event_type, fetched_ms, fetched_ms = ms) OR ms <> fetched_ms AS hit FROM g",
+    "run_states": f"WITH {_L}, e AS (SELECT user_id, max({{'ms': ms, 'id': event_id, 't': event_type}}) AS e, count(*) AS n FROM l GROUP BY 1) SELECT user_id, e.t AS event_type, CASE WHEN e.t = 'purchase' THEN 'completed' WHEN e.t = 'error' THEN 'failed' WHEN (SELECT max(ms) FROM l) - e.ms > 1800000 THEN 'interrupted' ELSE 'running' END AS status, n FROM e",
     "recent_log": "SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 20",
     "user_ring": "SELECT event_id, r::BIGINT AS r FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 20",
     "cache_upsert": f"WITH {_L}, e AS (SELECT user_id, event_type, max({{'ms': ms, 'id': event_id, 'v': value}}) AS e FROM l GROUP BY ALL) SELECT user_id, event_type, e.id AS event_id, round(e.v, 4) AS value FROM e",

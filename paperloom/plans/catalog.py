@@ -10,10 +10,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _parts():
-    from ..operators import graph, layout, library, lines, queue, requests, similarity
+    from ..operators import graph, layout, library, lines, pages, queue, requests, similarity
     from ..sources import formats
 
-    return [graph, lines, layout, library, queue, requests, similarity, formats]
+    return [graph, lines, layout, pages, library, queue, requests, similarity, formats]
 
 
 def queries() -> dict[str, Query]:
