@@ -373,13 +373,14 @@ def test_decontamination(spark, docs, none):
             words[70:70] = leak
         rows.append((i, " ".join(words), "en", "a", 0))
     df = spark.createDataFrame(rows, SCHEMA)
-    index = op10_decontamination.build_index(df, bench)
-    got = {r.doc_id: (r.contaminated, r.item_id) for r in op10_decontamination.search(df, index).collect()}
+    got = {r.doc_id: (r.contaminated, r.item_id) for r in op10_decontamination.contaminated(df, bench).collect()}
     assert {i for i, (bad, _) in got.items() if bad} == set(range(0, 200, 4))
     assert all(got[i][1] == i % 20 for i in range(0, 200, 4))
-    assert not any(r.contaminated for r in op10_decontamination.search(docs, index).collect())
-    assert op10_decontamination.search(none, op10_decontamination.build_index(none, bench)).count() == 0
-    assert op10_decontamination.common_subsequence(b"a b c d".split(), b"x a c y d".split()) == 3
+    assert not any(r.contaminated for r in op10_decontamination.contaminated(docs, bench).collect())
+    assert op10_decontamination.contaminated(none, bench).count() == 0
+    assert not any(r.contaminated for r in op10_decontamination.contaminated(docs, bench.limit(0)).collect())
+    assert op10_decontamination.common_subsequence([b"a b c d".split()], b"x a c y d".split()) == 3
+    assert op10_decontamination.common_subsequence([b"a b".split(), b"c d".split()], b"c d x a b".split()) == 4
 
 
 def test_decontamination_finds_copies_of_thousands_of_items(spark):
@@ -393,7 +394,7 @@ def test_decontamination_finds_copies_of_thousands_of_items(spark):
             text[60:60] = items[5 * i][1].split()
         rows.append((i, " ".join(text), "en", "a", 0))
     df = spark.createDataFrame(rows, SCHEMA)
-    index = op10_decontamination.build_index(df, spark.createDataFrame(items, "item_id long, text string"), rank=64)
+    index = op10_decontamination.build_index(df, items, rank=64)
     got = {r.doc_id: r.item_id for r in op10_decontamination.search(df, index).collect() if r.contaminated}
     assert got == {i: 5 * i for i in range(0, 600, 2)}
 
@@ -415,8 +416,8 @@ def test_decontamination_of_long_common_and_nameless_items(spark):
                 words[k] = "changed"
         rows[10 * i][1] = f"{word('c', 50)} {' '.join(words)} {word('c', 50)}"
     df = spark.createDataFrame([tuple(r) for r in rows], SCHEMA)
-    index = op10_decontamination.build_index(df, spark.createDataFrame(items, "item_id long, text string"))
-    got = {r.doc_id: (r.item_id, r.n_items) for r in op10_decontamination.search(df, index).collect() if r.contaminated}
+    found = op10_decontamination.contaminated(df, spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: (r.item_id, r.n_items) for r in found.collect() if r.contaminated}
     assert got == {10 * i: (items[i][0], 1) for i in range(len(items))}
 
 
