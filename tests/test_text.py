@@ -28,7 +28,9 @@ def one(spark, column, **values):
         (T.is_translatable, "This is a plain readable sentence.", True),
         (T.is_translatable, "bad � text with enough words here", False),
         (T.line_type, "Figure 1: A robot", "caption"),
-        (T.line_type, "x = a + b", "formula"),
+        (T.line_type, "x = a + b", "paragraph"),
+        (T.line_type, "x_t = f(x, u) + e", "formula"),
+        (T.is_reference, "  [3] B. Author, Title", True),
         (T.line_type, "I. INTRODUCTION", "heading"),
         (T.line_type, "I. I N T R O D U C T I O N", "heading"),
         (T.line_type, "We propose a method that learns.", "paragraph"),
