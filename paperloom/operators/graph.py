@@ -21,11 +21,15 @@ CAPS = {"author": 8, "limitation": 3}
 OTHER_CAP = 10
 
 
-def fan_out(entries: DataFrame) -> DataFrame:
-    """(paper, entry_pos, type, ord, value) of entries with a list column per type, capped per type."""
+def fan_out(entries: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """(paper, entry_pos, type, ord, value) of entries with a list column per type, capped per type.
+
+    ``more``: columns of ``entries`` that come along.
+    """
+    kept = ["paper", "entry_pos", *(more or [])]
     lists = F.array(*[F.struct(F.lit(t).alias("type"), F.slice(F.coalesce(F.col(t), F.array().cast("array<string>")), 1, CAPS.get(t, OTHER_CAP)).alias("vs")) for t in EDGE_LABELS if t in entries.columns])
-    typed = entries.select("paper", "entry_pos", F.posexplode(lists).alias("type_pos", "x"))
-    rows = typed.select("paper", "entry_pos", "type_pos", F.col("x.type").alias("type"), F.posexplode("x.vs").alias("ord", "raw"))
+    typed = entries.select(*kept, F.posexplode(lists).alias("type_pos", "x"))
+    rows = typed.select(*kept, "type_pos", F.col("x.type").alias("type"), F.posexplode("x.vs").alias("ord", "raw"))
     return rows.withColumn("value", T.readable(F.col("raw"))).filter("value <> ''").withColumn("node", F.concat(F.col("type"), F.lit(":"), T.key_of(F.col("value"))))
 
 
