@@ -30,6 +30,16 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
 
 
+def ascii_edges(pattern: str) -> str:
+    """The pattern with word edges between ASCII letters, digits and _ alone, as ECMAScript and RE2 have them; Java's know all letters."""
+    return pattern.replace(r"\b", "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+
+
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, where Catalyst would copy its expression for every use."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def nonempty(text: Column) -> Column:
     """The text, or null if it is empty: absence is one thing everywhere."""
     return F.nullif(text, F.lit(""))

@@ -10,10 +10,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _parts():
-    from ..operators import graph, layout, library, lines, pages, queue, requests, similarity, workbook
+    from ..operators import evidence, graph, layout, library, lines, pages, queue, requests, similarity, workbook
     from ..sources import formats
 
-    return [graph, lines, layout, pages, library, queue, requests, similarity, workbook, formats]
+    return [graph, lines, evidence, layout, pages, library, queue, requests, similarity, workbook, formats]
 
 
 def queries() -> dict[str, Query]:
