@@ -12,14 +12,19 @@ in the corpus proves its piece unique.  Only anchors that recur go on.
 Matching.  The distinct pieces of an anchor, with the number of their occurrences, are
 one reference shard.  Its suffix automaton over words carries for every state how often
 its strings occur; the pieces are streamed through it, and a window is repeated if the
-state of its ``WINDOW``-word match occurs twice or more.  Words are compared as words, so
-hashes decide nothing.  A shard goes to one task and is not broadcast to all, because the
-reference is the corpus itself and only pieces of the same anchor can match.
+state of its ``WINDOW``-word match occurs twice or more.  Windows are compared as words
+there; only pieces, which must be equal whole to count as one, are told apart by 64-bit
+hashes of their words (two of ten million differ and agree with a probability under 1e-5).
+A shard goes to one task and is not broadcast to all, because the reference is the corpus
+itself and only pieces of the same anchor can match.
 
 Hot anchors.  Pieces at the edge of a passage that very many documents share differ in
 their outer words.  An anchor with more than ``SHARD`` distinct pieces first loses, by a
-combining sum over window hashes, the windows that occur once; what is left of its
-pieces then falls together to few distinct ones.
+combining sum over window hashes, the windows that occur once (a hash that two windows
+share only keeps them for the automaton).  What is left is cut again by a second anchor,
+under other hashes, and so on while a group has over ``SHARD`` distinct pieces: windows of
+different second anchors don't match either.  After ``CUTS`` anchors what is still larger
+is decided by counting its windows' words, so that no shard exceeds its bound.
 
 Defined cases: null text is empty and has no words; texts shorter than a window keep all
 words; repeated rows are occurrences of their own, so all their windows repeat; rows of
@@ -42,11 +47,13 @@ from .words import U, Words, hashes_of, mix, slices, window_hashes, words_of
 WINDOW, RUN = 35, 8
 #: Distinct pieces of one reference shard at most: about 100,000 words, so an automaton of some 50 MB.
 SHARD = 2048
+#: Anchors by which a hot group is cut.
+CUTS = 4
 #: Bits of an anchor's order and of a word's place in a batch, packed in one number.
 PLACE_BITS = 26
 
 
-def pieces(w: Words, width: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, ...]:
+def pieces(w: Words, width: int = WINDOW, run: int = RUN, seed: int = 0) -> tuple[np.ndarray, ...]:
     """(text, first window, windows, anchor, content hash) of every piece of a batch."""
     n, span = len(w.start), width - run + 1
     none = np.zeros(0, np.int64)
@@ -55,7 +62,7 @@ def pieces(w: Words, width: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, .
         return none, none, none, none.astype(U), none.astype(U)
     if n >> PLACE_BITS:
         raise ValueError(f"a text of {n} words")
-    kmer = window_hashes(w.hash, np.arange(n - run + 1), run)
+    kmer = window_hashes(w.hash, np.arange(n - run + 1), run, seed)
     place = np.arange(len(kmer), dtype=U)
     low = (kmer >> U(PLACE_BITS) << U(PLACE_BITS)) | place
     size = 1
@@ -230,7 +237,8 @@ def _trimmed(hot: DataFrame, width: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("anchor").take(take), batch.column("piece").take(take), pa.array(off.astype(np.int32)), pa.array(h.view(np.int64)), batch.column("c").take(take)], ["anchor", "piece", "off", "h", "c"])
 
     rows = stored(hot.select("anchor", "piece", "c", "words").mapInArrow(windows, "anchor long, piece long, off int, h long, c long"), "substring-windows")
-    again = rows.groupBy("anchor", "h").agg(F.sum("c").alias("s")).filter("s > 1").select("anchor", "h")
+    # Stored, so that the join is of two plain exchanges and Spark can split a hot window.
+    again = stored(rows.groupBy("anchor", "h").agg(F.sum("c").alias("s")).filter("s > 1").select("anchor", "h"), "substring-twice")
     kept = rows.join(again, ["anchor", "h"]).groupBy("anchor", "piece").agg(F.collect_set("off").alias("offs"))  # 28 at most
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,6 +259,33 @@ def _trimmed(hot: DataFrame, width: int = WINDOW) -> DataFrame:
     return hot.join(kept, ["anchor", "piece"]).select("anchor", "piece", "c", "words", "offs").mapInArrow(cut, "anchor long, piece long, first int, n int, c long, words string")
 
 
+def _cut_again(runs: DataFrame, seed: int, width: int = WINDOW) -> DataFrame:
+    """``runs`` (anchor, piece, first, n, c, words, group) cut by another anchor, which joins their group; w names their words."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = words_of(batch.column("words"))
+            row, start, n, anchor, content = pieces(w, width, RUN, seed)
+            take = pa.array(row)
+            first = batch.column("first").to_numpy()[row] + (start - w.first[row])
+            group = mix(batch.column("group").to_numpy().view(np.uint64)[row] ^ anchor).view(np.int64)
+            words = [w.text(a, a + k + width - 1).decode() for a, k in zip(start.tolist(), n.tolist(), strict=True)]
+            columns = [batch.column("anchor").take(take), batch.column("piece").take(take), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), batch.column("c").take(take), pa.array(words, pa.string()), pa.array(group), pa.array(content.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "piece", "first", "n", "c", "words", "group", "w"])
+
+    return runs.select("anchor", "piece", "first", "n", "c", "words", "group").mapInArrow(cut, "anchor long, piece long, first int, n int, c long, words string, group long, w long")
+
+
+def _counted(runs: DataFrame, width: int = WINDOW) -> DataFrame:
+    """(anchor, piece, mask) of runs by counting the words of their windows, combined before the shuffle."""
+    words = F.split("words", " ")
+    windows = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.array_join(F.slice(words, i + 1, F.lit(width)), " "))
+    rows = stored(runs.select("anchor", "piece", "first", "c", F.posexplode(windows).alias("off", "window")), "substring-counted")
+    again = stored(rows.groupBy("window").agg(F.sum("c").alias("s")).filter("s > 1").select("window"), "substring-again-windows")
+    kept = rows.join(again, "window").groupBy("anchor", "piece").agg(F.bit_or(F.expr("shiftleft(1L, off + first)")).alias("mask"))
+    return kept.select("anchor", "piece", "mask")
+
+
 def candidates(docs: DataFrame, width: int = WINDOW, run: int = RUN) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, places, distinct): the rows of ``docs`` with the distinct pieces whose words they
     give; the places of all pieces of recurring anchors; those pieces with their occurrences."""
@@ -297,13 +332,23 @@ def marks_of(held: DataFrame, places: DataFrame, distinct: DataFrame, width: int
         masks = judged(dealt(spelled), width)
     else:
         spelled = stored(spelled, "substring-spelled")
-        trimmed = stored(_trimmed(spelled.join(hot, "anchor"), width), "substring-trimmed")
-        # A trimmed run is judged once for all pieces that share it.
-        key = F.xxhash64("words").alias("w")
-        one = trimmed.groupBy("anchor", key, "words", "n").agg(F.sum("c").alias("c")).withColumnRenamed("w", "piece").withColumn("first", F.lit(0))
-        back = trimmed.select("anchor", "piece", "first", key).join(judged(dealt(one), width).withColumnRenamed("piece", "w"), ["anchor", "w"])
-        shifted = back.select("anchor", "piece", F.expr("shiftleft(mask, first)").alias("mask"))
-        masks = judged(dealt(spelled.join(hot, "anchor", "left_anti")), width).unionByName(shifted)
+        left = stored(_trimmed(spelled.join(hot, "anchor"), width).withColumn("group", F.col("anchor")), "substring-trimmed")
+        masks = judged(dealt(spelled.join(hot, "anchor", "left_anti")), width)
+        for level in range(1, CUTS + 1):
+            left = stored(_cut_again(left, level, width), "substring-cut")
+            # A run is judged once for all pieces that share it.
+            one = stored(left.groupBy("group", "w", "words", "n").agg(F.sum("c").alias("c")), "substring-runs")
+            large = stored(one.groupBy("group").agg(F.count("*").alias("k")).filter(F.col("k") > shard).select("group"), "substring-large")
+            some = one.join(large, "group", "left_anti")
+            verdicts = judged(dealt(some.select(F.col("group").alias("anchor"), F.col("w").alias("piece"), F.lit(0).alias("first"), "n", "c", "words")), width)
+            back = left.select("anchor", "piece", "first", "group", "w").join(verdicts.select(F.col("anchor").alias("group"), F.col("piece").alias("w"), "mask"), ["group", "w"])
+            masks = masks.unionByName(back.select("anchor", "piece", F.expr("shiftleft(mask, first)").alias("mask")))
+            if large.isEmpty():
+                left = None
+                break
+            left = stored(left.join(large, "group").drop("w"), "substring-left")
+        if left is not None:
+            masks = masks.unionByName(_counted(left, width))
     masks = stored(masks.filter("mask <> 0").groupBy("anchor", "piece").agg(F.bit_or("mask").alias("mask")), "substring-masks")
     found = places.join(masks, ["anchor", "piece"])
     return found.groupBy(F.col("doc_id").alias("d_"), F.col("t").alias("t_")).agg(F.collect_set(F.struct("pos", "mask")).alias("marks"))

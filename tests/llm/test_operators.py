@@ -359,6 +359,17 @@ def test_substrings(spark, none, shard):
     assert got == brute_repeats(rows, 35)
 
 
+def test_a_phrase_in_many_repeated_passages(spark):
+    """One phrase is the anchor of many different passages, each of which occurs twice."""
+    rng = random.Random(9)
+    phrase = [f"q{i}" for i in range(8)]
+    passages = [[f"{rng.randrange(10**6)}" for _ in range(30)] + phrase + [f"{rng.randrange(10**6)}" for _ in range(30)] for _ in range(60)]
+    rows = [(2 * i + k, " ".join([f"x{i}-{k}"] + p)) for i, p in enumerate(passages) for k in range(2)]
+    for shard in (5, 1000):
+        got = sorted((tuple(r) for r in op9_substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), shard=shard).collect()), key=str)
+        assert got == brute_repeats(rows, 35)
+
+
 def test_decontamination(spark, docs, none):
     rng = random.Random(11)
     items = [(i, " ".join(f"b{rng.randrange(900)}" for _ in range(rng.randrange(30, 60))) + ".") for i in range(20)] + [(20, None), (21, "")]
