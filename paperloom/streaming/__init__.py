@@ -1 +1 @@
-"""streaming of the engine."""
+"""Streaming twins of the request log's operators."""
