@@ -19,9 +19,7 @@ MODULES = (
 
 
 def _modules():
-    import importlib.util
-
-    return [import_module(f".{m}", __package__) for m in MODULES if importlib.util.find_spec(f"{__package__}.{m}")]
+    return [import_module(f".{m}", __package__) for m in MODULES]
 
 
 def queries() -> dict:
