@@ -10,10 +10,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _parts():
-    from ..operators import decks, evidence, graph, layout, library, lines, matching, pages, queue, requests, similarity, workbook
+    from ..operators import decks, evidence, graph, layout, library, lines, matching, pages, queue, records, requests, similarity, workbook
     from ..sources import formats
 
-    return [graph, lines, evidence, decks, matching, layout, pages, library, queue, requests, similarity, workbook, formats]
+    return [graph, lines, evidence, decks, matching, layout, pages, library, queue, records, requests, similarity, workbook, formats]
 
 
 def queries() -> dict[str, Query]:
