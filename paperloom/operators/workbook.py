@@ -349,8 +349,9 @@ pp AS (SELECT o_orderkey AS k, c_name AS authors, year(o_orderdate)::VARCHAR AS
 en AS (SELECT CASE WHEN pp.k IS NOT NULL THEN it.k::VARCHAR ELSE 'row:row-' || it.k END AS paper, 'row-' || it.k AS row_id, 'name ' || it.k AS title, coalesce(authors, '') AS authors, coalesce(year, '') AS year, coalesce(venue, '') AS venue, parts AS methods, types AS scenes, xs, it.k AS pos FROM it LEFT JOIN pp ON it.k = pp.k AND it.k % 8 = 0
   UNION ALL SELECT pp.k::VARCHAR, '', 'Paper ' || pp.k, authors, year, venue, '', '', [], pp.k + 1099511627776 FROM pp WHERE NOT (pp.k % 8 = 0 AND pp.k IN (SELECT k FROM it)))"""
 _VALUES = """v0 AS (SELECT paper, pos, 'author' AS type, authors AS value, 0 AS n FROM en UNION ALL SELECT paper, pos, 'year', year, 0 FROM en UNION ALL SELECT paper, pos, 'venue', venue, 0 FROM en
-  UNION ALL SELECT paper, pos, 'method', x.part, x.n FROM (SELECT paper, pos, unnest(xs) AS x FROM en) UNION ALL SELECT paper, pos, 'scene', x.type, x.n FROM (SELECT paper, pos, unnest(xs) AS x FROM en)),
-v AS (SELECT DISTINCT paper, pos, type, type || ':' || lower(value) AS node FROM v0 WHERE length(value) >= 2),
+  UNION ALL SELECT paper, pos, 'method', x.part, n FROM (SELECT paper, pos, unnest(xs) AS x, generate_subscripts(xs, 1) AS n FROM en) UNION ALL SELECT paper, pos, 'scene', x.type, n FROM (SELECT paper, pos, unnest(xs) AS x, generate_subscripts(xs, 1) AS n FROM en)),
+v1 AS (SELECT paper, pos, type, type || ':' || lower(value) AS node, min(n) AS n FROM v0 WHERE length(value) >= 2 GROUP BY ALL),
+v AS (SELECT paper, pos, type, node FROM v1 QUALIFY row_number() OVER (PARTITION BY paper, pos, type ORDER BY n) <= 10),
 m AS (SELECT * FROM v UNION ALL SELECT paper, pos, 'paper', 'paper:' || paper FROM en)"""
 _ROWS = f"WITH {_BASE}, h AS (SELECT DISTINCT k // 1000 AS book FROM it), r AS (SELECT k // 1000 AS book, row_number() OVER (PARTITION BY k // 1000 ORDER BY k)::BIGINT AS pos, 'row-' || k AS row_id, ['name ' || k, '', 'Order ' || k, '', '', parts, types, '', '', '', ''] AS cells FROM it UNION ALL SELECT book, 0, 'header', ['" + "', '".join(LABELS) + "'] FROM h)"
 QUERIES = {f.__name__: f for f in (workbook_rows, workbook_fields, workbook_cells, workbook_entries, workbook_graph_nodes, workbook_graph_edges, workbook_graph_stats, workbook_related, selected_ranges)}
