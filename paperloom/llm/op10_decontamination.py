@@ -1,33 +1,42 @@
 """Benchmark decontamination by latent semantic retrieval and sequence checks.
 
-Passages are runs of ``BLOCK``-word blocks, one from every block on, at the lengths of
-``SPANS``.  Features are the distinct words of the benchmark (its size is checked),
-weighed by inverse passage frequency over the whole corpus; any other word adds a fixed
-weight to a passage's norm only, as it is orthogonal to every item.  A passage with
-less than ``COSINE`` squared of its norm in benchmark words can't reach that cosine
-with any item, so it is done with.
-
-A distributed randomised SVD of the TF-IDF rows (all other passages of the corpus, and
-the items themselves, weighed as ``ITEMS`` times the corpus) gives the latent space: every task sums its part of A'(A S) for
-one random test matrix S; the driver adds matrices of fixed size (features x rank) and
-takes the singular vectors of the Nystroem approximation of A'A.  Passages are then
-compared with the items by cosine in that space, as a share of the cosine that the
-item's own copy has there (many items don't fit in ``RANK`` dimensions and keep only a
-part of their norm; under ``KEPT`` of it the share is taken of ``KEPT``).  Beside this,
-an exact route looks up every run of ``GRAM`` words among those of the items, so that a
-copy is found however little the space keeps of its item; ``cosine`` is 0 for what only
-this route finds.  Candidates of both are checked in the text around them: the longest common subsequence of words must cover ``LCS`` of the item, or
-``PARAPHRASE`` of it when the item's answer (its last sentence) is there too.
-
+Texts are compared in lower case and without punctuation (``folded``).  Passages are runs
+of ``BLOCK``-word blocks, one from every block on, at the lengths of ``SPANS``.  Features
+are the distinct words of the benchmark, weighed by inverse passage frequency over the
+whole corpus; any other word adds a fixed weight to a passage's norm only, as it is
+orthogonal to every item.  A passage with less than ``COSINE`` squared of its norm in
+benchmark words can't reach that cosine with any item, so it is done with.
+
+A distributed randomised SVD of the TF-IDF rows (the passages of the corpus that may reach
+``FIT_COSINE`` with an item, here one after the other without overlap, and the items themselves, weighed as ``ITEMS`` times the
+corpus) gives the latent space: every task
+sums its part of A'(A S) for one random test matrix S; the driver gets one matrix of fixed
+size (features x rank) and takes the singular vectors of the Nystroem approximation of A'A.
+Passages are then compared with the items by cosine in that space, as a share of the cosine
+that the item's own copy has there (many items don't fit in ``RANK`` dimensions and keep
+only a part of their norm; under ``KEPT`` of it the share is taken of ``KEPT``).  Beside
+this, an exact route looks up every run of ``GRAM`` words among those of the items, so that
+a copy is found however little the space keeps of its item; ``cosine`` is 0 for what only
+this route finds.
+
+Candidates of both are checked in the text around them: the longest common subsequences of
+the item's parts (sentences, those of over ``SEGMENT`` words cut), whose places may change,
+must cover ``LCS`` of its words, or ``PARAPHRASE`` of them where the cosine found it, or
+``ANSWERED`` of them where the item's answer (its last sentence) is there too.
+
+A benchmark of over ``PART_BYTES`` is searched by several indexes, one after the other.
 Items longer than the longest passage are looked up by pieces of that length, and checked
 in as much text as they have words, with a margin of an eighth of them.  Items of common
 words only have no cosine: of these, runs of ``GRAM`` words or more are found where the
 whole item stands word for word.
 
 Defined cases: null and empty texts have no passage and are clean; items without words,
-and items of fewer than ``GRAM`` words that are all common, match nothing; an item
-without an id counts once for each text, and the verdict's item_id is then null; repeated rows get equal verdicts; whole texts are searched, whatever
-their length; an empty table or benchmark gives clean verdicts.
+and items of fewer than ``GRAM`` words that are all common, match nothing; an item without
+an id counts once for each text, and the verdict's item_id is then null; repeated rows get
+equal verdicts; of equal verdicts the least item_id is named; whole texts are searched,
+whatever their length; columns of ``docs`` named like one of ``ADDED`` are replaced by
+``search`` and kept by ``drop_contaminated``; an empty table or benchmark gives clean
+verdicts.
 """
 
 from __future__ import annotations
@@ -38,10 +47,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import shuffle_partitions, stored, table, text_or_empty
 from .words import Words, runs, slices, window_hashes, words_of
 
 BLOCK = 8
@@ -50,16 +60,48 @@ SPANS = (4, 6, 8, 11, 16)
 RANK = 256
 ITEMS = 30.0
 COSINE = 0.48
+#: Cosine that a passage must be able to reach to take part in the fit of the space.
+FIT_COSINE = 0.74
 #: Least share of an item's squared norm in the latent space by which its cosines are scaled.
 KEPT = 0.25
 #: Words of the runs that are looked up; runs of more than FEW items serve only the items that have no LEAST_GRAMS rarer ones.
 GRAM, FEW, LEAST_GRAMS = 3, 64, 4
 #: Weight of words outside the benchmark, as a share of the largest.
-FOREIGN = 1.0
-LCS, PARAPHRASE, ANSWER = 0.7, 0.5, 0.8
-#: Benchmark rows and features that are broadcast at most.
-MOST_ITEMS, MOST_FEATURES = 200_000, 1 << 18
+FOREIGN = 0.5
+#: Shares of an item's words that decide: of any candidate, of one by cosine, and of one by cosine that has ANSWER of the answer.
+LCS, PARAPHRASE, ANSWERED, ANSWER = 0.7, 0.48, 0.4, 0.8
+#: Words of an item's parts that may change places.
+SEGMENT = 24
+#: Bytes of benchmark text in one index: some 15,000 words, 75,000 at most, so 15 MB of vectors,
+#: 77 MB at most.  Larger benchmarks are searched by several indexes.
+PART_BYTES = 1 << 19
 TABLE_BITS = 20
+STRIP, FAN = 1 << 14, 32
+COMMON = 50
+
+
+#: Bytes as they are compared: ASCII in lower case, its punctuation as blanks.
+FOLD = np.arange(256, dtype=np.uint8)
+for _x in range(0x21, 0x7F):
+    FOLD[_x] = ord(chr(_x).lower()) if chr(_x).isalnum() else 0x20
+
+
+def folded(texts: pa.Array) -> pa.Array:
+    """Texts (string; null is empty) in lower case, with ASCII and general punctuation as blanks."""
+    low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")).cast(pa.large_binary())
+    n = len(low)
+    offsets = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + n + 1]
+    data = FOLD[np.frombuffer(low.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]] if n else np.zeros(0, np.uint8)
+    # U+2000 to U+206F: dashes, quotes, ellipses, spaces.
+    at = np.flatnonzero(data == 0xE2)
+    at = at[(data[at + 1] == 0x80) | ((data[at + 1] == 0x81) & (data[at + 2] < 0xB0))]
+    for k in range(3):
+        data[at + k] = 0x20
+    return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(data)])
+
+
+def words_in(text: str) -> list[bytes]:
+    return folded(pa.array([text]))[0].as_py().split()
 
 
 class Vocabulary:
@@ -95,29 +137,51 @@ def block_of_words(w: Words, first: np.ndarray, size: int = BLOCK) -> np.ndarray
 
 
 def _reduced(frames: DataFrame, part, shape: tuple[int, ...]) -> np.ndarray:
-    """The sum over all tasks of the arrays that ``part(batches)`` returns, added in the executors in groups."""
+    """The sum over all tasks of the arrays that ``part(batches)`` returns, by a tree of sums.
+
+    A task's array travels in strips of ``STRIP`` numbers; a summing task meets at most
+    ``FAN`` strips of each place, whatever the number of tasks, and the driver gets one sum
+    of each place.
+    """
+    from pyspark import TaskContext
+
+    schema = "task long, at long, x binary"
+    names = ["task", "at", "x"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = part(batches).reshape(-1)
-        step = 1 << 16
-        for i in range(0, len(total), step):
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([total[i : i + step].astype(np.float64).tobytes()], pa.binary())], ["at", "x"])
+        total = part(batches).reshape(-1).astype(np.float32)
+        task = TaskContext.get().partitionId()
+        for i in range(0, len(total), STRIP):
+            yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([i]), pa.array([total[i : i + STRIP].tobytes()], pa.binary())], names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        """Rows come sorted by (task, at): one running sum is held."""
+        key, total = None, None
         for batch in batches:
-            for at, x in zip(batch.column("at").to_pylist(), batch.column("x"), strict=True):
-                x = np.frombuffer(x.as_buffer(), np.float64)
-                sums[at] = sums[at] + x if at in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["at", "x"])
-
-    parts = frames.mapInArrow(run, "at long, x binary")
-    # Strips of one place meet in one task: as many rows as there are tasks, each of fixed size.
-    rows = parts.repartition(8, "at").mapInArrow(add, "at long, x binary").toLocalIterator()
-    total = np.zeros(int(np.prod(shape)))
-    for r in rows:
-        x = np.frombuffer(r.x, np.float64)
-        total[r.at : r.at + len(x)] += x
+            for task, at, x in zip(batch.column("task").to_pylist(), batch.column("at").to_pylist(), batch.column("x"), strict=True):
+                x = np.frombuffer(x.as_buffer(), np.float32)
+                if key == (task, at):
+                    total = total + x
+                    continue
+                if key is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names)
+                key, total = (task, at), x.astype(np.float64)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names)
+
+    spark = frames.sparkSession
+    size = int(np.prod(shape))
+    tasks = frames.mapInArrow(run, schema).rdd.getNumPartitions()
+    rows = frames.mapInArrow(run, schema)
+    while tasks:
+        tasks = -(-tasks // FAN) if tasks > 1 else 0  # the last sum leaves one of each place
+        n = max(1, min(shuffle_partitions(spark), max(1, tasks) * -(-size // STRIP)))
+        rows = rows.withColumn("task", F.floor(F.col("task") / FAN).cast("long")).repartition(n, "task", "at").sortWithinPartitions("task", "at").mapInArrow(add, schema)
+    total = np.zeros(size)
+    found = rows.select("at", "x").toArrow()
+    for at, x in zip(found.column("at").to_pylist(), found.column("x"), strict=True):
+        x = np.frombuffer(x.as_buffer(), np.float32)
+        total[at : at + len(x)] += x
     return total.reshape(shape)
 
 
@@ -129,7 +193,7 @@ def passage_counts(docs: DataFrame, vocabulary) -> tuple[np.ndarray, int]:
         v, total = vocabulary.value, np.zeros(n + 1)
         for batch in batches:
             for s in slices(batch, "text"):
-                w = words_of(s.column("text"))
+                w = words_of(folded(s.column("text")))
                 _, _, first = blocks(w)
                 number = v.number(w.hash)
                 some = number >= 0
@@ -148,7 +212,8 @@ class Passages:
     def __init__(self, w: Words, vocabulary: Vocabulary, idf: np.ndarray):
         self.starts, self.text, first = blocks(w)
         self.number = vocabulary.number(w.hash)
-        block = block_of_words(w, first)
+        block = self.block = block_of_words(w, first)
+        self.first = first[:-1][self.text]
         weight = np.where(self.number >= 0, idf[self.number] ** 2 if len(idf) else 0.0, (FOREIGN * idf.max(initial=0.0)) ** 2)
         weight[(self.number < 0) & (w.end - w.start < 2)] = 0.0  # single signs
         total = lambda x: np.concatenate([[0.0], np.cumsum(np.bincount(block, x, minlength=len(self.starts)))])
@@ -165,27 +230,56 @@ class Passages:
         ok = np.flatnonzero((inside > 1e-9) & (inside >= cosine * cosine * whole))
         return ok, end[ok], whole[ok]
 
-    def rows(self, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, feature) of the benchmark words of these passages, by row."""
-        bounds = np.append(self.starts, self.count)
-        low, high = bounds[first], bounds[end]
-        size = high - low
-        row = np.repeat(np.arange(len(first)), size)
-        word = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[row]
-        keep = self.used[word]
-        return row[keep], self.number[word[keep]]
-
-
-def projected(row: np.ndarray, feature: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
-    """Sums of the features' rows of ``matrix`` for each of n rows; ``row`` ascends."""
-    out = np.zeros((n, matrix.shape[1]), np.float32)
-    if len(row):
-        new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        out[row[new]] = np.add.reduceat(matrix[feature], new, axis=0)
-    return out
-
-
-def basis(docs: DataFrame, vocabulary, idf: np.ndarray, items: list[np.ndarray], rank: int = RANK, cosine: float = COSINE, seed: int = 7) -> np.ndarray:
+    def tiles(self, span: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, feature) of the benchmark words of passages of ``span`` blocks that follow one another without
+        overlap and may reach ``cosine``; rows ascend."""
+        at = np.arange(len(self.starts))
+        first = np.flatnonzero((at - self.first) % span == 0)
+        end = np.minimum(first + span, self.last[first])
+        inside, whole = self.inside[end] - self.inside[first], self.all[end] - self.all[first]
+        able = (inside > 1e-9) & (inside >= cosine * cosine * whole)
+        tile = np.searchsorted(first, self.block, side="right") - 1
+        words = np.flatnonzero(self.used & able[tile]) if len(first) else np.zeros(0, np.int64)
+        return tile[words], self.number[words]
+
+    def covered(self, passages: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Which blocks are in any of these (first block, end block) passages."""
+        change = np.zeros(len(self.starts) + 1, np.int64)
+        for first, end in passages:
+            change[:-1] += np.bincount(first, minlength=len(self.starts))[: len(self.starts)]
+            change -= np.bincount(end, minlength=len(self.starts) + 1)
+        return np.cumsum(change[:-1]) > 0
+
+    @staticmethod
+    def places(covered: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(covered)])
+
+    def words_in(self, blocks_: np.ndarray) -> np.ndarray:
+        """The benchmark words in these blocks (a mask)."""
+        return np.flatnonzero(self.used & blocks_[self.block])
+
+    def sums(self, words: np.ndarray, place: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+        """Running sums over the covered blocks of the rows of ``matrix`` of these words' features.
+
+        ``place``: the number of covered blocks before each block.  A passage's vector is the
+        difference of the rows at its ends' places, so every word is projected once, however
+        many passages it is in.
+        """
+        out = np.zeros((int(place[-1]) + 1, matrix.shape[1]), np.float32)
+        row, feature = place[self.block[words]], self.number[words]
+        new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+        size = np.diff(np.append(new, len(row)))
+        for i in range(0, len(new), 1024):  # runs of blocks, so that their rows stay near
+            part, n = new[i : i + 1024], size[i : i + 1024]
+            total = matrix[feature[part]]
+            for k in range(1, int(n.max())):  # the k-th word of every block that has one
+                some = np.flatnonzero(n > k)
+                total[some] += matrix[feature[part[some] + k]]
+            out[row[part] + 1] = total
+        return np.cumsum(out, axis=0, out=out)
+
+
+def basis(docs: DataFrame, vocabulary, idf: np.ndarray, items: list[np.ndarray], rank: int = RANK, cosine: float = FIT_COSINE, seed: int = 7) -> np.ndarray:
     """features x rank: the leading right singular vectors of the TF-IDF rows.
 
     One pass sums Z = A'(A S).  With C = S'Z, A'A is near Z C^-1 Z'; its eigenvectors
@@ -196,28 +290,30 @@ def basis(docs: DataFrame, vocabulary, idf: np.ndarray, items: list[np.ndarray],
     test = np.random.default_rng(seed).standard_normal((n, rank)).astype(np.float32)
     scaled = test * idf[:, None].astype(np.float32)
 
-    def outer(total, row, feature, count):
-        y = projected(row, feature, count, scaled)  # A S
+    def add(total, feature, vectors, number):
+        """Adds to each feature's row the vector of that number."""
         order = np.argsort(feature, kind="stable")
         f = feature[order]
         if len(f):
             start = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-            total[f[start]] += np.add.reduceat(y[row[order]], start, axis=0)
+            total[f[start]] += np.add.reduceat(vectors[number[order]], start, axis=0)
 
     def part(batches):
         v, total = vocabulary.value, np.zeros((n, rank), np.float32)
         for batch in batches:
-            for s in slices(batch, "text", 1 << 19):
-                p = Passages(words_of(s.column("text")), v, idf)
-                first, end, _ = p.able(SPANS[1], cosine)
-                for i in range(0, len(first), 2000):
-                    outer(total, *p.rows(first[i : i + 2000], end[i : i + 2000]), len(first[i : i + 2000]))
+            for s in slices(batch, "text", 1 << 18):
+                p = Passages(words_of(folded(s.column("text"))), v, idf)
+                row, feature = p.tiles(SPANS[1], cosine)
+                if len(row):
+                    new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                    y = np.add.reduceat(scaled[feature], new, axis=0)  # A S
+                    add(total, feature, y, np.repeat(np.arange(len(new)), np.diff(np.append(new, len(row)))))
         return total
 
     z = _reduced(docs, part, (n, rank))
     own = np.zeros((n, rank), np.float32)
-    row = np.repeat(np.arange(len(items)), [len(x) for x in items])
-    outer(own, row, np.concatenate(items) if items else np.zeros(0, np.int64), len(items))
+    for x in items:
+        add(own, x, scaled[x].sum(axis=0)[None, :], np.zeros(len(x), np.int64))
     # The items stand for so many passages that together they weigh ITEMS times what the
     # corpus does (by the traces of S'A'A S), or a large corpus would crowd them out.
     z, own = z * idf[:, None], own.astype(np.float64) * idf[:, None]
@@ -235,10 +331,15 @@ def basis(docs: DataFrame, vocabulary, idf: np.ndarray, items: list[np.ndarray],
 class Item:
     item_id: int | None
     words: list[bytes]
+    segments: list[list[bytes]]
     answer: list[bytes]
     #: All words are common: only the item word for word counts.
     common: bool
 
+    @classmethod
+    def of(cls, item_id: int | None, text: str, common: bool) -> Item:
+        return cls(item_id, words_in(text), segments_of(text), answer_of(text), common)
+
     @property
     def key(self):
         return (self.item_id, b" ".join(self.words) if self.item_id is None else b"")
@@ -255,25 +356,45 @@ def pieces(n: int) -> list[tuple[int, int]]:
     return [(min(a, max(0, n - most)), min(n, a + most)) for a in range(0, max(n, 1), most)]
 
 
+def sentences_of(text: str) -> list[list[bytes]]:
+    return [w for x in re.split(r"(?<=[.!?])\s+|\n+", text) if (w := words_in(x))]
+
+
 def answer_of(text: str) -> list[bytes]:
     """The words of the last sentence of three words or more (of the whole text if there is none)."""
-    sentences = [s.encode().split() for s in re.split(r"(?<=[.!?])\s+|\n+", text)]
-    return next((s for s in reversed(sentences) if len(s) >= 3), text.encode().split())
+    return next((s for s in reversed(sentences_of(text)) if len(s) >= 3), words_in(text))
+
+
+def segments_of(text: str) -> list[list[bytes]]:
+    """The item's sentences, those of over ``SEGMENT`` words cut evenly: parts that may change places."""
+    out = []
+    for s in sentences_of(text):
+        k = -(-len(s) // SEGMENT)
+        out += [s[i * len(s) // k : (i + 1) * len(s) // k] for i in range(k)]
+    return out
+
 
+def common_subsequence(segments: list[list[bytes]], b: list[bytes]) -> int:
+    """Sum of the lengths of the longest common subsequences of every segment and ``b``.
 
-def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
-    """Length of the longest common subsequence, by one integer operation per word of ``b``."""
+    One integer operation per word of ``b`` for all segments: a zero bit after each stops
+    its carry.
+    """
     where: dict[bytes, int] = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    full, at = 0, 0
+    for a in segments:
+        for x in a:
+            where[x] = where.get(x, 0) | 1 << at
+            full |= 1 << at
+            at += 1
+        at += 1
     v = full
     for x in b:
         m = where.get(x)
         if m:
             u = v & m
             v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+    return full.bit_count() - v.bit_count()
 
 
 class Grams:
@@ -325,9 +446,10 @@ class Index:
         self.items: dict[int, list[tuple[Item, int]]] = {s: [] for s in SPANS}
         found, rows_of_span = [], {s: [] for s in SPANS}
         for item_id, text in rows:
-            words = text.encode().split()
-            number = vocabulary.number(words_of(pa.array([text])).hash)
-            item = Item(item_id, words, answer_of(text), not (idf[number] > 0).any())
+            found_words = words_of(folded(pa.array([text])))
+            number = vocabulary.number(found_words.hash)
+            item = Item.of(item_id, text, not (idf[number] > 0).any())
+            words = item.words
             found.append(item)
             for low, high in pieces(len(words)):
                 norm = float(np.sqrt((idf[number[low:high]] ** 2).sum()))
@@ -340,16 +462,29 @@ class Index:
                     rows_of_span[span].append(vector / own)
         self.grams = Grams(found)
         self.matrix = {s: np.array(v, np.float32).T for s, v in rows_of_span.items() if v}
+        # Fewer items than dimensions: words go to the items' axes at once, and no product is left.
+        self.columns: dict[int, slice] = {}
+        if self.matrix and sum(m.shape[1] for m in self.matrix.values()) <= self.project.shape[1]:
+            ends = np.cumsum([0] + [m.shape[1] for m in self.matrix.values()])
+            self.columns = {s: slice(a, b) for s, a, b in zip(self.matrix, ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
+            self.project = self.project @ np.concatenate(list(self.matrix.values()), axis=1)
 
     def candidates(self, w: Words, cosine: float) -> Iterator[tuple[int, int, int, Item, float]]:
         """(text, first word, end word, item, cosine) of every passage near an item."""
         p = Passages(w, self.vocabulary, self.idf)
+        able = {span: p.able(span, cosine) for span in self.matrix}
+        covered = p.covered([x[:2] for x in able.values()])
+        at_block = p.places(covered)
+        upto = p.sums(p.words_in(covered), at_block, self.project)
         for span, matrix in self.matrix.items():
-            first, end, norm2 = p.able(span, cosine)
+            first, end, norm2 = able[span]
             for i in range(0, len(first), 4000):
                 f, e = first[i : i + 4000], end[i : i + 4000]
-                cosines = (projected(*p.rows(f, e), len(f), self.project) @ matrix) / np.sqrt(norm2[i : i + 4000])[:, None]
-                for row, column in zip(*np.nonzero(cosines >= cosine), strict=True):
+                own = upto[:, self.columns[span]] if self.columns else upto
+                total = own[at_block[e]] - own[at_block[f]]
+                cosines = (total if self.columns else total @ matrix) / np.sqrt(norm2[i : i + 4000]).astype(np.float32)[:, None]
+                near = np.flatnonzero((cosines >= cosine).ravel())
+                for row, column in zip((near // cosines.shape[1]).tolist(), (near % cosines.shape[1]).tolist(), strict=True):
                     at = f[row]
                     text = p.text[at]
                     item, place = self.items[span][column]
@@ -360,31 +495,42 @@ class Index:
         yield from self.grams.candidates(w)
 
 
-def build_index(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Index:
-    rows = [(r.item_id, r.text or "") for r in benchmark.select("item_id", F.col("text").cast("string").alias("text")).orderBy("item_id", "text").limit(MOST_ITEMS + 1).collect()]
-    if len(rows) > MOST_ITEMS:
-        raise ValueError(f"a benchmark of over {MOST_ITEMS} rows: search it in parts")
-    words = words_of(pa.array([t for _, t in rows], pa.string()))
+def parts_of(benchmark: DataFrame, most: int = PART_BYTES) -> list[list[tuple[int | None, str]]]:
+    """The rows of ``benchmark`` in parts of about ``most`` bytes of text, each collected on its own."""
+    rows = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")), "benchmark")
+    size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    n = -(-size // most) or 1
+    placed = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    return [[(r.item_id, r.text) for r in placed.filter(F.col("part") == i).select("item_id", "text").orderBy("item_id", "text").collect()] for i in range(n)]
+
+
+def build_index(docs: DataFrame, rows: list[tuple[int | None, str]], rank: int = RANK, fit_cosine: float = FIT_COSINE) -> Index:
+    """The index of one part of a benchmark: (item_id, text) rows.
+
+    The space is fitted on the passages that may reach ``fit_cosine`` with an item (0 for all).
+    """
+    words = words_of(folded(pa.array([t for _, t in rows], pa.string())))
     vocabulary = Vocabulary(words.hash)
-    n = len(vocabulary.hashes)
-    if n > MOST_FEATURES:
-        raise ValueError(f"a benchmark of over {MOST_FEATURES} words: search it in parts")
-    if not n:
+    if not len(vocabulary.hashes):
         return Index(vocabulary, np.zeros(0), np.zeros((0, 1), np.float32), [])
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
     counts, passages = passage_counts(docs, held)
-    # A word in over a tenth of all blocks tells nothing about which item a passage is.
-    idf = np.where(counts > 0.1 * passages, 0.0, np.log((1 + passages) / (1 + counts)))
+    # A word in over a tenth of all blocks, and in more than COMMON, tells nothing about which item a passage is.
+    idf = np.where(counts > 0.1 * passages + COMMON, 0.0, np.log(1 + (1 + passages) / (1 + counts)))
     number = vocabulary.number(words.hash)
     items = [number[a + low : a + high] for a, b in zip(words.first[:-1], words.first[1:], strict=True) for low, high in pieces(b - a)]
-    return Index(vocabulary, idf, basis(docs, held, idf, items, rank), rows)
+    return Index(vocabulary, idf, basis(docs, held, idf, items, rank, fit_cosine), rows)
 
 
+ADDED = ("contaminated", "item_id", "cosine", "lcs_share", "answer_share", "n_items")
 SCHEMA = "contaminated boolean, item_id long, cosine double, lcs_share double, answer_share double, n_items integer"
 
 
 def search(docs: DataFrame, index: Index, cosine: float = COSINE) -> DataFrame:
-    """``docs`` with the verdict and its strongest item (null, zeros and false without a candidate)."""
+    """``docs`` with the verdict and its strongest item (null, zeros and false without a candidate).
+
+    Columns of ``docs`` of the names in ``SCHEMA`` are replaced.
+    """
     names = [c for c in docs.columns if c not in {x.split()[0] for x in SCHEMA.split(", ")}]
     held = docs.sparkSession.sparkContext.broadcast(index)
     extra = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -392,8 +538,8 @@ def search(docs: DataFrame, index: Index, cosine: float = COSINE) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = held.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                w = words_of(part.column("text"))
+            for part in slices(batch, "text", 1 << 18):
+                w = words_of(folded(part.column("text")))
                 best: list[tuple | None] = [None] * part.num_rows
                 hits: list[set] = [set() for _ in range(part.num_rows)]
                 known: tuple | None = None
@@ -405,9 +551,9 @@ def search(docs: DataFrame, index: Index, cosine: float = COSINE) -> DataFrame:
                     around = known[2]
                     if item.common and b" " + b" ".join(item.words) + b" " not in b" " + b" ".join(around) + b" ":
                         continue
-                    share = common_subsequence(item.words, around) / len(item.words)
-                    answer = common_subsequence(item.answer, around) / len(item.answer)
-                    bad = share >= LCS or (share >= PARAPHRASE and answer >= ANSWER)
+                    share = common_subsequence(item.segments, around) / len(item.words)
+                    answer = common_subsequence([item.answer], around) / len(item.answer)
+                    bad = share >= LCS or (close > 0 and (share >= PARAPHRASE or (share >= ANSWERED and answer >= ANSWER)))
                     if bad:
                         hits[text].add(item.key)
                     found = (bad, share, close, item.item_id is not None, -(item.item_id or 0), answer, item.item_id)
@@ -423,15 +569,31 @@ def search(docs: DataFrame, index: Index, cosine: float = COSINE) -> DataFrame:
     return docs.select(*names).mapInArrow(check, schema)
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` (with text) and the verdict over the whole benchmark, part by part."""
+    parts = parts_of(benchmark)
+    found = search(docs, build_index(docs.select("text"), parts[0]))
+    for rows in parts[1:]:
+        # The verdict so far goes along as a struct; the stronger of both stays.
+        names = [c for c in found.columns if c not in ADDED]
+        before = stored(found.select(*names, F.struct(*ADDED).alias("_before")), "leaks-so-far")
+        both = search(before, build_index(docs.select("text"), rows)).withColumn("_now", F.struct(*ADDED))
+        strength = lambda x: F.struct(x["contaminated"], x["lcs_share"], x["cosine"])
+        best = F.when(strength(F.col("_now")) > strength(F.col("_before")), F.col("_now")).otherwise(F.col("_before"))
+        merged = both.select(*names, best.alias("_best"), (F.col("_now.n_items") + F.col("_before.n_items")).alias("_n"))
+        found = merged.select(*names, *[F.col("_n" if c == "n_items" else f"_best.{c}").alias(c) for c in ADDED])
+    return found
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
-    return search(docs, build_index(docs, table(spark, sf_dir, "benchmark"))).drop("text")
+    return contaminated(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item was found."""
     packed = docs.select(F.struct(*docs.columns).alias("_row"), text_or_empty().alias("text"))
-    return search(packed, build_index(packed.select("text"), benchmark)).filter("NOT contaminated").select("_row.*")
+    return contaminated(packed, benchmark).filter("NOT contaminated").select("_row.*")
 
 
 QUERIES = {"op10_decontamination": op10_decontamination}
