@@ -201,10 +201,10 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int = WORDS, weighted: b
                 yield pa.RecordBatch.from_arrays(columns, ["a", "b", "similarity", "size_b", "removed", "added"] + ["edits"] * edits)
 
     schema = "a binary, b binary, similarity double, size_b long, removed long, added long" + ", edits array<long>" * edits
-    # Stored, so that the joins below are of plain exchanges and Spark can split the rows of a hot hub.
+    # Texts grow with the corpus, so they are not broadcast at any size.  The counts are stored, so that the joins below are of plain exchanges and Spark can split the rows of a hot hub.
     copies = stored(pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(per_copy)).cast("int").alias("_copies")), "near-copies")
-    member = pairs.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("_copies")).cast("int").alias("_salt")).join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", "b", "_salt", "text")
-    hubs = texts.select(F.col("node").alias("b"), "text").join(copies, "b").select(F.lit(None).cast("binary").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_salt"), "text")
+    member = pairs.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("_copies")).cast("int").alias("_salt")).join(texts.select(F.col("node").alias("a"), "text").hint("merge"), "a").select("a", "b", "_salt", "text")
+    hubs = texts.select(F.col("node").alias("b"), "text").hint("merge").join(copies, "b").select(F.lit(None).cast("binary").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_salt"), "text")
     n = max(2, shuffle_partitions(pairs.sparkSession))
     dealt = member.unionByName(hubs).repartition(n, "b", "_salt").sortWithinPartitions("b", "_salt", F.col("a").asc_nulls_first())
     return dealt.select("a", "b", "text").mapInArrow(compare, schema)
@@ -267,9 +267,10 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS,
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(buckets.join(shared, "key"), "near-members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
+    wanted = stored(members.select("node").distinct().join(nodes.select("node", "rep"), "node"), "near-wanted")
     texts = docs.select("doc_id", node_of().alias("node"), text_or_empty().alias("text")).withColumnRenamed("node", "n_")
-    found = texts.join(wanted, (F.col("n_") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    # One row for each text that meets another: it grows with the corpus and is not broadcast at any size.
+    found = texts.join(wanted.hint("merge"), (F.col("n_") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
     held = stored(found.dropDuplicates(["node"]), "near-texts")
 
     edges = None
@@ -305,7 +306,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     # A node has one label, so these are one row for each distinct text in a class of several rows.
     marks = stored(found.select("node", "label").distinct().withColumnRenamed("node", "_n").join(stays, F.col("label") == F.col("_label")).select("_n", "_label", "_i", "_m"), "near-marks")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), node_of().alias("_node"))
-    marked = rows.join(marks, F.col("_node") == F.col("_n"), "left")
+    marked = rows.join(marks.hint("merge"), F.col("_node") == F.col("_n"), "left")
     kept = marked.filter("_n IS NULL").select("_row.*")
     one = marked.filter((F.col("_node") == F.col("_m")) & F.col("_id").eqNullSafe(F.col("_i"))).dropDuplicates(["_label"]).select("_row.*")
     return kept.unionByName(one)
