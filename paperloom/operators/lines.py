@@ -194,3 +194,12 @@ SELECT doc_id, CASE WHEN len(regexp_extract_all(k, '\?')) >= greatest(3, length(
   CASE WHEN length(t) > 60 THEN rtrim(substr(t, 1, 59), ' ') || '…' ELSE t END AS short, replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped,
   regexp_replace(t, 'sk-[A-Za-z0-9_-]{{8,}}', '[REDACTED_API_KEY]', 'g') AS safe, len(us)::BIGINT AS n_values, array_to_string(us, '; ') AS listed FROM u""",
 }
+
+# The same over every line.
+_FIRST_LINES = "SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS t FROM documents"
+ORACLES["cleaned_lines"] = ORACLES["cleaned_first_lines"].replace(_FIRST_LINES, f"SELECT * FROM {LINES}").replace("SELECT doc_id, CASE", "SELECT doc_id, pos, CASE")
+_SECTIONS = f"""WITH k AS (SELECT doc_id, pos, t AS line, {TYPE_SQL} AS kind FROM {LINES}),
+s AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'heading' THEN trim(line) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'Page 1') AS section FROM k),
+b AS (SELECT doc_id, pos, 'pdf-1-' || {_FOLD.format(seed=2166136261, step='(xor(h, c) * 16777619) & 4294967295')} AS block_id FROM (SELECT doc_id, pos, '1|' || kind || '|' || section || '|' || line AS t FROM s)),
+p AS (SELECT doc_id, pos, 'paper-' || {_FOLD.format(seed=0, step='(h * 31 + c) & 4294967295')} AS paper_id FROM {LINES})"""
+ORACLES["line_block_ids"] = f"{_SECTIONS} SELECT doc_id, pos, block_id, paper_id FROM b JOIN p USING (doc_id, pos)"

@@ -153,4 +153,5 @@ ORACLES = {
     "line_search_queries": rf"WITH q AS (SELECT doc_id, pos, list_filter(list_transform(regexp_extract_all(t, '([A-Z][A-Za-z0-9:,\- ]{{24,120}})', 1), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'), ' ')), lambda x: len(string_split(x, ' ')) >= 4) AS xs FROM {LINES_AND_SAMPLES}) SELECT doc_id, pos, array_to_string(list_slice(list_filter(xs, lambda x, i: list_position(xs, x) = i), 1, 5), '|') AS queries FROM q WHERE len(xs) > 0",
     "markdown_structure": rf"WITH k AS (SELECT doc_id, pos, CASE WHEN {_T} = '' THEN '' WHEN regexp_matches({_T}, '^#{{1,4}}\s+.+$') THEN 'h' WHEN regexp_matches({_T}, '^[-*]\s+.+$') THEN 'ul' WHEN regexp_matches({_T}, '^\d+[.)]\s+.+$') THEN 'ol' WHEN regexp_matches({_T}, '^>\s?.+$') THEN 'quote' ELSE 'p' END AS kind FROM {LINES_AND_SAMPLES}), n AS (SELECT *, (kind = 'h' OR lag(kind) OVER w IS DISTINCT FROM kind)::INT AS new FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS run FROM n) SELECT doc_id, run, kind, min(pos) AS first_pos, count(*) AS lines FROM r WHERE kind <> '' GROUP BY doc_id, run, kind",
     "event_times": "WITH m AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0 ELSE epoch_ms(date_trunc('second', ts)) END AS ms FROM events), n AS (SELECT *, (SELECT max(ms) FROM m) AS now FROM m) SELECT event_id, ms::BIGINT AS ms, greatest(0, ceil((ms + 3600000 - now) / 60000))::BIGINT AS minutes, ms >= now - 7 * 86400000 AS recent FROM n",
+    "shown_rows": "SELECT 'row-' || l_orderkey AS row_id, '中文标题|英文标题|论文|创新点|局限点|方法|数据/任务|指标/结果' AS of_paper, '论文|中文标题|英文标题|创新点|局限点|方法|数据/任务|指标/结果' AS of_value FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY l_orderkey",
 }
