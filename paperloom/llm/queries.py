@@ -15,6 +15,7 @@ MODULES = (
     "op8_quality",
     "op9_substrings",
     "op10_decontamination",
+    "op11_collocations",
 )
 
 
