@@ -16,6 +16,7 @@ MODULES = (
     "op9_substrings",
     "op10_decontamination",
     "op11_collocations",
+    "op12_alignment",
 )
 
 
