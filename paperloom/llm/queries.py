@@ -17,6 +17,7 @@ MODULES = (
     "op10_decontamination",
     "op11_collocations",
     "op12_alignment",
+    "op13_jaccard_join",
 )
 
 
