@@ -66,7 +66,7 @@ def pieces(batch: pa.RecordBatch, max_bytes: int) -> Iterator[tuple[pa.Array, pa
         else:  # one long text
             while low < high:
                 end = min(high, low + max_bytes)
-                while end < high and not (cuts := _BREAK[_FOLD[data[end : end + max_bytes]]]).any():
+                while end < high and not (cuts := _BREAK[_FOLD[data[end : min(high, end + max_bytes)]]]).any():
                     end = min(high, end + max_bytes)
                 end = end + int(cuts.argmax()) + 1 if end < high else high
                 yield langs.slice(i, 1), _binary(_FOLD[data[low:end]], np.array([0, end - low]))
@@ -122,8 +122,8 @@ class Phrases:
         return pa.RecordBatch.from_arrays([self.names.take(pa.array(self.lang[at])), phrase.cast(pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))], ["lang", "phrase", "n"])
 
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> U(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (hashes >> U(65 - buckets.bit_length())).astype(np.int64)
 
 
 class Bitmap:
@@ -133,12 +133,12 @@ class Bitmap:
         self.bits = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool) if packed else None
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        return np.ones(len(hashes), bool) if self.bits is None else self.bits[_bucket(hashes)]
+        return np.ones(len(hashes), bool) if self.bits is None else self.bits[_bucket(hashes, len(self.bits))]
 
 
 def _blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows block, at (places in it, 16 bits each) and times (8 bits each) of buckets that are not 0."""
-    for block in range(0, BUCKETS, BLOCK):
+    for block in range(0, len(counts), BLOCK):
         part = counts[block : block + BLOCK]
         at = np.flatnonzero(part)
         if len(at):
@@ -151,8 +151,8 @@ def _add(counts: np.ndarray, buckets: np.ndarray, most: int) -> None:
     counts[at] = np.minimum(counts[at] + n, most).astype(np.uint8)
 
 
-def bitmap_of(rows: DataFrame, least: int) -> bytes | None:
-    """The packed bits of the buckets whose times reach ``least`` in all; None if no row says any.
+def bitmap_of(rows: DataFrame, least: int, buckets: int = BUCKETS) -> bytes:
+    """The packed bits of the buckets whose times reach ``least`` in all.
 
     Rows of one block meet in one task, sorted, and are added as they stream by.  What
     comes to the driver is a bit for each bucket.
@@ -175,13 +175,13 @@ def bitmap_of(rows: DataFrame, least: int) -> bytes | None:
         if now >= 0:
             yield done()
 
-    n = max(2, min(BUCKETS // BLOCK, shuffle_partitions(rows.sparkSession)))
+    n = max(2, min(buckets // BLOCK, shuffle_partitions(rows.sparkSession)))
     dealt = rows.select("block", "at", "times").repartition(n, "block").sortWithinPartitions("block")
     found = dealt.mapInArrow(total, "block int, bits binary").collect()
-    packed = np.zeros(BUCKETS // 8, np.uint8)
+    packed = np.zeros(max(buckets, BLOCK) // 8, np.uint8)
     for row in found:
         packed[row.block * BLOCK // 8 : (row.block + 1) * BLOCK // 8] = np.frombuffer(row.bits, np.uint8)
-    return packed.tobytes()
+    return packed[: buckets // 8].tobytes()
 
 
 _PASS = "lang string, phrase string, n long, block int, at binary, times binary"
@@ -194,27 +194,27 @@ def _padded(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(k).cast(t) if k in have else pa.nulls(batch.num_rows, t) for k, t in kinds.items()], list(kinds))
 
 
-def one_pass(texts: DataFrame, length: int, frequent, buckets, least: int, last: bool) -> DataFrame:
+def one_pass(texts: DataFrame, length: int, frequent, full, least: int, last: bool, buckets: int = BUCKETS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Counts of phrases of ``length`` words (lang, phrase, n) and the bucket rows of the next length.
 
-    ``texts``: lang and text.  ``frequent`` and ``buckets``: broadcast bitmaps of the phrases
+    ``texts``: lang and text.  ``frequent`` and ``full``: broadcast bitmaps of the phrases
     one word shorter and of the buckets of this length (None in the first pass, which also
     counts all words of a language, as rows with a null phrase).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Bitmap(frequent.value if frequent else None)
-        full = Bitmap(buckets.value if buckets else None)
-        counts = np.zeros(0 if last else BUCKETS, np.uint8)
+        filled = Bitmap(full.value if full else None)
+        counts = np.zeros(0 if last else buckets, np.uint8)
         for batch in batches:
-            for langs, folded in pieces(batch, SLICE_BYTES):
+            for langs, folded in pieces(batch, slice_bytes):
                 p = Phrases(langs, folded)
                 shorter = None
                 for k, (hashes, whole) in enumerate(p.runs(), 1):
                     if k == length - 1:
                         shorter = parts.has(hashes) & whole
                     elif k == length:
-                        may = whole & full.has(hashes)
+                        may = whole & filled.has(hashes)
                         if shorter is not None:
                             may &= shorter[:-1] & shorter[1:]
                         starts = np.flatnonzero(may)
@@ -226,7 +226,7 @@ def one_pass(texts: DataFrame, length: int, frequent, buckets, least: int, last:
                         if last:
                             break
                     elif k == length + 1:
-                        _add(counts, _bucket(hashes[whole & may[:-1] & may[1:]]), max(1, min(255, least)))
+                        _add(counts, _bucket(hashes[whole & may[:-1] & may[1:]], buckets), max(1, min(255, least)))
                         break
         if not last:
             yield from map(_padded, _blocks(counts))
@@ -234,11 +234,11 @@ def one_pass(texts: DataFrame, length: int, frequent, buckets, least: int, last:
     return texts.mapInArrow(run, _PASS)
 
 
-def _bits_of_phrases(level: DataFrame) -> DataFrame:
+def _bits_of_phrases(level: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Bucket rows of the phrases of ``level``, each counted once or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.uint8)
+        counts = np.zeros(buckets, np.uint8)
         for batch in batches:
             w = words_of(batch.column("phrase"))
             seeds = {x: _lang_hash(x) for x in batch.column("lang").unique().to_pylist()}
@@ -248,25 +248,26 @@ def _bits_of_phrases(level: DataFrame) -> DataFrame:
             for k in range(1, int(size.max(initial=0))):
                 more = size > k
                 hashes[more] = _longer(hashes[more], w.hash[at[more] + k])
-            counts[_bucket(hashes)] = 1
+            counts[_bucket(hashes, buckets)] = 1
         yield from _blocks(counts)
 
     return level.mapInArrow(run, "block int, at binary, times binary")
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, buckets: int = BUCKETS, slice_bytes: int = SLICE_BYTES) -> tuple[DataFrame, DataFrame]:
     """Phrases of up to ``longest`` words with at least ``least`` occurrences: (lang, phrase, words, f), and (lang, n) of all words."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty().alias("text"))
-    levels, totals, frequent, buckets = None, None, None, None
+    levels, totals, frequent, full = None, None, None, None
     for length in range(1, longest + 1):
         last = length == longest
-        found = stored(one_pass(texts, length, frequent, buckets, least, last), f"phrases-{length}")
+        found = stored(one_pass(texts, length, frequent, full, least, last, buckets, slice_bytes), f"phrases-{length}")
         level = stored(found.filter("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), f"frequent-{length}")
         if length == 1:
             totals = stored(found.filter("phrase IS NULL AND block IS NULL").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
         if not last:
-            frequent, buckets = [spark.sparkContext.broadcast(b) for b in (bitmap_of(_bits_of_phrases(level), 1), bitmap_of(found.filter("block IS NOT NULL"), least))]
+            bits = bitmap_of(_bits_of_phrases(level, buckets), 1, buckets), bitmap_of(found.filter("block IS NOT NULL"), least, buckets)
+            frequent, full = (spark.sparkContext.broadcast(b) for b in bits)
         drop_stored(found)
         level = level.withColumn("words", F.lit(length))
         levels = level if levels is None else levels.unionByName(level)
@@ -277,9 +278,12 @@ def _wide(column):
     return F.col(column).cast("decimal(19,0)")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, share: int = SHARE) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n and score of every language's first ``top`` phrases."""
-    levels, totals = phrase_counts(docs, least, longest)
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, share: int = SHARE, **sizes) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n and score of every language's first ``top`` phrases.
+
+    ``sizes``: buckets (a power of 2) and slice_bytes; they don't change the result.
+    """
+    levels, totals = phrase_counts(docs, least, longest, **sizes)
     known = levels.select("lang", "phrase", "f")
     found = levels.filter("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
 

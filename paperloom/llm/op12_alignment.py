@@ -136,10 +136,10 @@ def _digits(n: int) -> tuple[np.ndarray, np.ndarray]:
     return chars, used
 
 
-def parts_of(text: str) -> list[str]:
-    """space + text in parts of about ``PART_CHARS``, each beginning with a space."""
+def parts_of(text: str, part_chars: int = PART_CHARS) -> list[str]:
+    """space + text in parts of about ``part_chars``, each beginning with a space."""
     text, parts, at = " " + text, [], 0
-    while len(text) - at > PART_CHARS and (cut := _CUT.search(text, at + PART_CHARS)):
+    while len(text) - at > part_chars and (cut := _CUT.search(text, at + part_chars)):
         parts.append(text[at : cut.start()])
         at = cut.start()
     return [*parts, text[at:]]
@@ -210,7 +210,7 @@ class Slice:
             known.update(flat[begin : end - 1])
             begin = end
 
-    def rows(self, key: int, doc_id: pa.Array) -> Iterator[pa.RecordBatch]:
+    def rows(self, key: int, doc_id: pa.Array, entries: int) -> Iterator[pa.RecordBatch]:
         n = len(doc_id)
         summary = {"key": pa.array(key + np.arange(n)), "doc_id": doc_id} | {k: pa.array(v) for k, v in self.sums.items()}
         summary["groups_sha256"] = pa.array([self.hashes[i].hexdigest() if i in self.hashes else "" for i in range(n)])
@@ -227,8 +227,8 @@ class Slice:
         bounds = np.searchsorted(where, np.arange(RANGES + 1))
         out = {k: [] for k in ("range", "key", "b", "a", "row", "times")}
         for r in range(RANGES):
-            for i in range(int(bounds[r]), int(bounds[r + 1]), ENTRIES):
-                e = entry[i : min(i + ENTRIES, int(bounds[r + 1]))]
+            for i in range(int(bounds[r]), int(bounds[r + 1]), entries):
+                e = entry[i : min(i + entries, int(bounds[r + 1]))]
                 cells = (r, key, packed(e >> (ID_BITS + ROW_BITS)), packed(e >> ROW_BITS & (1 << ID_BITS) - 1), packed(e & (1 << ROW_BITS) - 1), packed(times[i : i + len(e)]))
                 for k, v in zip(out, cells, strict=True):
                     out[k].append(v)
@@ -257,7 +257,7 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
-def encoded(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def encoded(docs: DataFrame, a_path: str, b_path: str, slice_bytes: int = SLICE_BYTES, part_chars: int = PART_CHARS, entries: int = ENTRIES) -> DataFrame:
     """Summaries (range is null) and postings of all rows of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,15 +265,15 @@ def encoded(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         # Rows are known by task, slice and place: the table is stored once, so they stay.
         number = 0
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            for part in slices(batch, "text", slice_bytes):
                 key = (TaskContext.get().partitionId() << 20 | number) << ROW_BITS
                 number += 1
-                yield from _encoded_slice(part, key, a_side, b_side)
+                yield from _encoded_slice(part, key, a_side, b_side, part_chars, entries)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, _SCHEMA)
 
 
-def _encoded_slice(part: pa.RecordBatch, key: int, a_side: ByteBpe, b_side: PieceBpe) -> Iterator[pa.RecordBatch]:
+def _encoded_slice(part: pa.RecordBatch, key: int, a_side: ByteBpe, b_side: PieceBpe, part_chars: int, entries: int) -> Iterator[pa.RecordBatch]:
     found = Slice(part.num_rows)
     runs, row, parts, size = [], [], [], 0
 
@@ -285,11 +285,11 @@ def _encoded_slice(part: pa.RecordBatch, key: int, a_side: ByteBpe, b_side: Piec
         runs.append((np.array(row), a, b, np.diff(ends, prepend=0), good))
 
     for i, text in enumerate(part.column("text").to_pylist()):
-        for p in parts_of(text) if text else []:
+        for p in parts_of(text, part_chars) if text else []:
             row.append(i)
             parts.append(p)
             size += len(p)
-            if size >= 2 * PART_CHARS * 4:
+            if size >= 4 * part_chars:
                 take()
                 row, parts, size = [], [], 0
     if parts:
@@ -299,7 +299,7 @@ def _encoded_slice(part: pa.RecordBatch, key: int, a_side: ByteBpe, b_side: Piec
         keep = [k for k, r in enumerate(rows) if int(r) not in bad]
         if keep:
             found.add(rows[keep], [a[k] for k in keep], [b[k] for k in keep], a_side.tokens, b_side.tokens, np.cumsum(sizes[keep]))
-    yield from found.rows(key, part.column("doc_id"))
+    yield from found.rows(key, part.column("doc_id"), entries)
 
 
 def _entries(batch: pa.RecordBatch, rows_at_once: int = 256) -> Iterator[tuple[np.ndarray, ...]]:
@@ -374,9 +374,12 @@ def contributions(postings: DataFrame, counts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, n_best long, count_sum long")
 
 
-def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row of ``docs``."""
-    both = stored(encoded(docs, a_path or byte_bpe_path(), b_path or piece_bpe_path()), "align-encoded")
+def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, **sizes) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row of ``docs``.
+
+    ``sizes``: slice_bytes, part_chars and entries; they don't change the result.
+    """
+    both = stored(encoded(docs, a_path or byte_bpe_path(), b_path or piece_bpe_path(), **sizes), "align-encoded")
     postings = both.filter("range IS NOT NULL").select("range", "key", "b", "a", "row", "times")
     counts = stored(pair_counts(postings), "align-counts")
     rated = contributions(postings, counts).groupBy("key").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))

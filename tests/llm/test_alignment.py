@@ -99,15 +99,14 @@ def test_whole_table(spark, data):
 def test_parts_and_shares_change_nothing(spark, data, monkeypatch):
     docs = spark.read.parquet(f"{data}/documents.parquet").limit(60)
     whole = rows_of(op12_alignment.align(docs))
-    for name, value in (("PART_CHARS", 300), ("ENTRIES", 16), ("PER_TASK", 3), ("SLICE_BYTES", 4000)):
-        monkeypatch.setattr(op12_alignment, name, value)
+    monkeypatch.setattr(op12_alignment, "PER_TASK", 3)
     a, b = op12_alignment._sides(op12_alignment.byte_bpe_path(), op12_alignment.piece_bpe_path())
     texts = [r.text for r in docs.collect() if r.text]
-    assert any(len(op12_alignment.parts_of(t)) > 3 for t in texts)
+    assert any(len(op12_alignment.parts_of(t, 300)) > 3 for t in texts)
     for side, other in ((a, lambda t: a.encode([" " + t])[0]), (b, lambda t: b.encode([" " + t])[0])):
         for t in texts:
-            assert [int(i) for p in side.encode(op12_alignment.parts_of(t)) for i in p] == [int(i) for i in other(t)]
-    assert rows_of(op12_alignment.align(docs)) == whole
+            assert [int(i) for p in side.encode(op12_alignment.parts_of(t, 300)) for i in p] == [int(i) for i in other(t)]
+    assert rows_of(op12_alignment.align(docs, slice_bytes=4000, part_chars=300, entries=16)) == whole
 
 
 def test_long_texts(spark):
