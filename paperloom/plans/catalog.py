@@ -11,9 +11,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _parts():
     from ..operators import decks, evidence, graph, layout, library, lines, matching, pages, queue, records, requests, similarity, workbook
-    from ..sources import formats
+    from ..sources import folders, formats
 
-    return [graph, lines, evidence, decks, matching, layout, pages, library, queue, records, requests, similarity, workbook, formats]
+    return [graph, lines, evidence, decks, matching, layout, pages, library, queue, records, requests, similarity, workbook, formats, folders]
 
 
 def queries() -> dict[str, Query]:
