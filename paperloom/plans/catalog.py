@@ -10,10 +10,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _parts():
-    from ..operators import decks, evidence, graph, layout, library, lines, matching, pages, queue, records, requests, similarity, workbook
+    from ..operators import decks, evidence, formulas, graph, grounding, highlights, layout, library, lines, matching, pages, queue, records, replies, requests, similarity, workbook
     from ..sources import folders, formats
 
-    return [graph, lines, evidence, decks, matching, layout, pages, library, queue, records, requests, similarity, workbook, formats, folders]
+    return [graph, lines, evidence, decks, matching, layout, pages, library, queue, records, requests, similarity, workbook, formats, folders, replies, formulas, grounding, highlights]
 
 
 def queries() -> dict[str, Query]:
