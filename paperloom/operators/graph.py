@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.tables import table
+from ..sources.tables import stored, table
 
 #: Edge labels by node type, in the order the types are fanned out.
 EDGE_LABELS = {"author": "作者", "year": "年份", "venue": "期刊/会议", "keyword": "关键词", "method": "方法", "scene": "场景", "metric": "指标", "limitation": "局限"}
@@ -97,7 +97,7 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value edges and the co-occurrence of methods."""
-    rows = mentions(spark, sf_dir)
+    rows = stored(mentions(spark, sf_dir), "mentions")
     return value_edges(rows).unionByName(co_occurrence(rows, "method", CO_METHOD))
 
 
@@ -111,7 +111,7 @@ def graph_top_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Co-occurrence edges between the 180 top nodes."""
-    rows = mentions(spark, sf_dir)
+    rows = stored(mentions(spark, sf_dir), "mentions")
     # Rows of the top nodes only, before any pair is made: at most 180 nodes, so the semi join broadcasts them.
     some = rows.join(F.broadcast(top_nodes(nodes_of(rows), 180).select("node")), "node", "left_semi")
     return co_occurrence(some, "keyword", CO_KEYWORD).unionByName(co_occurrence(some, "method", CO_METHOD))
@@ -125,7 +125,7 @@ def graph_top_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mentions(spark, sf_dir)
+    rows = stored(mentions(spark, sf_dir), "mentions")
     n = nodes_of(rows).agg(F.count("*").alias("nodes"), F.sum("count").alias("mentions"))
     e = value_edges(rows).agg(F.count("*").alias("edges"))
     papers = table(spark, sf_dir, "orders").agg(F.count("*").alias("papers"))

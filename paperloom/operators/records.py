@@ -39,7 +39,9 @@ def distinct_refs(refs: DataFrame, by: str, most: int) -> DataFrame:
     """References (``by``, pos, page, section, text), the first of each page, section and beginning of text, ``most`` of each ``by``."""
     key = F.concat_ws(":", F.col("page").cast("string"), "section", F.substring("text", 1, REF_SIGNS))
     one = first_by(refs.withColumn("_k", key), [by, "_k"], ["pos"]).drop("_k")
-    return one.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy("pos")).cast("long")).filter(F.col("place") <= most)
+    # The filter is on the rank itself, so that every task keeps its own first rows before they meet.
+    placed = one.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy("pos"))).filter(F.col("place") <= most)
+    return placed.withColumn("place", F.col("place").cast("long"))
 
 
 def search_queries(prompt: Column) -> Column:
@@ -140,12 +142,24 @@ def shown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = sheet_rows(_books(spark, sf_dir)).filter("pos > 0")
     joined = lambda x: F.array_join(F.transform(x, lambda e: e["key"]), "|")
-    return rows.select("row_id", joined(shown_entries(row_values(), F.lit(True))).alias("of_paper"), joined(shown_entries(row_values(), F.lit(False))).alias("of_value"))
+    # Every row lacks other labels, by its number.
+    number = F.regexp_extract("row_id", r"\d+", 0).cast("long")
+    values = F.map_filter(row_values(), lambda k, _: F.pmod(number + F.length(k), F.lit(3)) != 0)
+    return rows.select("row_id", joined(shown_entries(values, F.lit(True))).alias("of_paper"), joined(shown_entries(values, F.lit(False))).alias("of_value"))
 
 
 QUERIES = {f.__name__: f for f in (reusable_records, cached_lines, line_refs, line_search_queries, markdown_structure, event_times, shown_rows)}
 _KEY = rf"trim(regexp_replace(lower(t), '{T.SPACE_RE2}', ' ', 'g'), ' ')"
 _T = rf"regexp_replace(t, '^{T.SPACE_RE2}|{T.SPACE_RE2}$', '', 'g')"
+_LABELS = ", ".join(f"'{x}'" for x in ("论文", "中文标题", "英文标题", "创新点", "局限点", "方法", "数据/任务", "指标/结果", "复现计划", "后续 idea", "备注"))
+
+
+def _shown_sql(wanted: tuple[str, ...]) -> str:
+    hits = ", ".join(f"list_filter(e, lambda x: contains(lower(x), '{n.lower()}'))[1]" for n in wanted)
+    every = f"list_concat(list_filter([{hits}], lambda x: x IS NOT NULL), e[1:{MOST_SHOWN}])"
+    return f"array_to_string(list_filter({every}, lambda x, i: list_position({every}, x) = i)[1:{MOST_SHOWN}], '|')"
+
+
 ORACLES = {
     "reusable_records": "WITH r AS (SELECT user_id AS hash, event_type AS mode, arg_min('/r/' || event_id, event_id) AS path FROM events WHERE value > 40 GROUP BY ALL) SELECT DISTINCT user_id AS hash, event_type AS mode, r.path FROM events LEFT JOIN r ON user_id = r.hash AND event_type = r.mode",
     "cached_lines": f"WITH l AS (SELECT *, {_KEY} AS k, {T.SQL['is_translatable']} AS ok FROM {LINES}), c AS (SELECT * FROM l WHERE doc_id % 2 = 0), h AS (SELECT t, arg_max('t:' || doc_id, {{'d': doc_id, 'p': pos}}) AS t1 FROM c GROUP BY t), n AS (SELECT k, arg_max('t:' || doc_id, {{'d': doc_id, 'p': pos}}) AS t2 FROM c GROUP BY k) SELECT l.doc_id, l.pos, coalesce(t1, t2, '') AS translation FROM l LEFT JOIN h ON l.t = h.t LEFT JOIN n ON l.k = n.k WHERE l.doc_id % 2 = 1 AND ok",
@@ -153,5 +167,5 @@ ORACLES = {
     "line_search_queries": rf"WITH q AS (SELECT doc_id, pos, list_filter(list_transform(regexp_extract_all(t, '([A-Z][A-Za-z0-9:,\- ]{{24,120}})', 1), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'), ' ')), lambda x: len(string_split(x, ' ')) >= 4) AS xs FROM {LINES_AND_SAMPLES}) SELECT doc_id, pos, array_to_string(list_slice(list_filter(xs, lambda x, i: list_position(xs, x) = i), 1, 5), '|') AS queries FROM q WHERE len(xs) > 0",
     "markdown_structure": rf"WITH k AS (SELECT doc_id, pos, CASE WHEN {_T} = '' THEN '' WHEN regexp_matches({_T}, '^#{{1,4}}\s+.+$') THEN 'h' WHEN regexp_matches({_T}, '^[-*]\s+.+$') THEN 'ul' WHEN regexp_matches({_T}, '^\d+[.)]\s+.+$') THEN 'ol' WHEN regexp_matches({_T}, '^>\s?.+$') THEN 'quote' ELSE 'p' END AS kind FROM {LINES_AND_SAMPLES}), n AS (SELECT *, (kind = 'h' OR lag(kind) OVER w IS DISTINCT FROM kind)::INT AS new FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS run FROM n) SELECT doc_id, run, kind, min(pos) AS first_pos, count(*) AS lines FROM r WHERE kind <> '' GROUP BY doc_id, run, kind",
     "event_times": "WITH m AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0 ELSE epoch_ms(date_trunc('second', ts)) END AS ms FROM events), n AS (SELECT *, (SELECT max(ms) FROM m) AS now FROM m) SELECT event_id, ms::BIGINT AS ms, greatest(0, ceil((ms + 3600000 - now) / 60000))::BIGINT AS minutes, ms >= now - 7 * 86400000 AS recent FROM n",
-    "shown_rows": "SELECT 'row-' || l_orderkey AS row_id, '中文标题|英文标题|论文|创新点|局限点|方法|数据/任务|指标/结果' AS of_paper, '论文|中文标题|英文标题|创新点|局限点|方法|数据/任务|指标/结果' AS of_value FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY l_orderkey",
+    "shown_rows": f"WITH k AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), e AS (SELECT k, list_filter([{_LABELS}], lambda x: (k + length(x)) % 3 <> 0) AS e FROM k) SELECT 'row-' || k AS row_id, {_shown_sql(SHOWN_OF_PAPER)} AS of_paper, {_shown_sql(SHOWN_OF_VALUE)} AS of_value FROM e",
 }

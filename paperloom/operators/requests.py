@@ -57,7 +57,7 @@ def cached(requests: DataFrame, keys: list[str], ttl_ms: int = CACHE_HOURS * 360
 
     Only a miss fetches and writes an entry, so each key is a chain of misses: the next is
     the first request over ``ttl_ms`` after the last.  Tasks stream their keys in order and
-    hold the last fetch of one key.
+    hold the last fetch of one key.  A request without a time fetches and leaves nothing.
     """
     names = requests.columns
 
@@ -66,7 +66,9 @@ def cached(requests: DataFrame, keys: list[str], ttl_ms: int = CACHE_HOURS * 360
         for batch in batches:
             out = []
             for *k, ms in zip(*(batch.column(c).to_pylist() for c in [*keys, "ms"]), strict=True):
-                if k != key or ms - fetched > ttl_ms:
+                if ms is None:
+                    out.append((None, False))
+                elif k != key or ms - fetched > ttl_ms:
                     key, fetched = k, ms
                     out.append((ms, False))
                 else:

@@ -14,10 +14,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions import text as T
-from ..sources.tables import table
+from ..sources.tables import stored, table
 from . import graph
 from .library import a1, first_by
 
@@ -43,6 +42,10 @@ WORKBOOK = (
 )
 
 
+#: Nodes of a graph that is looked at as a whole.
+WIDE_VIEW = 20_000
+
+
 def _default_row() -> Column:
     return F.struct(F.lit("header").alias("id"), F.array(*[F.lit(x) for x in LABELS]).alias("cells"))
 
@@ -189,7 +192,7 @@ def graph_of(found: DataFrame, most: int = 120) -> tuple[DataFrame, DataFrame, D
     The cut comes before pairs are made: at most ``most`` nodes are broadcast, and only their
     mentions meet.
     """
-    rows = mentions(found).persist(StorageLevel.DISK_ONLY)  # read by every part below
+    rows = stored(mentions(found), "mentions")  # read by every part below
     first = F.min(F.struct("entry_pos", "type_pos", "ord", "value"))["value"]
     every = rows.groupBy("node", "type").agg(first.alias("label"), F.count("*").alias("count"), F.countDistinct("paper").alias("papers"))
     nodes = graph.top_nodes(every, most)
@@ -265,16 +268,16 @@ def selected_cells(ranges: DataFrame) -> DataFrame:
 
 
 def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders whose number leaves 0 or 1 by eight."""
-    o, c = table(spark, sf_dir, "orders").filter("o_orderkey % 8 < 2"), table(spark, sf_dir, "customer")
+    """Orders as papers."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     joined = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
     key = F.col("o_orderkey").cast("string")
     return joined.select(key.alias("id"), F.concat(F.lit("p"), key).alias("pdfName"), F.lit("").alias("chineseTitle"), F.concat(F.lit("Paper "), key).alias("englishTitle"), F.col("o_orderpriority").alias("journal"), F.col("c_name").alias("authors"), F.year("o_orderdate").cast("string").alias("year"), F.lit("").alias("notes"), F.col("o_orderkey").alias("pos"))
 
 
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders whose number leaves 0 by four as rows of workbooks of up to 250 rows, in JSON."""
-    l, p = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0"), table(spark, sf_dir, "part")
+    """Orders with lines as rows of workbooks of up to 1,000 rows, in JSON."""
+    l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     items = l.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("part"), "p_type"))).alias("x"))
     joined = lambda c: F.array_join(F.transform("x", lambda x: x[c]), "; ")
     key = F.col("l_orderkey").cast("string")
@@ -285,7 +288,8 @@ def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 8 = 0")
+    """Rows of orders that are done are linked to their papers."""
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
     return o.select(F.concat(F.lit("row-"), F.col("o_orderkey").cast("string")).alias("row_id"), F.col("o_orderkey").cast("string").alias("paper_id"), F.col("o_orderkey").alias("pos"))
 
 
@@ -326,8 +330,8 @@ def workbook_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workbook_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and top labels of the graph cut to its 120 first nodes."""
-    return graph_of(_entries(spark, sf_dir))[2]
+    """Counts and top labels of the graph cut to its 20,000 first nodes."""
+    return graph_of(_entries(spark, sf_dir), WIDE_VIEW)[2]
 
 
 def workbook_related(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,10 +348,10 @@ def selected_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(selected_cells(ranges).groupBy("sheet").agg(F.count("*").alias("cells")), "sheet", "left").select("sheet", "counted", F.coalesce("cells", F.lit(0)).alias("cells"))
 
 
-_BASE = """it AS (SELECT l_orderkey AS k, string_agg('part ' || p_partkey, '; ' ORDER BY l_linenumber, 'part ' || p_partkey, p_type) AS parts, string_agg(p_type, '; ' ORDER BY l_linenumber, 'part ' || p_partkey, p_type) AS types, list({'n': l_linenumber, 'part': 'part ' || p_partkey, 'type': p_type} ORDER BY l_linenumber, 'part ' || p_partkey, p_type) AS xs FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 4 = 0 GROUP BY 1),
-pp AS (SELECT o_orderkey AS k, c_name AS authors, year(o_orderdate)::VARCHAR AS year, o_orderpriority AS venue FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 8 < 2),
-en AS (SELECT CASE WHEN pp.k IS NOT NULL THEN it.k::VARCHAR ELSE 'row:row-' || it.k END AS paper, 'row-' || it.k AS row_id, 'name ' || it.k AS title, coalesce(authors, '') AS authors, coalesce(year, '') AS year, coalesce(venue, '') AS venue, parts AS methods, types AS scenes, xs, it.k AS pos FROM it LEFT JOIN pp ON it.k = pp.k AND it.k % 8 = 0
-  UNION ALL SELECT pp.k::VARCHAR, '', 'Paper ' || pp.k, authors, year, venue, '', '', [], pp.k + 1099511627776 FROM pp WHERE NOT (pp.k % 8 = 0 AND pp.k IN (SELECT k FROM it)))"""
+_BASE = """it AS (SELECT l_orderkey AS k, string_agg('part ' || p_partkey, '; ' ORDER BY l_linenumber, 'part ' || p_partkey, p_type) AS parts, string_agg(p_type, '; ' ORDER BY l_linenumber, 'part ' || p_partkey, p_type) AS types, list({'n': l_linenumber, 'part': 'part ' || p_partkey, 'type': p_type} ORDER BY l_linenumber, 'part ' || p_partkey, p_type) AS xs FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+pp AS (SELECT o_orderkey AS k, c_name AS authors, year(o_orderdate)::VARCHAR AS year, o_orderpriority AS venue, o_orderstatus = 'F' AS linked FROM orders JOIN customer ON o_custkey = c_custkey),
+en AS (SELECT CASE WHEN pp.k IS NOT NULL THEN it.k::VARCHAR ELSE 'row:row-' || it.k END AS paper, 'row-' || it.k AS row_id, 'name ' || it.k AS title, coalesce(authors, '') AS authors, coalesce(year, '') AS year, coalesce(venue, '') AS venue, parts AS methods, types AS scenes, xs, it.k AS pos FROM it LEFT JOIN pp ON it.k = pp.k AND pp.linked
+  UNION ALL SELECT pp.k::VARCHAR, '', 'Paper ' || pp.k, authors, year, venue, '', '', [], pp.k + 1099511627776 FROM pp WHERE NOT (pp.linked AND pp.k IN (SELECT k FROM it)))"""
 _VALUES = """v0 AS (SELECT paper, pos, 'author' AS type, authors AS value, 0 AS n FROM en UNION ALL SELECT paper, pos, 'year', year, 0 FROM en UNION ALL SELECT paper, pos, 'venue', venue, 0 FROM en
   UNION ALL SELECT paper, pos, 'method', x.part, n FROM (SELECT paper, pos, unnest(xs) AS x, generate_subscripts(xs, 1) AS n FROM en) UNION ALL SELECT paper, pos, 'scene', x.type, n FROM (SELECT paper, pos, unnest(xs) AS x, generate_subscripts(xs, 1) AS n FROM en)),
 v1 AS (SELECT paper, pos, type, type || ':' || lower(value) AS node, min(n) AS n FROM v0 WHERE length(value) >= 2 GROUP BY ALL),
@@ -363,6 +367,16 @@ ORACLES = {
     "workbook_entries": f"WITH {_BASE} SELECT paper, row_id, title, authors, year, venue, length(methods)::BIGINT AS n_methods, length(scenes)::BIGINT AS n_scenes FROM en",
     "workbook_graph_nodes": f"WITH {_BASE}, {_VALUES} SELECT node, type, count(*) AS count, count(DISTINCT paper) AS papers FROM m GROUP BY node, type",
     "workbook_graph_edges": f"WITH {_BASE}, {_VALUES} SELECT 'paper:' || paper AS source, node AS target, {_EDGE_LABEL} AS label, count(*) AS weight FROM m WHERE type <> 'paper' GROUP BY ALL",
+    "workbook_graph_stats": f"""WITH {_BASE}, {_VALUES},
+        w AS (SELECT paper, pos, type, CASE type WHEN 'author' THEN 0 WHEN 'year' THEN 1 WHEN 'venue' THEN 2 WHEN 'keyword' THEN 3 WHEN 'method' THEN 4 ELSE 5 END AS tp, type || ':' || lower(value) AS node, n, value FROM v0),
+        l AS (SELECT node, min({{'a': pos, 'b': tp, 'c': n, 'd': value}}).d AS label FROM w GROUP BY node UNION ALL SELECT 'paper:' || paper, arg_min(title, pos) FROM en GROUP BY paper),
+        x AS (SELECT m.node, m.type, l.label, count(*) AS count FROM m JOIN l USING (node) GROUP BY ALL),
+        t AS (SELECT * FROM x ORDER BY CASE WHEN type = 'paper' THEN 0 ELSE 1 END, count DESC, label, node LIMIT {WIDE_VIEW}),
+        s AS (SELECT m.* FROM m WHERE node IN (SELECT node FROM t)),
+        h AS (SELECT DISTINCT paper FROM s WHERE type = 'paper'),
+        c0 AS (SELECT DISTINCT paper, node FROM s WHERE type = 'method'), c1 AS (SELECT * FROM c0 WHERE node IN (SELECT node FROM c0 GROUP BY node HAVING count(*) > 1)),
+        e AS (SELECT DISTINCT 'paper:' || paper AS source, node AS target FROM s WHERE type <> 'paper' AND paper IN (SELECT paper FROM h) UNION ALL SELECT DISTINCT a.node, b.node FROM c1 a JOIN c1 b ON a.paper = b.paper AND a.node < b.node)
+        SELECT (SELECT count(*) FROM en) AS papers, (SELECT count(*) FROM t) AS nodes, (SELECT count(*) FROM e) AS edges, '' AS top_keywords, (SELECT coalesce(string_agg(label, '; ' ORDER BY count DESC, label), '') FROM (SELECT label, count FROM t WHERE type = 'method' ORDER BY count DESC, label LIMIT 6)) AS top_methods""",
     "workbook_related": f"WITH {_BASE}, {_VALUES} SELECT node, count(*) AS n, arg_min(paper, pos) AS first_paper FROM (SELECT node, paper, min(pos) AS pos FROM m WHERE type <> 'paper' AND paper NOT LIKE 'row:%' GROUP BY ALL) GROUP BY node",
     "selected_ranges": "WITH g AS (SELECT l_suppkey AS sheet, l_partkey % 50 AS r1, l_linenumber AS c1, l_partkey % 50 + l_orderkey % 3 AS r2, l_linenumber + l_orderkey % 2 AS c2 FROM lineitem), x AS (SELECT DISTINCT sheet, r, unnest(range(c1, c2 + 1)) AS c FROM (SELECT sheet, c1, c2, unnest(range(r1, r2 + 1)) AS r FROM g) WHERE r > 0), n AS (SELECT sheet, count(*) AS cells FROM x GROUP BY sheet) SELECT g.sheet, sum((r2 - r1 + 1) * (c2 - c1 + 1))::BIGINT AS counted, coalesce(any_value(n.cells), 0)::BIGINT AS cells FROM g LEFT JOIN n USING (sheet) GROUP BY g.sheet",
 }

@@ -18,7 +18,6 @@ blank path in a project asks for nothing and is no error.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
-from .tables import table
+from .tables import shared_folder, table
 
 FILES = "path string, modified timestamp, length long, value string, error string"
 #: Bytes of a partition of files, and of the largest file that is read whole.
@@ -39,18 +38,6 @@ SUFFIX = {"dual": "-dual.pdf", "mono": "-mono.pdf"}
 PROVIDERS = ("openai", "deepseek", "kimi", "custom")
 KINDS = ("pdf", "translation", "aiCache", "translatedPdf", "translatedMonoPdf")
 
-_OWN: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A fresh folder that the driver and all executors see: under ``spark.checkpoint.dir``, or in local runs a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="folders-"))
-    return f"{found.rstrip('/')}/folders/{what}-{uuid.uuid4().hex}"
-
 
 def _store(path: str):
     """The file system of a folder, and the folder's path in it."""

@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.folders import shared_folder
-from ..sources.tables import table
+from ..sources.tables import shared_folder, table
 
 #: Rows of a batch at most; numbers of a log's rows are batch x this + place.
 BATCH_ROWS = 1 << 32
