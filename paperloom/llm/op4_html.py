@@ -13,7 +13,10 @@ lists, titles, definitions and annotations of drawings and formulas, comments, t
 styles, hidden inputs.
 
 Defined cases: null html gives null text; an empty page, or one of no visible text,
-gives an empty string; unclosed and stray tags never fail; nesting is kept on a stack of
+gives an empty string; unclosed and stray tags, numbers of any length and signs that are
+no ASCII digits never fail; a table whose alignment would be mostly blanks (``STRETCH``), such
+as one of few wide or far-reaching cells, has its cells side by side without it, so the text
+stays in proportion to what is visible; nesting is kept on a stack of
 its own, so its depth is unbounded and costs nothing; repeated rows give equal texts; a
 column of the name of ``into`` is replaced, all others stay; an empty table gives no rows.
 """
@@ -23,8 +26,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +61,7 @@ SCOPE = frozenset("table td th caption button html".split())
 #: Closing tags that reach through a scope.
 CROSSES = frozenset("tr tbody thead tfoot body html".split())
 
+LONG_NUMBER = re.compile(r"&#(?:[0-9]{10,}|[xX][0-9a-fA-F]{9,});?")
 TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|([!?])[^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HIDDEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
@@ -73,7 +78,7 @@ class Node:
 def attributes_of(raw: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, *values in ATTRIBUTE.findall(raw):
-        out.setdefault(name.lower(), html.unescape(next((v for v in values if v), "")))
+        out.setdefault(name.lower(), unescaped(next((v for v in values if v), "")))
     return out
 
 
@@ -147,10 +152,10 @@ def parse(source: str) -> Node:
     while at < n:
         m = TAG.search(source, at)
         if m is None:
-            open_.top.children.append(html.unescape(source[at:]))
+            open_.top.children.append(unescaped(source[at:]))
             break
         if m.start() > at:
-            open_.top.children.append(html.unescape(source[at : m.start()]))
+            open_.top.children.append(unescaped(source[at : m.start()]))
         at = m.end()
         if m[4] is None:  # a comment, doctype or instruction
             continue
@@ -167,7 +172,7 @@ def parse(source: str) -> Node:
         if tag in TEXT_ONLY:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)
             inner = source[at : end.start() if end else n]
-            node.children.append(html.unescape(inner) if tag == "textarea" else inner)
+            node.children.append(unescaped(inner) if tag == "textarea" else inner)
             if end is None:
                 break
             close = source.find(">", end.start())
@@ -319,6 +324,19 @@ def plain(node: Node) -> str:
     return SPACE.sub(" ", "".join(out)).strip(" ")
 
 
+def unescaped(text: str) -> str:
+    """Character references as signs; a number of many digits is no sign, as any beyond the last."""
+    return html.unescape(LONG_NUMBER.sub("\ufffd", text))
+
+
+def number(text: str, most: int, default: int) -> int:
+    """A whole number of ASCII digits, ``most`` at most however many digits it has; else the default."""
+    if not re.fullmatch(r"[0-9]+", text):
+        return default
+    digits = text.lstrip("0")
+    return most if len(digits) > 9 else min(int(digits or 0), most)
+
+
 def chosen(select: Node) -> list[str]:
     """Texts of the options that a select shows: all of a list, else the last selected, else the first."""
     options, left = [], [select]
@@ -331,7 +349,7 @@ def chosen(select: Node) -> list[str]:
         else:
             left.extend(reversed(x.children))
     size = select.attributes.get("size", "1")
-    if "multiple" not in select.attributes and not (size.isdigit() and int(size) > 1):
+    if "multiple" not in select.attributes and number(size, 2, 1) < 2:
         options = [x for x in options if "selected" in x.attributes][-1:] or options[:1]
     return [plain(x) for x in options]
 
@@ -361,9 +379,8 @@ def _finish(node: Node, out: list[str], state, above: list) -> None:
         if not state["rows"]:
             state["rows"].append([])
         across, down = (node.attributes.get(k, "1") for k in ("colspan", "rowspan"))
-        across = min(int(across), 1000) if across.isdecimal() and int(across) else 1
-        down = min(int(down) or 65534, 65534) if down.isdecimal() else 1  # 0: to the end
-        state["rows"][-1].append((out, across, down))
+        # A rowspan of 0 reaches to the end.
+        state["rows"][-1].append((out, number(across, 1000, 1) or 1, number(down, 65534, 1) or 65534))
         return
     if tag == "caption" and isinstance(state, dict):
         state["caption"] += out
@@ -391,53 +408,90 @@ def _finish(node: Node, out: list[str], state, above: list) -> None:
         lines.gap = True
 
 
-def _grid(rows: list[list[tuple]]) -> list[list[tuple[list[str], int]]]:
-    """Rows of (cell, columns), with empty cells under those that reach down from a row above."""
-    out = []
-    below: dict[int, int] = {}  # by column: rows that a cell above still takes
-    for row in rows:
-        line, column, taken = [], 0, {}
+#: A table is aligned while that makes at most so many signs of each sign in it.
+STRETCH, SLACK = 8, 1024
+
+
+def _grid(rows: list[list[tuple]]) -> list[list[tuple[int, int, list[str] | None]]] | None:
+    """Rows of (first column, column after it, cell), None for a cell under one that reaches down from a row above.
+
+    None for the whole if such places outnumber the cells by far.
+    """
+    most = STRETCH * sum(map(len, rows)) + SLACK
+    out, open_ = [], []  # open_: places that rows above still take, by column: first, after, rows
+    for i, row in enumerate(rows):
+        line, column, k, taken = [], 0, 0, []
+
+        def fill(upto: int | None) -> None:
+            """Passes the places that begin up to a column."""
+            nonlocal column, k
+            while k < len(open_) and (upto is None or open_[k][0] <= upto):
+                first, after, _ = open_[k]
+                if after > column:
+                    line.append((max(first, column), after, None))
+                    column = after
+                    upto = None if upto is None else column
+                k += 1
+
         for cell, across, down in row:
-            while below.get(column):
-                line.append(([], 1))
-                column += 1
-            line.append((cell, across))
-            if down > 1:
-                taken.update(dict.fromkeys(range(column, column + across), down))
+            fill(column)
+            line.append((column, column + across, cell))
+            if min(down, len(rows) - i) > 1:
+                taken.append((column, column + across, min(down, len(rows) - i) - 1))
             column += across
-        last = max((c for c, k in below.items() if k), default=-1)
-        while column <= last:
-            line.append(([], 1))
-            column += 1
-        below = {c: k - 1 for c, k in {**below, **taken}.items() if k > 1}
+        fill(None)
+        open_ = sorted([(a, b, n - 1) for a, b, n in open_ if n > 1] + taken)
+        most -= len(line) - len(row)
+        if most < 0:
+            return None
         out.append(line)
     return out
 
 
 def _table(state: dict) -> list[str]:
-    rows = _grid([r for r in state["rows"] if r])
-    widths: list[int] = []
-    for row in rows:
-        column = 0
-        for cell, span in row:
-            while len(widths) < column + span:
-                widths.append(0)
-            if span == 1:
-                widths[column] = max([widths[column], *(width(x) for x in cell)])
-            column += span
+    """The rows of a table, columns aligned; without alignment where that would be out of proportion."""
+    rows = [r for r in state["rows"] if r]
     out = list(state["caption"])
-    for row in rows:
-        for k in range(max([1, *(len(c) for c, _ in row)])):
-            parts, column = [], 0
-            for cell, span in row:
-                text = cell[k] if k < len(cell) else ""
-                room = sum(widths[column : column + span]) + 3 * (span - 1)
-                parts.append(text + " " * (room - width(text)))
-                column += span
-            out.append(" | ".join(parts).rstrip())
+    grid = _grid(rows)
+    lines = _aligned(grid) if grid is not None else None
+    if lines is None:
+        lines = []
+        for row in rows:
+            for k in range(max(1, *(len(c) for c, _, _ in row)) if len(row) > 1 else max(1, len(row[0][0]))):
+                lines.append(" | ".join(c[k] if k < len(c) else "" for c, _, _ in row).rstrip())
+    out += lines
     return out if any(x.strip(" |") for x in out) else []
 
 
+def _aligned(grid: list[list[tuple[int, int, list[str] | None]]]) -> list[str] | None:
+    """Lines of a grid; columns in which no cell begins are none.  None if blanks would be most of it."""
+    starts = sorted({first for row in grid for first, _, _ in row})
+    at = {c: i for i, c in enumerate(starts)}
+    placed = [[(at[a], max(at[a] + 1, bisect_left(starts, b)), cell) for a, b, cell in row] for row in grid]
+    widths = [0] * len(starts)
+    held = 0
+    for row in placed:
+        for first, after, cell in row:
+            if cell is not None:
+                held += 4 + sum(map(width, cell))
+                if after == first + 1:
+                    widths[first] = max([widths[first], *map(width, cell)])
+    upto = [0, *accumulate(widths)]
+    room = lambda first, after: upto[after] - upto[first] + 3 * (after - first - 1)
+    tall = [max([1, *(len(c) for _, _, c in row if c is not None)]) for row in placed]
+    if sum(h * sum(room(a, b) + 3 for a, b, _ in row) for h, row in zip(tall, placed, strict=True)) > STRETCH * held + SLACK:
+        return None
+    out = []
+    for row, h in zip(placed, tall, strict=True):
+        for k in range(h):
+            parts = []
+            for first, after, cell in row:
+                text = cell[k] if cell is not None and k < len(cell) else ""
+                parts.append(text + " " * (room(first, after) - width(text)))
+            out.append(" | ".join(parts).rstrip())
+    return out
+
+
 def visible_text(source: str) -> str:
     return render(parse(source))
 
