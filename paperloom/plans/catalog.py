@@ -10,11 +10,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _parts():
-    from ..operators import bullets, contexts, decks, evidence, formulas, graph, grounding, highlights, layout, library, lines, matching, pages, queue, records, replies, requests, similarity, styles, workbook
+    from ..operators import bullets, contexts, decks, evidence, formulas, graph, grounding, highlights, layout, library, lines, matching, outlines, pages, queue, records, replies, requests, similarity, styles, workbook
     from ..sources import folders, formats
     from ..streaming import logs
 
-    return [graph, lines, evidence, decks, matching, layout, pages, library, queue, records, requests, similarity, workbook, formats, folders, replies, formulas, grounding, highlights, styles, contexts, logs, bullets]
+    return [graph, lines, evidence, decks, matching, layout, pages, library, queue, records, requests, similarity, workbook, formats, folders, replies, formulas, grounding, highlights, styles, contexts, logs, bullets, outlines]
 
 
 def queries() -> dict[str, Query]:
