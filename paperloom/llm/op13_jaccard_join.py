@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table, text_or_empty
 from .components import components
+from .op11_collocations import BUCKETS, Bitmap, _add, _blocks, _bucket, bitmap_of
 from .op6_near_dedup import compared, edited_pairs, hub_pairs, node_of, shingles
 from .words import U, mix, slices, words_of
 
@@ -175,6 +176,47 @@ def allocation(nodes: DataFrame, met: DataFrame) -> DataFrame:
     return traded.select("place", F.when(F.col("rank") <= F.col("trades"), -1).when(F.col("rank") > F.col("segments") - F.col("trades"), 1).alias("allowance")).filter("allowance IS NOT NULL")
 
 
+def able(stars: DataFrame, least: float, buckets: int = BUCKETS) -> DataFrame:
+    """``stars`` without members that can't be linked with another of their hub, and without edits that none shares.
+
+    A member of cost e (``op6_near_dedup``) needs more than e shared edits, or, if it misses
+    the hub, more than e less the hub's bound.  Edits are counted by hub in hashed buckets, a
+    bitmap of fixed size, so an edit that is shared always counts as such and nothing is
+    shuffled by edits; the more edits share buckets, the more members stay.
+    """
+    c = least / (1 + least)
+
+    def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Of every edit: its hash with its hub's, and its row."""
+        lists = batch.column("edits")
+        hubs = np.array([int.from_bytes(b[:8], "little") for b in batch.column("b").to_pylist()], U)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        return mix(lists.flatten().to_numpy().view(U) ^ mix(hubs)[row]), row
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(buckets, np.uint8)
+        for batch in batches:
+            _add(counts, _bucket(keys(batch)[0], buckets), 2)
+        yield from _blocks(counts)
+
+    shared = stars.sparkSession.sparkContext.broadcast(bitmap_of(stars.select("b", "edits").mapInArrow(count, "block int, at binary, times binary"), 2, buckets))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = Bitmap(shared.value)
+        for batch in batches:
+            hashed, row = keys(batch)
+            hit = bits.has(hashed)
+            n = np.bincount(row[hit], minlength=batch.num_rows)
+            similarity, size, removed, added = (batch.column(k).to_numpy() for k in ("similarity", "size_b", "removed", "added"))
+            needed = (1 - c) * removed + c * added - np.where(similarity < least, (1 - 2 * c) * size, 0)
+            stay = pa.array(n > needed - 1e-6)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), batch.column("edits").flatten().filter(pa.array(hit)))
+            columns = [lists if k == "edits" else batch.column(k) for k in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(stay)
+
+    return stored(stars.mapInArrow(keep, stars.schema), "join-able")
+
+
 def joined(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     spark = docs.sparkSession
@@ -206,7 +248,7 @@ def joined(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) -> DataF
         least = percent / 100
         stars = stored(compared(pairs, texts, width, edits=True), "join-stars")
         edges = stars.filter(F.col("similarity") >= least).select("a", "b")
-        more = stored(edited_pairs(stars, stored(components(edges), "join-labels"), least), "join-edited")
+        more = stored(edited_pairs(able(stars, least), stored(components(edges), "join-labels"), least), "join-edited")
         if not more.isEmpty():
             edges = edges.union(stored(compared(more, texts, width), "join-more").filter(F.col("similarity") >= least).select("a", "b"))
     named = rows.select("doc_id", "node", "n_shingles")

@@ -100,6 +100,21 @@ def test_traded_segments_lose_no_link(spark, monkeypatch, turn):
     assert got(spark, rows) == plain(rows)
 
 
+@pytest.mark.parametrize("buckets", [1 << 24, 1 << 16])
+def test_members_that_share_edits_stay(spark, buckets):
+    """Of a hub's members, those with edits of their own alone go; those that share enough of theirs stay, with the shared ones."""
+    rng = random.Random(9)
+    own = lambda n: [rng.randrange(1 << 62) for _ in range(n)]
+    both = own(90)
+    rows = [(bytes([i] * 16), b"h" * 16, 0.5, 300, 50, 50, own(100)) for i in range(30)]
+    rows += [(bytes([100 + i] * 16), b"h" * 16, 0.5, 300, 50, 50, both + own(10)) for i in range(2)]
+    rows += [(bytes([110] * 16), b"g" * 16, 0.5, 300, 50, 50, both + own(10)), (bytes([111] * 16), b"h" * 16, 0.97, 300, 1, 1, own(2))]
+    stars = spark.createDataFrame(rows, "a binary, b binary, similarity double, size_b long, removed long, added long, edits array<long>").repartition(3)
+    got = {r.a[0]: r.edits for r in op13.able(stars, 0.9, buckets).collect()}
+    assert {100, 101} <= set(got) and 110 not in got and len(got) <= 4
+    assert set(both) <= set(got[100]) and (buckets < 1 << 20 or len(got[100]) <= len(both) + 1)
+
+
 def test_pigeonhole():
     """Sets that differ in no more than the scheme's bound have a segment within its allowance, whatever the trades."""
     rng = np.random.default_rng(5)
