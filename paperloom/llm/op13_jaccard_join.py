@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table, text_or_empty
 from .components import components
-from .op11_collocations import BUCKETS, Bitmap, _add, _blocks, _bucket, bitmap_of
+from .op11_collocations import Bitmap, _add, _blocks, _bucket, bitmap_of
 from .op6_near_dedup import compared, edited_pairs, hub_pairs, node_of, shingles
 from .words import U, mix, slices, words_of
 
@@ -49,6 +49,8 @@ WORDS, PERCENT = 3, 90
 BAND = 1.25
 #: What a comparison with a hub costs, in rows of keys.
 COMPARISON = 40
+#: Hashed buckets in which edits are counted: a bitmap of 8 MB.
+EDIT_BUCKETS = 1 << 26
 _PLACE_BITS = 24
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -176,7 +178,7 @@ def allocation(nodes: DataFrame, met: DataFrame) -> DataFrame:
     return traded.select("place", F.when(F.col("rank") <= F.col("trades"), -1).when(F.col("rank") > F.col("segments") - F.col("trades"), 1).alias("allowance")).filter("allowance IS NOT NULL")
 
 
-def able(stars: DataFrame, least: float, buckets: int = BUCKETS) -> DataFrame:
+def able(stars: DataFrame, least: float, buckets: int = EDIT_BUCKETS) -> DataFrame:
     """``stars`` without members that can't be linked with another of their hub, and without edits that none shares.
 
     A member of cost e (``op6_near_dedup``) needs more than e shared edits, or, if it misses
