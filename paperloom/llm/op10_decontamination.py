@@ -569,20 +569,31 @@ def search(docs: DataFrame, index: Index, cosine: float = COSINE) -> DataFrame:
     return docs.select(*names).mapInArrow(check, schema)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` (with text) and the verdict over the whole benchmark, part by part."""
-    parts = parts_of(benchmark)
-    found = search(docs, build_index(docs.select("text"), parts[0]))
-    for rows in parts[1:]:
-        # The verdict so far goes along as a struct; the stronger of both stays.
-        names = [c for c in found.columns if c not in ADDED]
-        before = stored(found.select(*names, F.struct(*ADDED).alias("_before")), "leaks-so-far")
-        both = search(before, build_index(docs.select("text"), rows)).withColumn("_now", F.struct(*ADDED))
-        strength = lambda x: F.struct(x["contaminated"], x["lcs_share"], x["cosine"])
-        best = F.when(strength(F.col("_now")) > strength(F.col("_before")), F.col("_now")).otherwise(F.col("_before"))
-        merged = both.select(*names, best.alias("_best"), (F.col("_now.n_items") + F.col("_before.n_items")).alias("_n"))
-        found = merged.select(*names, *[F.col("_n" if c == "n_items" else f"_best.{c}").alias(c) for c in ADDED])
-    return found
+#: Which of a document's candidates is the strongest; of equal ones that of the least item_id.
+STRENGTH = ("contaminated", "lcs_share", "cosine", "item_id IS NOT NULL", "coalesce(-item_id, 0)", "answer_share")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, most: int = PART_BYTES) -> DataFrame:
+    """``docs`` (with text) and the verdict over the whole benchmark, in parts of ``most`` bytes.
+
+    With several parts the rows are numbered in one stored table, and each part's search
+    gives only the numbers of the rows with candidates; their strongest joins the rows again.
+    """
+    parts = parts_of(benchmark, most)
+    if len(parts) == 1:
+        return search(docs, build_index(docs.select("text"), parts[0]))
+    names = [c for c in docs.columns if c not in ADDED]
+    rows = stored(docs.select(F.struct(*names).alias("_doc"), "text", F.monotonically_increasing_id().alias("_number")), "leaks-rows")
+    candidate = "item_id IS NOT NULL OR n_items > 0 OR cosine > 0 OR lcs_share > 0"
+    found = None
+    for part in parts:
+        some = stored(search(rows.select("_number", "text"), build_index(rows.select("text"), part)).filter(candidate).drop("text"), "leaks-part")
+        found = some if found is None else found.unionByName(some)
+    strongest = F.max_by(F.struct(*ADDED), F.struct(*map(F.expr, STRENGTH))).alias("_best")
+    best = found.groupBy("_number").agg(strongest, F.sum("n_items").cast("int").alias("_n"))
+    absent = {"contaminated": F.lit(False), "item_id": F.lit(None).cast("long"), "n_items": F.lit(0)}
+    verdict = [F.coalesce(F.col("_n" if c == "n_items" else f"_best.{c}"), absent.get(c, F.lit(0.0))).alias(c) for c in ADDED]
+    return rows.join(best, "_number", "left").select("_doc.*", *verdict)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
