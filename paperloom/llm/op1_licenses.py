@@ -230,6 +230,8 @@ KNOWN |= {f"spdx license identifier: {x.lower().replace('-', ' ')}": f"spdx_{x}"
 
 #: One of these is in every known sentence, normalised.
 KEY = r"(licen[cs]e|eupl|mozilla public|january 2004|of the mpl|copyright|rights reserved|permission|redistribut|warrant|liable|endorse|free software|public domain|unencumbered|cc0|cc (by|attribution)|creative commons|june (1991|2007)|february 1999|november 2007)"
+#: A text without one of these words of ``KEY``, in lower case and without quotes, has no known sentence and isn't cut.
+WORDS = r"(licen[cs]e|eupl|mozilla|january|mpl|copyright|rights|permission|redistribut|warrant|liable|endorse|software|domain|unencumbered|cc[^a-z]|creative|june|february|november)"
 #: Cuts of a text into sentences, in order: (pattern, what stands for it), U+0001 being the mark.
 CUTS = (
     (r"\b([vV])\.[ \t]+([0-9])", "$1$2"),
@@ -306,7 +308,8 @@ def scan(docs: DataFrame, column: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
     sentences = F.transform(_licences_of_tags(F.split(_marked(text), "\u0001")), normalised)
-    ids = F.filter(F.transform(sentences, identifier), lambda x: x.isNotNull())
+    some = F.translate(F.lower(text), QUOTES[1:-1], "").rlike(WORDS)
+    ids = F.when(some, F.filter(F.transform(sentences, identifier), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
     one = F.aggregate(ids, F.array().cast("array<string>"), lambda acc, x: F.when(F.try_element_at(acc, F.lit(-1)).eqNullSafe(x), acc).otherwise(F.array_append(acc, x)))
     rows = docs.select(*[F.col(c) for c in docs.columns if c not in ADDED], one.alias("sentence_ids"))
     owned = F.filter(F.col("sentence_ids"), lambda x: ~x.isin("copyright", "rights"))

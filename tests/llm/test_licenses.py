@@ -58,6 +58,14 @@ def test_a_table_of_licences():
     assert all(len(run) > 1 for _, run in op1_licenses.RULES)
 
 
+def test_every_key_has_one_of_the_words():
+    import re
+
+    keys = op1_licenses.KEY.strip("()").replace("licen[cs]e", "license").replace("cc (by|attribution)", "cc by").replace("june (1991|2007)", "june 1991")
+    for key in [*keys.split("|"), *op1_licenses.KNOWN]:
+        assert re.search(op1_licenses.WORDS, key), key
+
+
 def test_sql_of_all_texts(spark, tmp_path):
     import oracle
     import pyarrow as pa
