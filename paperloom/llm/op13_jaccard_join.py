@@ -18,7 +18,10 @@ segment dearer than another; subsets of few or of very common shingles do.
 What meets in a bucket is compared with one hub, exactly, by all shingles, and links that
 miss their hub are found by shared edits (``op6_near_dedup``, which has the proof; it holds
 for any buckets in which linked texts meet).  So a bucket of k texts costs k - 1
-comparisons and no pairs within it.
+comparisons and no pairs within it.  The members of a hub meet in one task (a hub of many in
+several), so their edits are counted there and only shared ones are written; bitmaps of
+fixed size leave most other keys and texts out before these are shuffled.  Full bitmaps or
+hubs in several tasks let more through and lose nothing.
 
 Defined cases: A-Z are lower-cased, words are runs of anything but ASCII white space;
 fewer than ``WORDS`` words are one shingle of them all; texts without a word (null, empty,
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_or_empty
+from .common import drop_stored, stored, table, text_or_empty
 from .components import components
 from .op11_collocations import Bitmap, _add, _blocks, _bucket, bitmap_of
 from .op6_near_dedup import compared, edited_pairs, hub_pairs, node_of, shingles
@@ -51,6 +54,8 @@ BAND = 1.25
 COMPARISON = 40
 #: Hashed buckets in which edits are counted: a bitmap of 8 MB.
 EDIT_BUCKETS = 1 << 26
+#: The same for the keys that several texts have, and for the texts that meet another: 8 and 2 MB.
+KEY_BUCKETS, TEXT_BUCKETS = 1 << 26, 1 << 24
 _PLACE_BITS = 24
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -178,6 +183,53 @@ def allocation(nodes: DataFrame, met: DataFrame) -> DataFrame:
     return traded.select("place", F.when(F.col("rank") <= F.col("trades"), -1).when(F.col("rank") > F.col("segments") - F.col("trades"), 1).alias("allowance")).filter("allowance IS NOT NULL")
 
 
+def seen(hashes: DataFrame, buckets: int):
+    """A broadcast bitmap, of fixed size, of the 64-bit hashes in the one column of ``hashes``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(buckets, np.uint8)
+        for batch in batches:
+            counts[_bucket(batch.column(0).to_numpy().view(U), buckets)] = 1
+        yield from _blocks(counts)
+
+    return hashes.sparkSession.sparkContext.broadcast(bitmap_of(hashes.mapInArrow(count, "block int, at binary, times binary"), 1, buckets))
+
+
+def keys_among(nodes: DataFrame, keys: DataFrame, buckets: int = KEY_BUCKETS) -> DataFrame:
+    """(node, key): of the keys of ``nodes`` all that are in ``keys``, and few others, before they are shuffled."""
+    bitmap = seen(keys.select("key"), buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = Bitmap(bitmap.value)
+        for batch in batches:
+            lists = batch.column("keys")
+            key = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            hit = np.flatnonzero(bits.has(key.view(U)))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(row[hit])), pa.array(key[hit])], ["node", "key"])
+
+    return nodes.select("node", "keys").mapInArrow(run, "node binary, key long")
+
+
+def texts_of(folded: DataFrame, wanted: DataFrame, buckets: int = TEXT_BUCKETS) -> DataFrame:
+    """(node, text) of the nodes in ``wanted`` (node, rep), from one row of ``folded`` each.
+
+    A bitmap of their hashes leaves most other rows out before texts are shuffled.
+    """
+    bitmap = seen(wanted.select(F.xxhash64("rep", "node")), buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = Bitmap(bitmap.value)
+        for batch in batches:
+            yield batch.filter(pa.array(bits.has(batch.column("_hash").to_numpy().view(U))))
+
+    some = folded.select("doc_id", "node", "text", F.xxhash64(F.col("doc_id").cast("long"), "node").alias("_hash"))
+    some = some.mapInArrow(run, some.schema)
+    right = wanted.select(F.col("node").alias("_n"), "rep").hint("merge")
+    found = some.join(right, (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    return stored(found.dropDuplicates(["node"]), "join-texts")
+
+
 def able(stars: DataFrame, least: float, buckets: int = EDIT_BUCKETS) -> DataFrame:
     """``stars`` without members that can't be linked with another of their hub, and without edits that none shares.
 
@@ -228,32 +280,34 @@ def joined(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) -> DataF
     nodes = stored(rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("band").alias("band"), F.first("segments").alias("segments"), F.first("keys").alias("keys")), "join-nodes")
     at = F.when(F.col("pos") < F.col("segments"), F.shiftleft("band", _PLACE_BITS) + F.col("pos")).otherwise(F.shiftleft(F.col("band") - 1, _PLACE_BITS) + F.col("pos") - F.col("segments"))
     held = nodes.select("node", "band", "segments", F.posexplode("keys").alias("pos", "key")).select("node", at.alias("place"), "key")
+    slim = stored(rows.select("doc_id", "node", "n_shingles"), "join-rows")
+    drop_stored(rows)  # the keys are in ``nodes``
     met = stored(held.groupBy("place", "key").agg(F.count("*").alias("n")).filter("n > 1"), "join-met")
     allowed = stored(allocation(nodes, met), "join-allowances")
     raised = sorted(r.place for r in allowed.filter("allowance = 1").select("place").collect())  # fewer than the segments of the longest text's scheme and those below
     shared = met.join(allowed.select("place"), "place", "left_anti").select("key", "n")
-    buckets = held.select("node", "key")
     if raised:
         texts = folded.join(nodes.select(F.col("node").alias("_n"), "rep").hint("merge"), (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text").dropDuplicates(["node"])
         less = stored(deleted(texts, width, percent, spark.sparkContext.broadcast(np.array(raised))), "join-deleted")
         full = held.join(allowed.filter("allowance = 1").select("place"), "place").select("key", F.lit(1).alias("full"))
         both = full.unionByName(less.select("key", F.lit(0).alias("full"))).groupBy("key").agg(F.count("*").alias("n"), F.max("full").alias("full"))
         shared = shared.unionByName(both.filter("n > 1 AND full = 1").select("key", "n"))
-        buckets = buckets.unionByName(less)
-    members = stored(buckets.join(stored(shared, "join-shared"), "key"), "join-members")
+    shared = stored(shared, "join-shared")
+    buckets = keys_among(nodes, shared)
+    members = stored((buckets.unionByName(less) if raised else buckets).join(shared, "key"), "join-members")
     pairs = stored(hub_pairs(members), "join-pairs")
     edges = None
     if not pairs.isEmpty():
-        wanted = pairs.select(F.col("a").alias("_n")).union(pairs.select("b")).distinct().join(nodes.select(F.col("node").alias("_n"), "rep"), "_n")
-        found = folded.join(wanted.hint("merge"), (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-        texts = stored(found.dropDuplicates(["node"]), "join-texts")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node")
+        texts = texts_of(folded, stored(wanted, "join-wanted"))
+        drop_stored(nodes)
         least = percent / 100
-        stars = stored(compared(pairs, texts, width, edits=True), "join-stars")
+        stars = stored(compared(pairs, texts, width, edits=True, least=least), "join-stars")
         edges = stars.filter(F.col("similarity") >= least).select("a", "b")
         more = stored(edited_pairs(able(stars, least), stored(components(edges), "join-labels"), least), "join-edited")
         if not more.isEmpty():
             edges = edges.union(stored(compared(more, texts, width), "join-more").filter(F.col("similarity") >= least).select("a", "b"))
-    named = rows.select("doc_id", "node", "n_shingles")
+    named = slim
     if edges is not None:
         named = named.join(stored(components(edges), "join-components"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     else:

@@ -50,6 +50,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Height of the first region of ranks; each further one ends at twice the rank.
 FIRST_RANK = 1 / 16
+#: Edits that the members of one hub may have together to be held in one task: 32 MB.
+GROUP_EDITS = 1 << 22
 
 
 def shingles(w: Words, width: int = WORDS, weighted: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,12 +157,47 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = W
     return docs.select("doc_id", node_of().alias("node"), text_or_empty().alias("text")).mapInArrow(sign, "doc_id long, node binary, bands array<long>")
 
 
-def compared(pairs: DataFrame, texts: DataFrame, width: int = WORDS, weighted: bool = False, edits: bool = False, per_copy: int = 500) -> DataFrame:
+def shared_edits(group: list[tuple], least: float) -> list[tuple]:
+    """The rows (a, b, similarity, size_b, removed, added, edits) of all members of one hub, of
+    their edits only those that another has; none if no other can be linked with the member.
+
+    x and y are linked just when they share e(x) + e(y) - (1 - 2c) |h| edits, and neither can
+    share more than it has left; who can reach that with nobody goes, and leaves the others fewer.
+    """
+    if not group:
+        return group
+    c = least / (1 + least)
+    similarity, size, removed, added = (np.array([g[k] for g in group]) for k in range(2, 6))
+    cost, bound, missed = (1 - c) * removed + c * added, (1 - 2 * c) * size, similarity < least
+    edit = np.concatenate([g[6] for g in group])
+    row = np.repeat(np.arange(len(group)), [len(g[6]) for g in group])
+    n = len(group)
+    for _ in range(4):
+        if len(edit):
+            _, at, count = np.unique(edit, return_inverse=True, return_counts=True)
+            both = count[at] > 1
+            edit, row = edit[both], row[both]
+        has = np.bincount(row, minlength=n)
+        able = cost[:, None] + cost - bound <= np.minimum(has[:, None], has) + 1e-6
+        able &= missed[:, None] | missed
+        np.fill_diagonal(able, False)
+        stay = (able.any(axis=1))[row]
+        if stay.all():
+            break
+        edit, row = edit[stay], row[stay]
+    ends = np.searchsorted(row, np.arange(n + 1))
+    return [(*g[:6], edit[ends[i] : ends[i + 1]]) for i, g in enumerate(group)]
+
+
+def compared(pairs: DataFrame, texts: DataFrame, width: int = WORDS, weighted: bool = False, edits: bool = False, per_copy: int = 500, least: float | None = None) -> DataFrame:
     """(a, b, similarity, size_b, removed, added) of pairs (a, b) of nodes, exact by their shingles.
 
     ``texts``: stored rows node, text.  A hub's text goes once to every ``per_copy`` of its
     members, ahead of them; ``edits`` adds the hashes of the shingles of b that a lacks and
     of those it adds.  Repeated shingles are told apart by their number when ``weighted``.
+    With ``least`` the members of a hub that has one copy, which meet here in one task, give
+    only their ``shared_edits``; those of a hub with more copies give all their edits, as do
+    those that have over ``GROUP_EDITS`` together.
     """
 
     def sets(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -173,41 +210,51 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int = WORDS, weighted: b
         return text, shingle
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub = np.zeros(0, U)
+        hub, group, whole, held = np.zeros(0, U), [], False, 0
+        ready: list[tuple] = []
+
+        def given() -> pa.RecordBatch:
+            *columns, changed = zip(*ready, strict=True)
+            arrays = [pa.array(c, k) for c, k in zip(columns, [pa.binary(), pa.binary(), pa.float64(), pa.int64(), pa.int64(), pa.int64()], strict=True)]
+            if edits:
+                offsets = np.concatenate([[0], np.cumsum([len(c) for c in changed])]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(changed).view(np.int64))))
+            ready.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["a", "b", "similarity", "size_b", "removed", "added"] + ["edits"] * edits)
+
         for batch in batches:
             for part in slices(batch, "text"):
                 text, shingle = sets(words_of(part.column("text")))
                 bounds = np.searchsorted(text, np.arange(part.num_rows + 1))
-                is_hub = part.column("a").is_null().to_numpy(zero_copy_only=False)
-                out, changed, rows = [], [], []
+                a, b, copies = (part.column(k).to_pylist() for k in ("a", "b", "_copies"))
                 for i in range(part.num_rows):
                     x = shingle[bounds[i] : bounds[i + 1]]
-                    if is_hub[i]:
-                        hub = x.copy()
+                    if a[i] is None:
+                        ready += shared_edits(group, least) if whole else group
+                        hub, group, whole, held = x.copy(), [], least is not None and copies[i] == 1, 0
                         continue
                     common = len(np.intersect1d(x, hub, assume_unique=True))
-                    rows.append(i)
-                    out.append((common / max(1, len(x) + len(hub) - common), len(hub), len(hub) - common, len(x) - common))
-                    if edits:
-                        changed.append(np.concatenate([np.setdiff1d(hub, x, assume_unique=True), np.setdiff1d(x, hub, assume_unique=True)]))
-                if not rows:
-                    continue
-                take = pa.array(rows, pa.int64())
-                columns = [part.column("a").take(take), part.column("b").take(take)]
-                columns += [pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.float64(), pa.int64(), pa.int64(), pa.int64()], strict=True)]
-                if edits:
-                    offsets = np.concatenate([[0], np.cumsum([len(c) for c in changed])]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(changed).view(np.int64))))
-                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "similarity", "size_b", "removed", "added"] + ["edits"] * edits)
+                    changed = np.concatenate([np.setdiff1d(hub, x, assume_unique=True), np.setdiff1d(x, hub, assume_unique=True)]) if edits else None
+                    group.append((a[i], b[i], common / max(1, len(x) + len(hub) - common), len(hub), len(hub) - common, len(x) - common, changed))
+                    held += len(hub) + len(x) - 2 * common
+                    whole &= held <= GROUP_EDITS
+                if not whole:
+                    ready += group
+                    group = []
+                if ready:
+                    yield given()
+        ready += shared_edits(group, least) if whole else group
+        if ready:
+            yield given()
 
     schema = "a binary, b binary, similarity double, size_b long, removed long, added long" + ", edits array<long>" * edits
     # Texts grow with the corpus, so they are not broadcast at any size.  The counts are stored, so that the joins below are of plain exchanges and Spark can split the rows of a hot hub.
     copies = stored(pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(per_copy)).cast("int").alias("_copies")), "near-copies")
-    member = pairs.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("_copies")).cast("int").alias("_salt")).join(texts.select(F.col("node").alias("a"), "text").hint("merge"), "a").select("a", "b", "_salt", "text")
-    hubs = texts.select(F.col("node").alias("b"), "text").hint("merge").join(copies, "b").select(F.lit(None).cast("binary").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_salt"), "text")
+    member = pairs.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("_copies")).cast("int").alias("_salt")).join(texts.select(F.col("node").alias("a"), "text").hint("merge"), "a").select("a", "b", "_salt", F.lit(None).cast("int").alias("_copies"), "text")
+    hubs = texts.select(F.col("node").alias("b"), "text").hint("merge").join(copies, "b").select(F.lit(None).cast("binary").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_salt"), "_copies", "text")
     n = max(2, shuffle_partitions(pairs.sparkSession))
     dealt = member.unionByName(hubs).repartition(n, "b", "_salt").sortWithinPartitions("b", "_salt", F.col("a").asc_nulls_first())
-    return dealt.select("a", "b", "text").mapInArrow(compare, schema)
+    return dealt.select("a", "b", "_copies", "text").mapInArrow(compare, schema)
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:

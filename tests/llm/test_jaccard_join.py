@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from paperloom.llm import op6_near_dedup as op6
 from paperloom.llm import op13_jaccard_join as op13
 
 SCHEMA = "doc_id long, text string, node string, place int"
@@ -149,3 +150,44 @@ def test_no_rows_and_nothing_alike(spark):
     docs = spark.createDataFrame([(1, None, "x", 1), (2, "only one", "x", 1)], SCHEMA)
     assert sorted(map(tuple, op13.joined(docs).collect())) == [(1, 0, 1), (2, 1, 2)]
     assert op13.joined(docs.limit(0)).count() == 0
+
+
+
+
+@pytest.mark.parametrize("per_copy, most", [(500, 1 << 22), (7, 1 << 22), (500, 40)])
+def test_edits_of_one_hub_are_counted_exactly(spark, monkeypatch, per_copy, most):
+    """Members of a hub give only the edits that another can share; of hubs in several tasks, or with too many edits, all."""
+    monkeypatch.setattr(op6, "GROUP_EDITS", most)
+    hub = [f"h{i}" for i in range(200)]
+    texts = {0: " ".join(hub)}
+    # Far from the hub and from all others, near to each other, and near to the hub.
+    texts |= {i: " ".join(hub[:150] + [f"u{i}x{j}" for j in range(40)]) for i in range(1, 20)}
+    texts |= {20 + i: " ".join(hub[:150] + [f"s{j}" for j in range(40)] + [f"v{i}"]) for i in range(2)}
+    texts |= {30: " ".join([*hub[:199], "end"])}
+    node = {i: bytes([i] * 16) for i in texts}
+    stored = spark.createDataFrame([(node[i], t) for i, t in texts.items()], "node binary, text string")
+    pairs = spark.createDataFrame([(node[i], node[0]) for i in texts if i], "a binary, b binary")
+    found = {r.a[0]: r for r in op6.compared(pairs, stored, 3, edits=True, per_copy=per_copy, least=0.9).collect()}
+    plain_ = {r.a[0]: r for r in op6.compared(pairs, stored, 3, edits=True).collect()}
+    assert set(found) == set(plain_) == set(texts) - {0}
+    assert all(found[i][:6] == plain_[i][:6] for i in found)
+    both = set(plain_[20].edits) & set(plain_[21].edits)
+    assert both <= set(found[20].edits) & set(found[21].edits)
+    if per_copy == 500 and most > 40:
+        assert set(found[20].edits) == set(found[21].edits) == both
+        assert not any(found[i].edits for i in found if i not in (20, 21))
+    else:
+        assert all(set(found[i].edits) == set(plain_[i].edits) for i in found)
+
+
+def test_fixed_bitmaps_lose_no_key_and_no_text(spark):
+    """However many share a bucket; with enough buckets, other keys and texts are left out before they are shuffled."""
+    nodes = spark.createDataFrame([(bytes([i] * 16), [(i * 1000 + j) * 0x9E3779B97F4A7C1 % (1 << 63) for j in range(20)] + [77 << 50]) for i in range(50)], "node binary, keys array<long>")
+    keys = spark.createDataFrame([(77 << 50, 50)], "key long, n long")
+    wanted = spark.createDataFrame([(bytes([i] * 16), i if i else None) for i in range(5)], "node binary, rep long")
+    docs = spark.createDataFrame([(i if i else None, bytes([i] * 16), f"t{i}") for i in range(50)] + [(60 + i, bytes([1] * 16), "t1") for i in range(9)], "doc_id long, node binary, text string")
+    for buckets in (1 << 16, 1 << 24):
+        got = [tuple(r) for r in op13.keys_among(nodes, keys, buckets).collect()]
+        assert {n[0] for n, k in got if k == 77 << 50} == set(range(50)) and len(got) == len(set(got))
+        assert buckets < 1 << 24 or len(got) < 70
+        assert sorted((r.node[0], r.text) for r in op13.texts_of(docs, wanted, buckets).collect()) == [(i, f"t{i}") for i in range(5)]
