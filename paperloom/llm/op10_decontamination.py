@@ -42,8 +42,10 @@ verdicts.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +54,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, stored, table, text_or_empty
-from .words import Words, runs, slices, window_hashes, words_of
+from .words import Words, hashes_by_eight, runs, slices, window_hashes, words_of
 
 BLOCK = 8
 #: Passage lengths in blocks; an item is looked up at the shortest that holds it.
@@ -70,6 +72,8 @@ GRAM, FEW, LEAST_GRAMS = 3, 64, 4
 FOREIGN = 0.5
 #: Shares of an item's words that decide: of any candidate, of one by cosine, and of one by cosine that has ANSWER of the answer.
 LCS, PARAPHRASE, ANSWERED, ANSWER = 0.7, 0.48, 0.4, 0.8
+#: No candidate of a smaller share decides.
+LEAST_SHARE = min(LCS, PARAPHRASE, ANSWERED)
 #: Words of an item's parts that may change places.
 SEGMENT = 24
 #: Bytes of benchmark text in one index: some 15,000 words, 75,000 at most, so 15 MB of vectors,
@@ -100,26 +104,42 @@ def folded(texts: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(data)])
 
 
+def folded_words(texts: pa.Array) -> Words:
+    return words_of(folded(texts), hashes_by_eight)
+
+
 def words_in(text: str) -> list[bytes]:
     return folded(pa.array([text]))[0].as_py().split()
 
 
 class Vocabulary:
-    """Numbers of the benchmark's words, by their hash: a direct table, then a sorted list."""
+    """Numbers of the benchmark's words, by their sorted hashes; a table has where each run of upper bits begins."""
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.unique(hashes)
-        self.maybe = np.zeros(1 << TABLE_BITS, bool)
-        self.maybe[self.hashes >> np.uint64(64 - TABLE_BITS)] = True
+        bits = min(TABLE_BITS, max(8, (16 * len(self.hashes)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        size = np.bincount((self.hashes >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.longest, self.begin = int(size.max()), (np.cumsum(size) - size).astype(np.int32)
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """The feature of every word, -1 for none."""
         out = np.full(len(hashes), -1, np.int64)
-        if len(self.hashes):
-            some = np.flatnonzero(self.maybe[hashes >> np.uint64(64 - TABLE_BITS)])
-            at = np.searchsorted(self.hashes, hashes[some]).clip(max=len(self.hashes) - 1)
-            found = self.hashes[at] == hashes[some]
-            out[some[found]] = at[found]
+        n = len(self.hashes)
+        if not n:
+            return out
+        at = self.begin.take((hashes >> self.shift).view(np.int64))
+        low = self.hashes.take(at, mode="clip")
+        np.copyto(out, at, where=low == hashes)
+        left = np.flatnonzero((low < hashes) & (at < n - 1))
+        at = at[left]
+        for _ in range(1, self.longest):  # others with these upper bits
+            at += 1
+            low, high = self.hashes.take(at), hashes[left]
+            same = low == high
+            out[left[same]] = at[same]
+            more = (low < high) & (at < n - 1)
+            left, at = left[more], at[more]
         return out
 
 
@@ -193,12 +213,14 @@ def passage_counts(docs: DataFrame, vocabulary) -> tuple[np.ndarray, int]:
         v, total = vocabulary.value, np.zeros(n + 1)
         for batch in batches:
             for s in slices(batch, "text"):
-                w = words_of(folded(s.column("text")))
+                w = folded_words(s.column("text"))
                 _, _, first = blocks(w)
                 number = v.number(w.hash)
                 some = number >= 0
-                pair = np.unique(block_of_words(w, first)[some] * (n + 1) + number[some])
-                total += np.bincount(pair % (n + 1), minlength=n + 1)
+                # The words of a block are next to each other, so the numbers are nearly sorted.
+                pair = block_of_words(w, first)[some] * (n + 1) + number[some]
+                pair = np.sort(pair.astype(np.int32) if first[-1] * (n + 1) < 1 << 31 else pair)
+                total += np.bincount(pair[np.append(pair[1:] != pair[:-1], True)[: len(pair)]] % (n + 1), minlength=n + 1)
                 total[n] += first[-1]
         return total
 
@@ -269,12 +291,14 @@ class Passages:
         row, feature = place[self.block[words]], self.number[words]
         new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
         size = np.diff(np.append(new, len(row)))
-        for i in range(0, len(new), 1024):  # runs of blocks, so that their rows stay near
-            part, n = new[i : i + 1024], size[i : i + 1024]
-            total = matrix[feature[part]]
-            for k in range(1, int(n.max())):  # the k-th word of every block that has one
-                some = np.flatnonzero(n > k)
-                total[some] += matrix[feature[part[some] + k]]
+        held = np.empty((512, matrix.shape[1]), np.float32)
+        for i in range(0, len(new), 512):  # runs of blocks, so that their rows stay near; those of most words first
+            order = np.argsort(-size[i : i + 512], kind="stable") + i
+            part, n = new[order], size[order]
+            total = matrix.take(feature[part], axis=0)
+            for k in range(1, int(n[0])):  # the k-th word of every block that has one
+                some = np.count_nonzero(n > k)
+                total[:some] += matrix.take(feature[part[:some] + k], axis=0, out=held[:some], mode="clip")
             out[row[part] + 1] = total
         return np.cumsum(out, axis=0, out=out)
 
@@ -302,7 +326,7 @@ def basis(docs: DataFrame, vocabulary, idf: np.ndarray, items: list[np.ndarray],
         v, total = vocabulary.value, np.zeros((n, rank), np.float32)
         for batch in batches:
             for s in slices(batch, "text", 1 << 18):
-                p = Passages(words_of(folded(s.column("text"))), v, idf)
+                p = Passages(folded_words(s.column("text")), v, idf)
                 row, feature = p.tiles(SPANS[1], cosine)
                 if len(row):
                     new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
@@ -336,14 +360,14 @@ class Item:
     #: All words are common: only the item word for word counts.
     common: bool
 
+    def __post_init__(self):
+        self.parts, self.answer_parts = Parts(self.segments), Parts([self.answer])
+        self.key = (self.item_id, b" ".join(self.words) if self.item_id is None else b"")
+
     @classmethod
     def of(cls, item_id: int | None, text: str, common: bool) -> Item:
         return cls(item_id, words_in(text), segments_of(text), answer_of(text), common)
 
-    @property
-    def key(self):
-        return (self.item_id, b" ".join(self.words) if self.item_id is None else b"")
-
     @property
     def margin(self) -> int:
         """Words beside the item's place that are searched too."""
@@ -374,27 +398,40 @@ def segments_of(text: str) -> list[list[bytes]]:
     return out
 
 
-def common_subsequence(segments: list[list[bytes]], b: list[bytes]) -> int:
-    """Sum of the lengths of the longest common subsequences of every segment and ``b``.
+class Parts:
+    """An item's segments, by word the bits of its places in them: a zero bit ends each, and stops its carry."""
 
-    One integer operation per word of ``b`` for all segments: a zero bit after each stops
-    its carry.
-    """
-    where: dict[bytes, int] = {}
-    full, at = 0, 0
-    for a in segments:
-        for x in a:
-            where[x] = where.get(x, 0) | 1 << at
-            full |= 1 << at
+    def __init__(self, segments: list[list[bytes]]):
+        self.where: dict[bytes, int] = {}
+        #: In how many segments each word is: by no more does it lengthen their common subsequences.
+        self.segments = Counter(x for a in segments for x in set(a))
+        self.full, at = 0, 0
+        for a in segments:
+            for x in a:
+                self.where[x] = self.where.get(x, 0) | 1 << at
+                self.full |= 1 << at
+                at += 1
             at += 1
-        at += 1
-    v = full
-    for x in b:
-        m = where.get(x)
-        if m:
+
+    def most(self, b: list[bytes]) -> int:
+        """What these words add at most to the common subsequences."""
+        return sum(map(self.segments.get, b, repeat(0)))
+
+    def common(self, b: list[bytes]) -> int:
+        """Sum of the lengths of the longest common subsequences of every segment and ``b``.
+
+        One integer operation per word of ``b`` for all segments.
+        """
+        v = full = self.full
+        for m in filter(None, map(self.where.get, b)):
             u = v & m
             v = ((v + u) | (v - u)) & full
-    return full.bit_count() - v.bit_count()
+        return full.bit_count() - v.bit_count()
+
+
+def common_subsequence(segments: list[list[bytes]], b: list[bytes]) -> int:
+    """Sum of the lengths of the longest common subsequences of every segment and ``b``."""
+    return Parts(segments).common(b)
 
 
 class Grams:
@@ -403,7 +440,8 @@ class Grams:
     def __init__(self, items: list[Item]):
         self.items = items
         self.length = np.array([len(i.words) for i in items], np.int64)
-        w = words_of(pa.array([b" ".join(i.words) for i in items], pa.binary()))
+        self.margin = np.array([i.margin for i in items], np.int64)
+        w = words_of(pa.array([b" ".join(i.words) for i in items], pa.binary()), hashes_by_eight)
         starts, item = runs(w.first, GRAM)
         key, place = window_hashes(w.hash, starts, GRAM), starts - w.first[item]
         order = np.lexsort((place, item, key))
@@ -431,9 +469,11 @@ class Grams:
         item = self.item[row]
         low, high = starts[hit] - self.last[row], starts[hit] - self.first[row] + self.length[item]
         # Runs of one copy point to one place, which is checked once.
-        for t, i, a, b in np.unique(np.stack([text[hit], item, low // BLOCK, high // BLOCK], axis=1), axis=0):
-            margin = self.items[i].margin
-            yield int(t), int(max(w.first[t], a * BLOCK - margin)), int(min(w.first[t + 1], (b + 1) * BLOCK + margin)), self.items[i], 0.0
+        t, i, a, b = np.unique(np.stack([text[hit], item, low // BLOCK, high // BLOCK], axis=1), axis=0).T
+        low = np.maximum(w.first[t], a * BLOCK - self.margin[i])
+        high = np.minimum(w.first[t + 1], (b + 1) * BLOCK + self.margin[i])
+        for t, low, high, i in zip(t.tolist(), low.tolist(), high.tolist(), i.tolist(), strict=True):
+            yield t, low, high, self.items[i], 0.0
 
 
 class Index:
@@ -446,7 +486,7 @@ class Index:
         self.items: dict[int, list[tuple[Item, int]]] = {s: [] for s in SPANS}
         found, rows_of_span = [], {s: [] for s in SPANS}
         for item_id, text in rows:
-            found_words = words_of(folded(pa.array([text])))
+            found_words = folded_words(pa.array([text]))
             number = vocabulary.number(found_words.hash)
             item = Item.of(item_id, text, not (idf[number] > 0).any())
             words = item.words
@@ -478,23 +518,28 @@ class Index:
         upto = p.sums(p.words_in(covered), at_block, self.project)
         for span, matrix in self.matrix.items():
             first, end, norm2 = able[span]
+            lengths, margins, places = (np.array(x, np.int64) for x in zip(*[(len(i.words), i.margin, place) for i, place in self.items[span]], strict=True))
             for i in range(0, len(first), 4000):
                 f, e = first[i : i + 4000], end[i : i + 4000]
                 own = upto[:, self.columns[span]] if self.columns else upto
                 total = own[at_block[e]] - own[at_block[f]]
                 cosines = (total if self.columns else total @ matrix) / np.sqrt(norm2[i : i + 4000]).astype(np.float32)[:, None]
-                near = np.flatnonzero((cosines >= cosine).ravel())
-                for row, column in zip((near // cosines.shape[1]).tolist(), (near % cosines.shape[1]).tolist(), strict=True):
-                    at = f[row]
-                    text = p.text[at]
-                    item, place = self.items[span][column]
-                    start = p.starts[at] - place
-                    low = max(w.first[text], start - item.margin)
-                    high = min(w.first[text + 1], start + max((span + 1) * BLOCK, len(item.words) + item.margin))
-                    yield int(text), int(low), int(high), item, min(1.0, float(cosines[row, column]))
+                row, column = np.divmod(np.flatnonzero((cosines >= cosine).ravel()), cosines.shape[1])
+                at = f[row]
+                text, start = p.text[at], p.starts[at] - places[column]
+                low = np.maximum(w.first[text], start - margins[column])
+                high = np.minimum(w.first[text + 1], start + np.maximum((span + 1) * BLOCK, lengths[column] + margins[column]))
+                close = np.minimum(1.0, cosines[row, column].astype(np.float64))
+                for t, a, b, k, x in zip(text.tolist(), low.tolist(), high.tolist(), column.tolist(), close.tolist(), strict=True):
+                    yield t, a, b, self.items[span][k][0], x
         yield from self.grams.candidates(w)
 
 
+def answered(item: Item, around: list[bytes]) -> float:
+    """The share of the words of the item's answer in these."""
+    return item.answer_parts.common(around) / len(item.answer)
+
+
 def parts_of(benchmark: DataFrame, most: int = PART_BYTES) -> list[list[tuple[int | None, str]]]:
     """The rows of ``benchmark`` in parts of about ``most`` bytes of text, each collected on its own."""
     rows = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")), "benchmark")
@@ -509,7 +554,7 @@ def build_index(docs: DataFrame, rows: list[tuple[int | None, str]], rank: int =
 
     The space is fitted on the passages that may reach ``fit_cosine`` with an item (0 for all).
     """
-    words = words_of(folded(pa.array([t for _, t in rows], pa.string())))
+    words = folded_words(pa.array([t for _, t in rows], pa.string()))
     vocabulary = Vocabulary(words.hash)
     if not len(vocabulary.hashes):
         return Index(vocabulary, np.zeros(0), np.zeros((0, 1), np.float32), [])
@@ -539,26 +584,42 @@ def search(docs: DataFrame, index: Index, cosine: float = COSINE) -> DataFrame:
         ix = held.value
         for batch in batches:
             for part in slices(batch, "text", 1 << 18):
-                w = words_of(folded(part.column("text")))
+                w = folded_words(part.column("text"))
                 best: list[tuple | None] = [None] * part.num_rows
                 hits: list[set] = [set() for _ in range(part.num_rows)]
                 known: tuple | None = None
+                #: By text and item: a place, and what its common subsequences have at most.
+                reach: dict[tuple[int, int], tuple[int, int, int]] = {}
                 for text, low, high, item, close in ix.candidates(w, cosine):
                     if item.key in hits[text]:
                         continue
+                    strongest, before = best[text], reach.get((text, id(item)))
+                    if strongest and before and low >= before[0]:
+                        # Words after the last place add so much at most; what can neither decide nor be the strongest goes.
+                        after = max(low, before[1])
+                        upto = before[2] + (item.parts.most(w.text(after, high).split()) if high > after else 0)
+                        if upto / len(item.words) < min(strongest[1], LEAST_SHARE):
+                            reach[text, id(item)] = (low, max(high, before[1]), upto)
+                            continue
                     if known is None or known[:2] != (low, high):
                         known = (low, high, w.text(low, high).split())
                     around = known[2]
                     if item.common and b" " + b" ".join(item.words) + b" " not in b" " + b" ".join(around) + b" ":
                         continue
-                    share = common_subsequence(item.segments, around) / len(item.words)
-                    answer = common_subsequence([item.answer], around) / len(item.answer)
-                    bad = share >= LCS or (close > 0 and (share >= PARAPHRASE or (share >= ANSWERED and answer >= ANSWER)))
+                    common = item.parts.common(around)
+                    reach[text, id(item)] = (low, high, common)
+                    share, answer = common / len(item.words), None
+                    bad = share >= LCS or (close > 0 and share >= PARAPHRASE)
+                    if not bad and close > 0 and share >= ANSWERED:
+                        answer = answered(item, around)
+                        bad = answer >= ANSWER
                     if bad:
                         hits[text].add(item.key)
-                    found = (bad, share, close, item.item_id is not None, -(item.item_id or 0), answer, item.item_id)
-                    if best[text] is None or found[:6] > best[text][:6]:
-                        best[text] = found
+                    found = (bad, share, close, item.item_id is not None, -(item.item_id or 0))
+                    if strongest is None or found >= strongest[:5]:
+                        found += (answered(item, around) if answer is None else answer, item.item_id)
+                        if strongest is None or found[:6] > strongest[:6]:
+                            best[text] = found
                 columns = list(zip(*[(b[0], b[6], b[2], b[1], b[5], len(h)) if b else (False, None, 0.0, 0.0, 0.0, 0) for b, h in zip(best, hits, strict=True)], strict=True))
                 kinds = [pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names + extra)
