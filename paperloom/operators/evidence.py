@@ -7,6 +7,8 @@ all of them; buckets, references and figures are windows over the blocks of a do
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -125,13 +127,16 @@ def once(value: str, f, name: str = "v") -> str:
     return f"transform(array({value}), {name} -> {f(name)})[0]"
 
 
-def rules(t: str, sql: bool = False) -> dict[str, str]:
-    """Detectors of noise in the text ``t``, as expressions of either engine."""
-    n = _number(t, WORDS, sql)
+def rules(t: str, sql: bool = False, n: str | None = None) -> dict[str, str]:
+    """Detectors of noise in the text ``t``, as expressions of either engine; ``n``: the number of its words, where it is at hand."""
+    n = n or _number(t, WORDS, sql)
     low = f"lower({inline(t, 500, sql)})"
 
     def diagram(low: str) -> str:
         labels, words = _number(low, DIAGRAM, sql), _number(low, WORDS, sql)
+        if not sql:  # few words first, as counting them is the least work
+            few = lambda w: f"({w} <= 34 AND {once(labels, lambda k: f'({k} >= 3 OR ({w} <= 16 AND {k} >= 1))', 'k')} AND NOT {_has(low, CUE, sql)})"
+            return once(words, few, "w")
         return f"(NOT {_has(low, CUE, sql)} AND (({words} <= 16 AND {labels} >= 1) OR ({words} <= 34 AND {labels} >= 3)))"
 
     signs = _number(t, FRAGMENT_SIGNS, sql)
@@ -148,10 +153,35 @@ def rules(t: str, sql: bool = False) -> dict[str, str]:
     return found
 
 
+def _literal(pattern: str) -> str:
+    """The letters and digits with which all that a pattern without bars matches begins."""
+    plain = pattern.removeprefix(r"\b")
+    found = re.match(r"[\wπ]*", plain).group()
+    return found[:-1] if plain[len(found) : len(found) + 1] in ("?", "*", "{") else found
+
+
+def _tree(words: list[str]) -> str:
+    """A pattern of any of ``words``, divided letter by letter."""
+    if "" in words:
+        return ""
+    heads = sorted({w[0] for w in words})
+    parts = [h + _tree([w[1:] for w in words if w[0] == h]) for h in heads]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+def any_role() -> str:
+    """A pattern found in every text that one of ``SECTIONS`` or the formulas' is found in."""
+    words = {_literal(a).lower() for p in [FORMULA_SECTION, *SECTIONS.values()] for a in T.alternatives(p.removeprefix("(?i)"))}
+    assert all(len(w) > 1 for w in words)
+    return f"(?i){_tree(sorted(words))}"
+
+
 def role_of(section: str, text: str, kind: str, sql: bool = False) -> str:
     """The role of a block: formula, by its section's name, by name and text, or null."""
     both = f"({section} || ' ' || {text})"
-    cases = [f"WHEN {kind} = 'formula' OR {_has(both, FORMULA_SECTION, sql)} THEN 'formula'"]
+    # Without SQL, texts with no word of any role are told by one search instead of one for each role.
+    cases = [] if sql else [f"WHEN {kind} = 'formula' THEN 'formula' WHEN NOT {_has(both, any_role(), sql)} THEN NULL"]
+    cases += [f"WHEN {kind} = 'formula' OR {_has(both, FORMULA_SECTION, sql)} THEN 'formula'"]
     cases += [f"WHEN {_has(section, SECTIONS[r], sql)} THEN '{r}'" for r in BY_NAME]
     cases += [f"WHEN {_has(both, SECTIONS[r], sql)} THEN '{r}'" for r in BY_TEXT]
     return f"CASE {' '.join(cases)} END"
@@ -178,18 +208,32 @@ def is_usable() -> Column:
 
 def is_narrative() -> Column:
     """Blocks of prose, and useful formulas."""
-    return F.expr(once(inline("t", 1200, False), lambda v: f"CASE WHEN kind = 'formula' THEN {rules(v)['formula_text']} ELSE {rules(v)['prose']} END"))
+    decide = lambda v, n: f"CASE WHEN kind = 'formula' THEN {rules(v, n=n)['formula_text']} ELSE {rules(v, n=n)['prose']} END"
+    return F.expr(once(inline("t", 1200, False), lambda v: once(_number(v, WORDS, False), lambda n: decide(v, n), "n")))
+
+
+def may_name() -> str:
+    """A pattern found in every text that names a term, by the beginnings of all terms; in most others it isn't."""
+    every = [a for entries in TERMS.values() for _, p in entries for a in T.alternatives(p.removeprefix("(-i)"))]
+    words = {_literal(a).lower() for a in every if a.startswith(r"\b")}
+    others = {_literal(a).lower() for a in every if not a.startswith(r"\b")}
+    assert all(len(w) > 1 for w in words | others)
+    return f"(?i){T.EDGE_BEFORE}{_tree(sorted(words))}|{_tree(sorted(others))}"
 
 
 def terms(text: Column) -> Column:
-    """The distinct terms of every category that the text names, at most six of each, as a struct."""
+    """The distinct terms of every category that the text names, at most six of each, as a struct.
+
+    The text is searched once for the beginnings of all terms, and only where one is found for each term.
+    """
 
     def named(label: str, pattern: str) -> Column:
         plain = T.ascii_edges(pattern.removeprefix("(-i)"))
         return F.when(text.rlike(plain if pattern.startswith("(-i)") else f"(?i){plain}"), label)
 
     lists = [F.slice(F.filter(F.array(*[named(*e) for e in entries]), lambda x: x.isNotNull()), 1, MOST_TERMS).alias(c) for c, entries in TERMS.items()]
-    return F.struct(*lists)
+    none = F.struct(*[F.array().cast("array<string>").alias(c) for c in TERMS])
+    return F.when(text.rlike(may_name()), F.struct(*lists)).otherwise(none)
 
 
 def evidence_tokens(text: Column) -> Column:
@@ -258,10 +302,18 @@ def bucketed(blocks: DataFrame) -> DataFrame:
 
 def picked(refs: DataFrame, order: list[str], most: int) -> DataFrame:
     """The best ``most`` references of each document: buckets in ``order``, best scores first, equal (text, page) once."""
-    rank = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("bucket"))
-    some = refs.withColumn("rank", rank).filter("rank > 0")
-    one = some.groupBy("doc_id", F.xxhash64("text").alias("h"), "text", "page").agg(F.min(F.struct("rank", (-F.col("score")).alias("s"), "pos", "bucket")).alias("f")).select("doc_id", "text", "page", "f.*")
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy("rank", "s", "pos"))
+    return picked_by_type(refs, {"": order}, most).drop("type")
+
+
+def picked_by_type(refs: DataFrame, orders: dict[str, list[str]], most: int) -> DataFrame:
+    """``picked`` for several orders of buckets, by their name as ``type``, in one pass over the references."""
+    taken = lambda b: F.array(*[F.struct(F.lit(t).alias("type"), F.lit(o.index(b) + 1).alias("rank")) for t, o in orders.items() if b in o])
+    by_bucket = F.lit(None).cast("array<struct<type:string,rank:int>>")
+    for b in sorted({b for o in orders.values() for b in o}):
+        by_bucket = F.when(F.col("bucket") == b, taken(b)).otherwise(by_bucket)
+    some = refs.withColumn("_to", F.explode(by_bucket)).select(*refs.columns, "_to.type", "_to.rank")
+    one = some.groupBy("doc_id", "type", F.xxhash64("text").alias("h"), "text", "page").agg(F.min(F.struct("rank", (-F.col("score")).alias("s"), "pos", "bucket")).alias("f")).select("doc_id", "type", "text", "page", "f.*")
+    place = F.row_number().over(W.partitionBy("doc_id", "type").orderBy("rank", "s", "pos"))
     return one.withColumn("place", place.cast("long")).filter(F.col("place") <= most)
 
 
@@ -305,7 +357,7 @@ def evidence_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of every line that names any, by category."""
-    found = lines_and_samples(spark, sf_dir).withColumn("x", terms(F.col("t")))
+    found = lines_and_samples(spark, sf_dir).filter(F.col("t").rlike(may_name())).withColumn("x", terms(F.col("t")))
     return found.select("doc_id", "pos", *[F.array_join(f"x.{c}", "; ").alias(c) for c in TERMS]).filter(" OR ".join(f"{c} <> ''" for c in TERMS))
 
 
