@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .evidence import FORMULA_SIGNS, blocks_of, bucketed, inline, once, picked, rules, short_bullets, terms
+from ..sources.tables import stored
+from .evidence import FORMULA_SIGNS, blocks_of, bucketed, inline, once, picked_by_type, rules, short_bullets, terms
 
 # Sentences by type of slide (template, and for each place its categories and how many terms it takes), and bounds.
 RULES = {
@@ -202,11 +203,7 @@ SLIDES = {"background": ["introduction", "abstract"], "relatedWork": ["related_w
 def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best references of each slide of every document."""
     found = bucketed(blocks_of(spark, sf_dir)).select("doc_id", "bucket", "text", "page", "score", "pos")
-    every = None
-    for kind, order in SLIDES.items():
-        some = picked(found, order, 3).select("doc_id", F.lit(kind).alias("type"), "place", "page", "text")
-        every = some if every is None else every.unionByName(some)
-    return every
+    return picked_by_type(found, SLIDES, 3).select("doc_id", "type", "place", "page", "text")
 
 
 def _shown(rows: DataFrame) -> DataFrame:
@@ -220,7 +217,7 @@ def evidence_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filled_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slides that have one bullet each, filled from their references."""
-    refs = _refs(spark, sf_dir)
+    refs = stored(_refs(spark, sf_dir), "refs")  # read for the slides and for their bullets
     slides = refs.select("doc_id", "type").distinct().withColumn("bullets", F.array(F.concat(F.lit("Slide of "), "type")))
     return _shown(filled(slides, refs, ["doc_id"]))
 
