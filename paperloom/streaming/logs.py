@@ -28,6 +28,16 @@ def write_batch(rows: DataFrame, batch: int, path: str) -> None:
     marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
 
+def write_batches(rows: DataFrame, number: str, path: str) -> None:
+    """Writes all batches of ``rows``, numbered by the column ``number``, in one job, each as ``write_batch`` would.
+
+    A batch is one task's, so it is one file.
+    """
+    marked = rows.withColumn(number, F.col(number).cast("long")).withColumnRenamed(number, "batch")
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    marked.repartition(n, "batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
 def append(stream: DataFrame, path: str, checkpoint: str, **trigger):
     """Starts a query that writes the batches of ``stream`` to ``path``."""
     return stream.writeStream.foreachBatch(lambda rows, batch: write_batch(rows, batch, path)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
@@ -50,7 +60,7 @@ def compacted(spark: SparkSession, path: str, to: str) -> None:
     """Writes a cache's last values to the new folder ``to``, as its newest batch."""
     rows = spark.read.parquet(path)
     last = rows.groupBy("key").agg(F.max_by(F.struct("value", "pos", "batch"), F.struct("batch", "pos")).alias("x")).select("key", "x.*").filter("value IS NOT NULL")
-    last.write.mode("errorifexists").partitionBy("batch").parquet(to)
+    last.repartition("batch").write.mode("errorifexists").partitionBy("batch").parquet(to)
 
 
 def _batches(spark: SparkSession, sf_dir: str, what: str) -> tuple[DataFrame, str]:
@@ -59,10 +69,11 @@ def _batches(spark: SparkSession, sf_dir: str, what: str) -> tuple[DataFrame, st
 
 
 def _replayed(spark: SparkSession, sf_dir: str, what: str) -> str:
-    """Events in batches of 4,000, the second one written twice and once from another plan."""
+    """Events in batches of 4,000, the second one written twice and the first from another plan."""
     rows, path = _batches(spark, sf_dir, what)
-    numbers = [r.n for r in rows.select("n").distinct().orderBy("n").collect()]  # a number for each batch
-    for n in [*numbers, *numbers[1:2], *numbers[:1]]:
+    write_batches(rows, "n", path)
+    # The least two numbers: what a restarted stream may run again.
+    for n in [r.n for r in rows.select("n").distinct().orderBy("n").limit(2).collect()][::-1]:
         write_batch(rows.filter(F.col("n") == n).drop("n").repartition(3 + n % 2), n, path)
     return path
 

@@ -32,3 +32,20 @@ def test_a_stream_that_loses_its_checkpoint_writes_the_same(spark, tmp_path):
         logs.append(stream(), out, f"file://{tmp_path}/checkpoint-{run}").awaitTermination(120)
     assert spark.read.parquet(out).count() == 6
     assert {r.key for r in logs.latest(spark, out).collect()} == {"k0", "k1", "k2", "all"}
+
+
+def test_many_batches_are_written_by_one_job(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    rows = spark.range(400).selectExpr("concat('k', id % 7) AS key", "cast(id AS string) AS value", "id AS pos", "id div 10 AS n")
+    logs.write_batches(rows.repartition(5), "n", path)
+    files = [f for f in (tmp_path / "log").rglob("*.parquet")]
+    assert len(files) == 40 == len({f.parent for f in files})  # a batch is one file, whatever the tasks were
+    before = {tuple(r) for r in logs.entries(spark, path, ["pos"]).collect()}
+    assert len(before) == 400
+    logs.write_batch(rows.filter("n = 3").drop("n").repartition(3), 3, path)
+    logs.write_batches(rows.filter("n IN (0, 39)"), "n", path)
+    assert {tuple(r) for r in logs.entries(spark, path, ["pos"]).collect()} == before
+    logs.compacted(spark, path, f"file://{tmp_path}/small")
+    last = {(f"k{k}", str(max(i for i in range(400) if i % 7 == k))) for k in range(7)}
+    assert {tuple(r) for r in logs.latest(spark, f"file://{tmp_path}/small").collect()} == last
+    assert len(list((tmp_path / "small").rglob("*.parquet"))) == 1
