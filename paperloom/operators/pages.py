@@ -11,7 +11,10 @@ blocks; equal places are ordered by n; null page sizes stay null.
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,15 +31,33 @@ GAP_MEDIANS, GAP_HEIGHTS, SHIFT, INDENT, DEFAULT_HEIGHT = 2.4, 1.75, 110.0, 6.0,
 CHROME = r"(?i)^(doi:|https?://|www\.|[\w.-]+\.pdf$)"
 SIDEBAR = r"\[[a-z-]+\.[A-Z]{2}\]"
 
+#: Pages or documents that are worked on at once.
+GROUPS_AT_ONCE = 64
+
 LINE = "doc long, page long, line long, text string, x double, y double, height double, left double, top double, right double, bottom double, page_width double, page_height double"
 BLOCK = "doc long, page long, pos long, kind string, section string, original string, left double, top double, right double, bottom double, page_width double, page_height double"
 
 
+PART = BLOCK + ", ended boolean, lower boolean, head long, part long"
+PART_COLUMNS = [c.split()[0] for c in PART.split(", ")][1:]
+
+
+class Run(NamedTuple):
+    x: float
+    y: float
+    width: float
+    height: float
+    n: int | None
+    str: str
+    page_width: float | None
+    page_height: float | None
+
+
 def same_line(y: float, first_y: float, first_height: float) -> bool:
     return abs(first_y - y) <= max(SAME_LINE, SAME_LINE_HEIGHTS * first_height)
 
 
-def parted(before: pd.Series, run: pd.Series, start: float) -> bool:
+def parted(before: Run, run: Run, start: float) -> bool:
     """Whether a run begins a new segment after the one before it; ``start`` is the segment's left."""
     end = before.x + before.width
     gap = run.x - end
@@ -45,10 +66,15 @@ def parted(before: pd.Series, run: pd.Series, start: float) -> bool:
     return gap > SEGMENT_GAP or (gap > COLUMN_GAP and (drifts or column))
 
 
-def clustered(runs: pd.DataFrame) -> pd.DataFrame:
-    """The lines of one page: runs of about one height, cut where gaps part columns."""
-    groups: list[list] = []
-    for run in runs[runs["str"].str.strip() != ""].sort_values(["y", "x", "n"]).itertuples():
+def _last_if_none(x: float | None) -> tuple[bool, float]:
+    return (True, 0.0) if x is None or x != x else (False, x)
+
+
+def clustered(page: dict) -> list[tuple]:
+    """The lines of one page (doc, page, runs): runs of about one height, cut where gaps part columns."""
+    runs = [Run(*[math.nan if r[c] is None else r[c] for c in ("x", "y", "width", "height")], r["n"], r["str"].strip(), r["page_width"], r["page_height"]) for r in page["runs"] if r["str"] and r["str"].strip()]
+    groups: list[list[Run]] = []
+    for run in sorted(runs, key=lambda r: (_last_if_none(r.y), _last_if_none(r.x), _last_if_none(r.n))):
         home = next((g for g in groups if same_line(run.y, g[0].y, g[0].height)), None)
         if home is None:
             groups.append([run])
@@ -56,24 +82,39 @@ def clustered(runs: pd.DataFrame) -> pd.DataFrame:
             home.append(run)
     rows = []
     for group in groups:
-        segments: list[list] = []
+        segments: list[list[Run]] = []
         for run in sorted(group, key=lambda r: r.x):
             if not segments or parted(segments[-1][-1], run, segments[-1][0].x):
                 segments.append([run])
             else:
                 segments[-1].append(run)
         for s in segments:
-            size = next(((r.page_width, r.page_height) for r in s if not pd.isna(r.page_width)), (None, None))
-            rows.append(
-                (s[0].doc, s[0].page, len(rows), " ".join(r.str.strip() for r in s), min(r.x for r in s), sum(r.y for r in s) / len(s), max(r.height for r in s),
-                 min(r.x for r in s), min(r.y for r in s), max(r.x + r.width for r in s), max(r.y + r.height for r in s), *size)
-            )
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in LINE.split(", ")])
+            size = next(((r.page_width, r.page_height) for r in s if r.page_width is not None), (None, None))
+            places = (min(r.x for r in s), sum(r.y for r in s) / len(s), max(r.height for r in s), min(r.x for r in s), min(r.y for r in s), max(r.x + r.width for r in s), max(r.y + r.height for r in s))
+            rows.append((page["doc"], page["page"], len(rows), " ".join(r.str for r in s), *[None if x != x else x for x in places], *size))
+    return rows
+
+
+def by_groups(groups: DataFrame, f, schema: str) -> DataFrame:
+    """The rows that ``f`` gives for each row of ``groups``, some at a time; a frame for each group would cost more than its work."""
+    fields = [c.split() for c in schema.split(", ")]
+    types = {"long": "int64", "double": "float64", "string": "string", "boolean": "bool_"}
+
+    def run(batches):
+        out = pa.schema([(name, getattr(pa, types[kind])()) for name, kind in fields])
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUPS_AT_ONCE):
+                rows = [r for g in batch.slice(at, GROUPS_AT_ONCE).to_pylist() for r in f(g)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
+
+    return groups.mapInArrow(run, schema)
 
 
 def text_lines(runs: DataFrame) -> DataFrame:
-    """The lines of every page, by ``clustered``; a task holds the runs of one page."""
-    return runs.groupBy("doc", "page").applyInPandas(clustered, LINE).withColumn("text", T.extracted(F.col("text")))
+    """The lines of every page, by ``clustered``; a row holds the runs of one page."""
+    pages = runs.groupBy("doc", "page").agg(F.collect_list(F.struct("x", "y", "width", "height", "n", "str", "page_width", "page_height")).alias("runs"))
+    return by_groups(pages, clustered, LINE).withColumn("text", T.extracted(F.col("text")))
 
 
 def is_chrome() -> Column:
@@ -147,13 +188,13 @@ def _is_default(section: str) -> bool:
     return section.startswith("Page ") and section[5:].strip().isdigit()
 
 
-def merged(blocks: pd.DataFrame) -> pd.DataFrame:
+def merged(document: dict) -> list[tuple]:
     """One document's blocks: sections handed on over pages, and the head of each run of continued paragraphs.
 
     Adds ``section`` as handed on and ``head``, the number of the block that this one is part of.
     """
     section, last, out = None, None, []
-    for i, b in enumerate(blocks.sort_values(["page", "pos"]).to_dict("records")):
+    for i, b in enumerate(sorted(document["blocks"], key=lambda b: (b["page"], b["pos"]))):
         if b["kind"] == "heading":
             section = b["section"] or b["original"]
         if b["kind"] == "paragraph" and section and _is_default(b["section"]):
@@ -167,15 +208,16 @@ def merged(blocks: pd.DataFrame) -> pd.DataFrame:
             if b["kind"] == "paragraph" and not _is_default(b["section"]):
                 section = b["section"]
         b["part"] = i
-        out.append(b)
-    return pd.DataFrame(out, columns=[*blocks.columns, "head", "part"])
+        out.append((document["doc"], *[b[c] for c in PART_COLUMNS]))
+    return out
 
 
 def document_blocks(blocks: DataFrame) -> DataFrame:
     """The blocks of whole documents: continued paragraphs joined, sections numbered in order of appearance."""
     first_letter = F.regexp_extract("original", r"\p{L}", 0)
     ready = blocks.withColumns({"ended": T.ends_sentence(F.col("original")), "lower": (first_letter != "") & (first_letter == F.lower(first_letter)) & (first_letter != F.upper(first_letter))})
-    parts = ready.groupBy("doc").applyInPandas(merged, BLOCK + ", ended boolean, lower boolean, head long, part long")
+    documents = ready.groupBy("doc").agg(F.collect_list(F.struct(*PART_COLUMNS[:-2])).alias("blocks"))
+    parts = by_groups(documents, merged, PART)
     first = F.min_by(F.struct("page", "kind", "section"), "part")
     lines = T.joined_lines(F.transform(F.array_sort(F.collect_list(F.struct("part", "original"))), lambda x: x["original"]))
     whole = parts.groupBy("doc", "head").agg(first.alias("b"), lines.alias("joined"), F.min("original").alias("one"), F.count("*").alias("n"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"))

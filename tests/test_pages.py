@@ -63,3 +63,15 @@ def test_paragraphs_go_on_over_pages(spark):
         (2, "I. INTRODUCTION", "It also opens doors in the house."),
     ]
     assert pages.outline(spark.createDataFrame([], RUN)).count() == 0
+
+
+def test_lines_and_blocks_need_no_frame_for_each_page(spark):
+    runs = [(d, p, n, t, x, y, w, h, pw, None) for d in (1, None) for p in range(1, 120) for n, t, x, y, w, h, pw in ((0, " a ", 60.0, 100.0, 20.0, 10.0, None), (1, "b", 84.0, 101.0, 20.0, 10.0, 600.0), (2, None, 1.0, 1.0, 1.0, 1.0, None), (3, "far", 400.0, 100.0, 20.0, 10.0, None), (None, "low", 60.0, None, 20.0, 10.0, None))]
+    found = pages.text_lines(spark.createDataFrame(runs, RUN))
+    rows = found.collect()
+    assert len(rows) == 2 * 119 * 3
+    for d in (1, None):
+        got = {(r.line, r.text, r.left, r.y, r.right, r.page_width) for r in rows if r.doc == d and r.page == 7}
+        assert got == {(0, "a b", 60.0, 100.5, 104.0, 600.0), (1, "far", 400.0, 100.0, 420.0, None), (2, "low", 60.0, None, 80.0, None)}
+    plan = pages.outline(spark.createDataFrame(runs, RUN))._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
